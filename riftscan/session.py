@@ -45,3 +45,8 @@ def materialise(df: DataFrame) -> DataFrame:
     """Cut lineage through the shared checkpoint folder, so lost executors cost no recomputation."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def task_count(spark: SparkSession) -> int:
+    """Tasks for a compute-heavy step: as many as shuffles have, never merged for being small."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
