@@ -1,0 +1,193 @@
+"""Gradient and self-supervised training of the encoder."""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators.evaluate import embedding_stats, feature_stats, standardise
+from ..operators.features import FULL_DIM
+from ..session import materialise
+from .encoder import EMBED_DIM, HIDDEN_DIMS, embed, encoder_shape, init_encoder
+from .layers import gelu, gelu_slope, glorot
+from .training import Adam, train_epoch
+
+# Training defaults.
+PROJECTOR_HIDDEN = (256, 512)
+PROJECTOR_DIM = 256
+N_TYPES = 6
+UNKNOWN_TYPE = 5
+LAMBDA_VAR, LAMBDA_COV, GAMMA = 25.0, 25.0, 1.0
+NOISE_SCALE, FEATURE_DROPOUT = 0.05, 0.1
+_NORM_EPS = 1e-5
+
+
+def init_training(input_dim: int = FULL_DIM, embed_dim: int = EMBED_DIM, hidden_dims=HIDDEN_DIMS,
+                  projector_hidden=PROJECTOR_HIDDEN, proj_dim: int = PROJECTOR_DIM, type_head: bool = True, seed: int = 42) -> dict:
+    """Encoder weights plus projector layers (p*) and the optional type head (t)."""
+    rng = np.random.default_rng(seed + 1)
+    weights, previous = init_encoder(input_dim, embed_dim, hidden_dims, seed), embed_dim
+    for i, width in enumerate((*projector_hidden, proj_dim)):
+        weights |= {f"p{i}.w": glorot(rng, width, previous), f"p{i}.b": np.zeros(width)}
+        previous = width
+    return weights | ({"t.w": glorot(rng, N_TYPES, embed_dim), "t.b": np.zeros(N_TYPES)} if type_head else {})
+
+
+def augment(x: np.ndarray, rng: np.random.Generator, noise: float, drop: float) -> np.ndarray:
+    """A noisy view of a batch with some features blanked."""
+    out = x + rng.standard_normal(x.shape) * noise if noise > 0 else x
+    return out * (rng.random(x.shape) >= drop) if drop > 0 else out
+
+
+def _encode(weights: dict, x: np.ndarray, rng: np.random.Generator | None = None, dropout: float = 0.0) -> tuple[np.ndarray, list]:
+    """Raw embeddings and what the way back needs; dropout follows the first hidden layer only."""
+    saved = []
+    for i in range(len(encoder_shape(weights)[1])):
+        pre = x @ weights[f"h{i}.w"].T + weights[f"h{i}.b"]
+        centred = pre - pre.mean(axis=1, keepdims=True)
+        inv = 1.0 / np.sqrt((centred * centred).mean(axis=1, keepdims=True) + _NORM_EPS)
+        unit = centred * inv
+        shifted = unit * weights[f"h{i}.gain"] + weights[f"h{i}.shift"]
+        keep = (rng.random(shifted.shape) >= dropout) / (1.0 - dropout) if i == 0 and dropout > 0 and rng is not None else 1.0
+        saved.append((x, unit, inv, shifted, keep))
+        x = gelu(shifted) * keep
+    return x @ weights["out.w"].T + weights["out.b"], [*saved, x]
+
+
+def _encode_back(weights: dict, saved: list, d_out: np.ndarray, grads: dict) -> None:
+    def add(name: str, value: np.ndarray) -> None:
+        grads[name] = grads.get(name, 0.0) + value
+
+    add("out.w", d_out.T @ saved[-1])
+    add("out.b", d_out.sum(axis=0))
+    d = d_out @ weights["out.w"]
+    for i in range(len(saved) - 2, -1, -1):
+        x, unit, inv, shifted, keep = saved[i]
+        d = d * keep * gelu_slope(shifted)
+        add(f"h{i}.gain", (d * unit).sum(axis=0))
+        add(f"h{i}.shift", d.sum(axis=0))
+        du = d * weights[f"h{i}.gain"]
+        d_pre = inv * (du - du.mean(axis=1, keepdims=True) - unit * (du * unit).mean(axis=1, keepdims=True))
+        add(f"h{i}.w", d_pre.T @ x)
+        add(f"h{i}.b", d_pre.sum(axis=0))
+        d = d_pre @ weights[f"h{i}.w"]
+
+
+def _project(weights: dict, x: np.ndarray) -> tuple[np.ndarray, list]:
+    depth = sum(1 for k in weights if k.startswith("p") and k.endswith(".w"))
+    saved = []
+    for i in range(depth):
+        pre = x @ weights[f"p{i}.w"].T + weights[f"p{i}.b"]
+        saved.append((x, pre))
+        x = gelu(pre) if i < depth - 1 else pre
+    return x, saved
+
+
+def _project_back(weights: dict, saved: list, d: np.ndarray, grads: dict) -> np.ndarray:
+    for i in range(len(saved) - 1, -1, -1):
+        x, pre = saved[i]
+        if i < len(saved) - 1:
+            d = d * gelu_slope(pre)
+        grads[f"p{i}.w"] = grads.get(f"p{i}.w", 0.0) + d.T @ x
+        grads[f"p{i}.b"] = grads.get(f"p{i}.b", 0.0) + d.sum(axis=0)
+        d = d @ weights[f"p{i}.w"]
+    return d
+
+
+def vicreg_loss(z1: np.ndarray, z2: np.ndarray, lambda_var: float = LAMBDA_VAR, lambda_cov: float = LAMBDA_COV,
+                gamma: float = GAMMA) -> tuple[dict, np.ndarray, np.ndarray]:
+    """Invariance, variance and covariance terms of two views, and the gradients of both."""
+    n, dim = z1.shape
+    gap = z1 - z2
+    parts = {"invariance": float((gap * gap).mean()), "variance": 0.0, "covariance": 0.0}
+    grads = []
+    for z, sign in ((z1, 1.0), (z2, -1.0)):
+        centred = z - z.mean(axis=0)
+        std = np.sqrt((centred * centred).mean(axis=0) + 1e-4)
+        short = std < gamma
+        parts["variance"] += float(np.maximum(0.0, gamma - std).mean())
+        d = sign * 2.0 * gap / gap.size - lambda_var * (short / (dim * std)) * centred / n
+        if n > 1:
+            cov = centred.T @ centred / (n - 1)
+            np.fill_diagonal(cov, 0.0)
+            parts["covariance"] += float((cov * cov).sum() / dim)
+            d = d + lambda_cov * 4.0 / (dim * (n - 1)) * (centred @ cov)
+        grads.append(d)
+    parts["loss"] = parts["invariance"] + lambda_var * parts["variance"] + lambda_cov * parts["covariance"]
+    return parts, grads[0], grads[1]
+
+
+def type_loss(logits: np.ndarray, labels: np.ndarray) -> tuple[float, float, np.ndarray]:
+    """Cross entropy and accuracy over rows of a known type, and the gradient of the logits."""
+    known = labels != UNKNOWN_TYPE
+    total = max(1, int(known.sum()))
+    shifted = logits - logits.max(axis=1, keepdims=True)
+    log_prob = shifted - np.log(np.exp(shifted).sum(axis=1, keepdims=True))
+    rows = np.arange(len(labels))
+    loss = float(-(log_prob[rows, labels] * known).sum() / total)
+    accuracy = float(((logits.argmax(axis=1) == labels) & known).sum() / total)
+    d = np.exp(log_prob)
+    d[rows, labels] -= 1.0
+    return loss, accuracy, d * known[:, None] / total
+
+
+def encoder_gradient(weights: dict, x: np.ndarray, y: np.ndarray, rng: np.random.Generator, noise: float = NOISE_SCALE,
+                     drop: float = FEATURE_DROPOUT, type_weight: float = 0.0, clip: float = 0.0, lambda_var: float = LAMBDA_VAR,
+                     lambda_cov: float = LAMBDA_COV, gamma: float = GAMMA, dropout: float = 0.0) -> tuple[float, dict]:
+    """Loss of two augmented views of a batch and its gradient, clipped to a total norm when asked."""
+    e1, s1 = _encode(weights, augment(x, rng, noise, drop), rng, dropout)
+    e2, s2 = _encode(weights, augment(x, rng, noise, drop), rng, dropout)
+    z1, p1 = _project(weights, e1)
+    z2, p2 = _project(weights, e2)
+    parts, d1, d2 = vicreg_loss(z1, z2, lambda_var, lambda_cov, gamma)
+    loss, grads = parts["loss"], {}
+    de1, de2 = _project_back(weights, p1, d1, grads), _project_back(weights, p2, d2, grads)
+    if "t.w" in weights and type_weight > 0:
+        extra, _, d_logit = type_loss(e1 @ weights["t.w"].T + weights["t.b"], y.astype(np.int64))
+        loss += type_weight * extra
+        grads |= {"t.w": type_weight * d_logit.T @ e1, "t.b": type_weight * d_logit.sum(axis=0)}
+        de1 = de1 + type_weight * d_logit @ weights["t.w"]
+    _encode_back(weights, s1, de1, grads)
+    _encode_back(weights, s2, de2, grads)
+    if clip > 0:
+        norm = math.sqrt(sum(float((g * g).sum()) for g in grads.values()))
+        grads = {k: g * min(1.0, clip / (norm + 1e-6)) for k, g in grads.items()}
+    return loss, grads
+
+
+def train_encoder(train: DataFrame, validation: DataFrame | None = None, epochs: int = 30, batch_size: int = 1024, lr: float = 1e-3,
+                  weight_decay: float = 1e-5, embed_dim: int = EMBED_DIM, hidden_dims=HIDDEN_DIMS, projector_hidden=PROJECTOR_HIDDEN,
+                  proj_dim: int = PROJECTOR_DIM, noise: float = NOISE_SCALE, drop: float = FEATURE_DROPOUT, type_weight: float = 0.1,
+                  clip: float = 5.0, dropout: float = 0.1, lambda_var: float = LAMBDA_VAR, lambda_cov: float = LAMBDA_COV,
+                  gamma: float = GAMMA, normalise: bool = False, eval_every: int = 5, seed: int = 42, tasks: int | None = None) -> tuple[dict, dict]:
+    """Train on rows (id, x, y); return (encoder weights, summary).
+
+    Feature mean and scale are recorded; inference feeds raw features, so normalising is off by default.
+    """
+    stats = feature_stats(train, "x")
+    if normalise:
+        validation = None if validation is None else standardise(validation, stats, "x").select("id", F.col("z").alias("x"), "y")
+        train = standardise(train, stats, "x").select("id", F.col("z").alias("x"), "y")
+    rows = materialise(train.select("id", "x", F.col("y").cast("double").alias("y")))
+    dim = len(rows.first()["x"])
+    weights = init_training(dim, embed_dim, hidden_dims, projector_hidden, proj_dim, type_weight > 0, seed)
+    history = []
+
+    def gradient(w: dict, x: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> tuple[float, dict]:
+        return encoder_gradient(w, x, y, rng, noise, drop, type_weight, clip, lambda_var, lambda_cov, gamma, dropout)
+
+    for epoch in range(1, int(epochs) + 1):
+        rate = 0.5 * lr * (1.0 + math.cos(math.pi * (epoch - 1) / max(1, int(epochs))))
+        weights, loss = train_epoch(rows, weights, gradient, lambda r=rate: Adam(r, weight_decay, decoupled=True),
+                                    batch_size, epoch, seed, tasks, min_batch=2)
+        entry = {"epoch": epoch, "lr": rate, "loss": loss}
+        if validation is not None and (epoch in (1, int(epochs)) or epoch % eval_every == 0):
+            entry |= {f"val_{k}": v for k, v in embedding_stats(embed(validation, weights, "x")).first().asDict().items()}
+        history.append(entry)
+    encoder = {k: v for k, v in weights.items() if k[0] in "ho"}
+    recorded = {r["dim"]: (r["mean"], r["scale"]) for r in stats.collect()}
+    return encoder, {"loss_history": history, "input_dim": dim, "embed_dim": embed_dim, "hidden_dims": list(hidden_dims),
+                     "feature_mean": [recorded[i][0] for i in range(dim)], "feature_scale": [recorded[i][1] for i in range(dim)]}

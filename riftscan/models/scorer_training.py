@@ -1,0 +1,132 @@
+"""Gradient and training of the call scorer."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators.evaluate import confusion, feature_stats, label_calls, select_threshold, standardise
+from ..session import materialise
+from .scorer import CHANNELS, HIDDEN_DIM, MODEL_TYPE, SCORER_FEATURES, init_scorer, predict, vectorise_records, windows
+from .training import Adam, train_epoch
+from .layers import sigmoid
+
+_NORM_EPS = 1e-5
+_NORM_MOMENTUM = 0.1
+
+
+def scorer_gradient(weights: dict, x: np.ndarray, y: np.ndarray, rng: np.random.Generator, pos_weight: float = 1.0,
+                    dropout: float = 0.0) -> tuple[float, dict]:
+    """Weighted logistic loss of a batch and its gradient; running norm statistics are updated in place."""
+    depth = sum(1 for k in weights if k.startswith("c") and k.endswith(".w"))
+    h, saved = x[:, None, :], []
+    for i in range(depth):
+        w = weights[f"c{i}.w"].reshape(weights[f"c{i}.w"].shape[0], -1)
+        cols = windows(h)
+        pre = (cols @ w.T + weights[f"c{i}.b"]).transpose(0, 2, 1)
+        mean, var = pre.mean(axis=(0, 2)), pre.var(axis=(0, 2))
+        count = pre.shape[0] * pre.shape[2]
+        weights[f"c{i}.mean"] += _NORM_MOMENTUM * (mean - weights[f"c{i}.mean"])
+        weights[f"c{i}.var"] += _NORM_MOMENTUM * (var * count / max(1, count - 1) - weights[f"c{i}.var"])
+        inv = 1.0 / np.sqrt(var + _NORM_EPS)
+        unit = (pre - mean[:, None]) * inv[:, None]
+        act = np.maximum(0.0, unit * weights[f"c{i}.gain"][:, None] + weights[f"c{i}.shift"][:, None])
+        pick = None
+        out = act
+        if i < depth - 1:
+            n = act.shape[2] // 2
+            pairs = act[:, :, :2 * n].reshape(act.shape[0], act.shape[1], n, 2)
+            pick = pairs.argmax(axis=3)
+            out = np.take_along_axis(pairs, pick[..., None], axis=3)[..., 0]
+        saved.append((cols, w, inv, unit, act, pick, h.shape))
+        h = out
+    top = h.argmax(axis=2)
+    pooled = np.concatenate([h.mean(axis=2), np.take_along_axis(h, top[..., None], axis=2)[..., 0]], axis=1)
+    dense = np.maximum(0.0, pooled @ weights["d0.w"].T + weights["d0.b"])
+    keep = (rng.random(dense.shape) >= dropout) / (1.0 - dropout) if dropout > 0 else 1.0
+    hidden = dense * keep
+    logit = (hidden @ weights["d1.w"].T + weights["d1.b"])[:, 0]
+    n = len(y)
+    soft = np.logaddexp(0.0, -logit)
+    loss = float(np.mean(pos_weight * y * soft + (1.0 - y) * (logit + soft)))
+    prob = sigmoid(logit)
+    d_logit = ((1.0 - y) * prob - pos_weight * y * (1.0 - prob)) / n
+    grads = {"d1.w": d_logit[None, :] @ hidden, "d1.b": np.array([d_logit.sum()])}
+    d_dense = d_logit[:, None] * weights["d1.w"] * keep * (dense > 0)
+    grads |= {"d0.w": d_dense.T @ pooled, "d0.b": d_dense.sum(axis=0)}
+    d_pool = d_dense @ weights["d0.w"]
+    width = h.shape[1]
+    d_h = np.repeat(d_pool[:, :width, None] / h.shape[2], h.shape[2], axis=2)
+    at = np.take_along_axis(d_h, top[..., None], axis=2) + d_pool[:, width:, None]
+    np.put_along_axis(d_h, top[..., None], at, axis=2)
+    for i in range(depth - 1, -1, -1):
+        cols, w, inv, unit, act, pick, shape = saved[i]
+        if pick is not None:
+            pairs = np.zeros((*d_h.shape, 2))
+            np.put_along_axis(pairs, pick[..., None], d_h[..., None], axis=3)
+            full = np.zeros_like(act)
+            full[:, :, :2 * d_h.shape[2]] = pairs.reshape(act.shape[0], act.shape[1], -1)
+            d_h = full
+        d_norm = d_h * (act > 0)
+        grads |= {f"c{i}.gain": (d_norm * unit).sum(axis=(0, 2)), f"c{i}.shift": d_norm.sum(axis=(0, 2))}
+        d_unit = d_norm * weights[f"c{i}.gain"][:, None]
+        d_pre = inv[:, None] * (d_unit - d_unit.mean(axis=(0, 2), keepdims=True) - unit * (d_unit * unit).mean(axis=(0, 2), keepdims=True))
+        flat = d_pre.transpose(0, 2, 1)
+        grads |= {f"c{i}.w": np.einsum("nlo,nlk->ok", flat, cols).reshape(weights[f"c{i}.w"].shape), f"c{i}.b": flat.sum(axis=(0, 1))}
+        if i:
+            d_cols = (flat @ w).reshape(shape[0], shape[2], shape[1], 3).transpose(0, 2, 1, 3)
+            padded = np.zeros((shape[0], shape[1], shape[2] + 2))
+            for k in range(3):
+                padded[:, :, k:k + shape[2]] += d_cols[..., k]
+            d_h = padded[:, :, 1:-1]
+    return loss, grads
+
+
+def labelled_vectors(records: DataFrame, tp_ids: DataFrame, fp_ids: DataFrame, names=SCORER_FEATURES) -> DataFrame:
+    """Rows (id, x, y) of the labelled records; both labels have to occur."""
+    rows = vectorise_records(label_calls(records, tp_ids, fp_ids), names).select(
+        F.col("call_id").alias("id"), "x", F.col("label").alias("y"))
+    found = {r["y"] for r in rows.select("y").distinct().collect()}
+    if found != {0, 1}:
+        raise ValueError(f"labels 0 and 1 are both needed, found {sorted(found)}")
+    return rows
+
+
+def train_scorer(train: DataFrame, validation: DataFrame | None = None, test: DataFrame | None = None, epochs: int = 30,
+                 batch_size: int = 1024, lr: float = 1e-3, weight_decay: float = 1e-4, dropout: float = 0.1,
+                 channels=CHANNELS, hidden_dim: int = HIDDEN_DIM, seed: int = 42, names=SCORER_FEATURES,
+                 tasks: int | None = None) -> tuple[dict, dict]:
+    """Train on rows (id, x, y); return (model, summary). The threshold comes from validation, else train."""
+    train = materialise(train.select("id", "x", "y"))
+    stats = feature_stats(train, "x")
+    table = {r["dim"]: (r["mean"], r["scale"]) for r in stats.collect()}
+    mean, scale = ([table[i][k] for i in range(len(names))] for k in (0, 1))
+    rows = materialise(standardise(train, stats, "x").select("id", F.col("z").alias("x"), F.col("y").cast("double").alias("y")))
+    counts = {int(r["y"]): r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    pos_weight = counts.get(0, 0) / max(1, counts.get(1, 0))
+    weights, history = init_scorer(channels, hidden_dim, seed), []
+
+    def gradient(w: dict, x: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> tuple[float, dict]:
+        return scorer_gradient(w, x, y, rng, pos_weight, dropout)
+
+    for epoch in range(1, int(epochs) + 1):
+        weights, loss = train_epoch(rows, weights, gradient, lambda: Adam(lr, weight_decay), batch_size, epoch, seed, tasks, min_batch=2)
+        history.append({"epoch": epoch, "loss": loss})
+    model = {"model_type": MODEL_TYPE, "feature_names": list(names), "mean": mean, "scale": scale, "weights": weights}
+
+    def scored(df: DataFrame) -> DataFrame:
+        return materialise(predict(df, model, "x", "prob").select(F.col("y").alias("y_true"), "prob"))
+
+    sets = {"train": scored(train)}
+    if validation is not None:
+        sets["validation"] = scored(validation)
+    if test is not None:
+        sets["test"] = scored(test)
+    split = "validation" if validation is not None else "train"
+    best = select_threshold(sets[split]).first().asDict()
+    model["threshold"] = best["threshold"]
+    evaluation = {name: confusion(df, best["threshold"]).first().asDict() for name, df in sets.items()}
+    summary = {"threshold": best["threshold"], "threshold_selection_metrics": best, "threshold_selection_split": split,
+               "loss_history": history, "evaluation": evaluation, "label_counts": counts}
+    return model, summary

@@ -1,0 +1,129 @@
+"""Training of the scorer and the encoder on Spark.
+
+One Spark job per epoch. Rows are spread over the tasks anew each epoch; every task starts from the
+shared weights, runs the optimiser over its own mini-batches as they stream by, and sends back its
+weights in slices. Slices are averaged on the cluster, weighted by rows, so the driver only ever sees one
+set of weights. With one task this is plain mini-batch training.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..session import task_count
+from .encoder import matrix_of
+
+#: Numbers per slice of a weight vector.
+_SLICE = 4096
+_SLICE_SCHEMA = T.StructType([
+    T.StructField("slice", T.IntegerType()), T.StructField("n", T.DoubleType()),
+    T.StructField("values", T.ArrayType(T.DoubleType())), T.StructField("loss", T.DoubleType()),
+    T.StructField("batches", T.LongType())])
+
+Gradient = Callable[[dict, np.ndarray, np.ndarray, np.random.Generator], tuple[float, dict]]
+
+
+class Adam:
+    """Adam over a dict of arrays; ``decoupled`` applies weight decay to the weights, not the gradient."""
+
+    def __init__(self, lr: float, weight_decay: float = 0.0, decoupled: bool = False) -> None:
+        self.lr, self.decay, self.decoupled = lr, weight_decay, decoupled
+        self.first: dict = {}
+        self.second: dict = {}
+        self.steps = 0
+
+    def step(self, weights: dict, gradient: dict) -> None:
+        self.steps += 1
+        for name, g in gradient.items():
+            w = weights[name]
+            if self.decoupled:
+                w -= self.lr * self.decay * w
+            else:
+                g = g + self.decay * w
+            m = self.first[name] = 0.9 * self.first.get(name, 0.0) + 0.1 * g
+            v = self.second[name] = 0.999 * self.second.get(name, 0.0) + 0.001 * g * g
+            w -= self.lr * (m / (1 - 0.9 ** self.steps)) / (np.sqrt(v / (1 - 0.999 ** self.steps)) + 1e-8)
+
+
+def pack(weights: dict) -> np.ndarray:
+    return np.concatenate([np.ravel(weights[k]) for k in sorted(weights)])
+
+
+def unpack(vector: np.ndarray, like: dict) -> dict:
+    out, at = {}, 0
+    for name in sorted(like):
+        size = like[name].size
+        out[name] = vector[at:at + size].reshape(like[name].shape).copy()
+        at += size
+    return out
+
+
+def _average(key: tuple, table: pa.Table) -> pa.Table:
+    """Row-weighted mean of the copies of one slice, one per task."""
+    n = table.column("n").to_numpy()
+    values = matrix_of(table.column("values").combine_chunks())
+    mean = (values * n[:, None]).sum(axis=0) / n.sum()
+    loss, batches = table.column("loss").to_numpy().sum(), int(table.column("batches").to_numpy().sum())
+    return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "n": [float(n.sum())], "values": [mean.tolist()],
+                     "loss": [float(loss)], "batches": [batches]}, schema=pa.schema([
+                         ("slice", pa.int32()), ("n", pa.float64()), ("values", pa.list_(pa.float64())),
+                         ("loss", pa.float64()), ("batches", pa.int64())]))
+
+
+def train_epoch(rows: DataFrame, weights: dict, gradient: Gradient, optimiser: Callable[[], Adam], batch_size: int,
+                epoch: int, seed: int, tasks: int | None = None, min_batch: int = 1) -> tuple[dict, float]:
+    """One pass over ``rows`` (id, x, y): new weights and the mean batch loss."""
+    spark = rows.sparkSession
+    shared = spark.sparkContext.broadcast(weights)
+    draw = F.xxhash64(F.lit(seed), F.lit(epoch), F.col("id"))
+    shuffled = rows.withColumn("draw", draw).repartition(tasks or task_count(spark), "draw").sortWithinPartitions("draw")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        local = {k: v.copy() for k, v in shared.value.items()}
+        opt, seen, losses = optimiser(), 0, []
+        rng: np.random.Generator | None = None
+        held_x: np.ndarray | None = None
+        held_y: np.ndarray | None = None
+
+        def learn(x: np.ndarray, y: np.ndarray) -> None:
+            nonlocal seen
+            loss, grads = gradient(local, x, y, rng)
+            opt.step(local, grads)
+            losses.append(loss)
+            seen += len(y)
+
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            x, y = matrix_of(batch.column("x")), batch.column("y").to_numpy(zero_copy_only=False)
+            if rng is None:
+                rng = np.random.default_rng(abs(int(batch.column("draw")[0].as_py())) % (1 << 63))
+            x = x if held_x is None else np.concatenate([held_x, x])
+            y = y if held_y is None else np.concatenate([held_y, y])
+            while len(y) >= batch_size:
+                learn(x[:batch_size], y[:batch_size])
+                x, y = x[batch_size:], y[batch_size:]
+            held_x, held_y = x, y
+        if held_y is not None and len(held_y) >= min_batch:
+            learn(held_x, held_y)
+        if seen:
+            vector = pack(local)
+            parts = [vector[i:i + _SLICE] for i in range(0, len(vector), _SLICE)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(range(len(parts)), pa.int32()), pa.array([float(seen)] * len(parts)),
+                 pa.array([p.tolist() for p in parts], pa.list_(pa.float64())),
+                 pa.array([float(np.sum(losses))] * len(parts)), pa.array([len(losses)] * len(parts), pa.int64())],
+                names=[f.name for f in _SLICE_SCHEMA.fields])
+
+    slices = shuffled.mapInArrow(run, _SLICE_SCHEMA).groupBy("slice").applyInArrow(_average, _SLICE_SCHEMA)
+    merged = sorted(slices.collect(), key=lambda r: r["slice"])
+    if not merged:
+        raise ValueError("no training rows")
+    vector = np.concatenate([np.asarray(r["values"]) for r in merged])
+    return unpack(vector, weights), merged[0]["loss"] / max(1, merged[0]["batches"])

@@ -244,7 +244,7 @@ class BamReader(DataSourceReader):
                     break
                 row = parse_record(stream.read(struct.unpack("<i", head)[0]), contigs)
                 if partition.contig is not None and row[2] != partition.contig:
-                    continue
+                    break  # the file is sorted, and the slice began inside the contig
                 if partition.stop is not None and row[3] >= partition.stop:
                     break
                 if partition.start is not None and (row[4] is None or row[4] <= partition.start):
