@@ -90,7 +90,8 @@ def read_manifest(spark: SparkSession, path: str) -> list[dict]:
     A manifest lists inputs, each of which becomes a branch of the plan, so its rows belong on the driver.
     """
     path = os.path.expanduser(path)
-    text = spark.read.text(path, wholetext=True).first()[0].strip()
+    whole = spark.read.text(path, wholetext=True).first()
+    text = whole[0].strip() if whole else ""
     if not text:
         raise ValueError(f"manifest is empty: {path}")
     suffix = os.path.splitext(path)[1].lower()

@@ -23,7 +23,7 @@ _EOF = _block(b"")
 def _record(row: dict, ids: dict[str, int]) -> bytes:
     codes = [int(n) << 4 | _OPS.index(op) for n, op in re.findall(r"(\d+)([MIDNSHP=X])", row["cigar"] or "")]
     seq = row["seq"] or ""
-    nibbles = [_CODES[b] for b in seq] + [0] * (len(seq) % 2)
+    nibbles = [_CODES.get(b, 15) for b in seq] + [0] * (len(seq) % 2)
     packed = bytes(a << 4 | b for a, b in zip(nibbles[::2], nibbles[1::2]))
     name = row["qname"].encode() + b"\0"
     tags = b"NMi" + struct.pack("<i", 3) + b"XBBS" + struct.pack("<i2H", 2, 1, 2)
