@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_ITEM = r"(\d+)([MIDNSHP=X])"
+_ITEM = r"\d+[MIDNSHP=X]"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def cigar_items(cigar: Column) -> Column:
     """Array of structs (len, op)."""
-    lengths = F.regexp_extract_all(cigar, F.lit(_ITEM), F.lit(1))
-    ops = F.regexp_extract_all(cigar, F.lit(_ITEM), F.lit(2))
-    return F.zip_with(lengths, ops, lambda n, op: F.struct(n.cast("bigint").alias("len"), op.alias("op")))
+    return F.transform(F.regexp_extract_all(cigar, F.lit(_ITEM), F.lit(0)), lambda item: F.struct(
+        F.substring(item, F.lit(1), F.length(item) - 1).cast("bigint").alias("len"),
+        F.substring(item, F.lit(-1), F.lit(1)).alias("op")))
 
 
 def span_of_ops(items: Column, ops: str) -> Column:
@@ -45,12 +52,11 @@ def trailing_clip(items: Column, ops: str = "S") -> Column:
 
 def clip_and_bias(cigar: Column) -> Column:
     """Struct (left, right, bias): soft clips at both ends, and reference length over M, D, =, X."""
-    items = cigar_items(cigar)
-    return F.struct(
+    return let(cigar_items(cigar), lambda items: F.struct(
         leading_clip(items).alias("left"),
         trailing_clip(items).alias("right"),
         span_of_ops(items, "MD=X").alias("bias"),
-    )
+    ))
 
 
 def indel_hits(items: Column, pos0: Column, min_len: int) -> Column:
@@ -59,11 +65,7 @@ def indel_hits(items: Column, pos0: Column, min_len: int) -> Column:
     ``read_end`` is the read offset behind an insertion. The offset moves on every operation but D, and
     a leading hard clip is taken off first. One fold keeps the state; only hits are appended.
     """
-    start = F.struct(
-        pos0.cast("bigint").alias("ref"),
-        (-leading_clip(items, "H")).alias("read"),
-        F.array().cast("array<struct<op:string,pos:bigint,len:bigint,read_end:bigint>>").alias("hits"),
-    )
+    none = F.array().cast("array<struct<op:string,pos:bigint,len:bigint,read_end:bigint>>")
 
     def step(acc: Column, item: Column) -> Column:
         length, op = item["len"], item["op"]
@@ -76,7 +78,11 @@ def indel_hits(items: Column, pos0: Column, min_len: int) -> Column:
             F.when(hit, F.concat(acc["hits"], F.array(found))).otherwise(acc["hits"]).alias("hits"),
         )
 
-    return F.aggregate(items, start, step, lambda acc: acc["hits"])
+    def walk(parsed: Column) -> Column:
+        start = F.struct(pos0.cast("bigint").alias("ref"), (-leading_clip(parsed, "H")).alias("read"), none.alias("hits"))
+        return F.aggregate(parsed, start, step, lambda acc: acc["hits"])
+
+    return let(items, walk)
 
 
 def merge_read_hits(hits: Column, max_distance: int, from_end: bool) -> Column:

@@ -71,12 +71,19 @@ def candidate_support(strict: Column, mode: str, floor: int = 1) -> Column:
     return F.least(strict, F.lit(floor))
 
 
+def _sql_double(value: float) -> str:
+    return "double('infinity')" if value == INF else f"{value}D"
+
+
 def compactness_limits(svtype: Column, support: Column, params: CallParams) -> Column:
     """Struct of the limits of a call; an infinite limit means that the check is off."""
     bonus = F.least(F.lit(5.0), F.log2(F.greatest(F.lit(2), support).cast("double")))
 
+    table = F.expr("map(" + ", ".join(f"'{k}', array({', '.join(_sql_double(x) for x in v)})" for k, v in BASE_LIMITS.items()) + ")")
+    row = F.coalesce(F.try_element_at(table, svtype), F.try_element_at(table, F.lit("UNK")))
+
     def base(index: int) -> Column:
-        return by_type(svtype, {k: v[index] for k, v in BASE_LIMITS.items()}, BASE_LIMITS["UNK"][index])
+        return row[index]
 
     start_scale = max(0.1, params.compactness_start_scale)
     end_scale = max(0.1, params.compactness_end_scale)

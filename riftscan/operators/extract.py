@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cigar as cg
+from ..session import materialise
 from .filters import eligible_reads
 from .prefix import BLOCK_BP, ranked
 from .split_reads import split_candidates
@@ -37,7 +38,7 @@ def cigar_candidates(reads: DataFrame, params: ExtractParams, keep: tuple[str, .
     items = cg.cigar_items(F.col("cigar"))
     good = reads.where(F.col("mapq") >= params.min_mapq).select(
         *keep, "contig", F.coalesce("seq", F.lit("")).alias("seq"),
-        cg.indel_hits(items, F.col("pos0"), params.min_siglength).alias("hits")).where(F.size("hits") > 0)
+        cg.indel_hits(items, F.col("pos0"), params.min_siglength).alias("hits"))
 
     def of(op: str) -> Column:
         return F.transform(F.filter("hits", lambda h: h["op"] == op), lambda h: F.struct(
@@ -103,8 +104,9 @@ def extract_signatures(alignments: DataFrame, params: ExtractParams = ExtractPar
     evidence = F.lit(len(EVIDENCE_ORDER))
     for index, (source, kind) in reversed(list(enumerate(EVIDENCE_ORDER))):
         evidence = F.when((F.col("source") == source) & (F.col("svtype") == kind), F.lit(index)).otherwise(evidence)
+    # Numbering reads its input twice; extraction is too dear for that.
     numbered = ranked(
-        rows, "sid", [evidence, F.col("contig")],
+        materialise(rows), "sid", [evidence, F.col("contig")],
         [F.floor(F.col("tstart") / BLOCK_BP), F.substring(F.md5("qname"), 1, 2)],
         [F.col("tstart"), F.col("tend"), F.col("qname"), F.col("pos0"), F.col("flag"), F.col("at"), F.col("rule")])
     return numbered.withColumn("sid", F.col("sid") - 1).drop("flag", "pos0", "rule", "at")

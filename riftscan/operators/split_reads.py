@@ -17,7 +17,7 @@ BREAKEND_READ_GAP = 100
 INVERSION_SLACK = -50
 
 _SEGMENT = "struct<q0:bigint,ord:int,q1:bigint,r0:bigint,r1:bigint,ctg:string,st:string>"
-_CANDIDATE = "struct<kind:string,contig:string,a:double,b:bigint,seq:string,strand:string,partner:string>"
+_CANDIDATE = "struct<rule:int,kind:string,contig:string,a:double,b:bigint,seq:string,strand:string,partner:string>"
 
 
 def _segment(q0: Column, order: Column, q1: Column, r0: Column, r1: Column, ctg: Column, st: Column) -> Column:
@@ -27,14 +27,15 @@ def _segment(q0: Column, order: Column, q1: Column, r0: Column, r1: Column, ctg:
 
 def primary_segment(items: Column, min_mapq: int) -> Column:
     """Segment of the primary alignment in read coordinates; NULL below the mapping quality."""
-    left = cg.leading_clip(items, "SH")
-    right = cg.trailing_clip(items, "SH")
     forward = F.col("flag") == 0
     size = F.col("query_length").cast("bigint")
-    segment = _segment(F.when(forward, left).otherwise(right), F.lit(0),
-                       size - F.when(forward, right).otherwise(left),
-                       F.col("pos0"), F.col("ref_end"), F.col("contig"), F.when(forward, "+").otherwise("-"))
-    return F.when(F.col("mapq") >= min_mapq, segment)
+
+    def build(parsed: Column) -> Column:
+        left, right = cg.leading_clip(parsed, "SH"), cg.trailing_clip(parsed, "SH")
+        return _segment(F.when(forward, left).otherwise(right), F.lit(0), size - F.when(forward, right).otherwise(left),
+                        F.col("pos0"), F.col("ref_end"), F.col("contig"), F.when(forward, "+").otherwise("-"))
+
+    return F.when(F.col("mapq") >= min_mapq, cg.let(items, build))
 
 
 def supplementary_segments(sa: Column, min_mapq: int) -> Column:
@@ -42,31 +43,40 @@ def supplementary_segments(sa: Column, min_mapq: int) -> Column:
     entries = F.split(sa, ";")
     entries = F.slice(entries, F.lit(1), F.greatest(F.size(entries) - 1, F.lit(0)))
 
-    def build(entry: Column, index: Column) -> Column:
-        part = F.split(entry, ",")
-        clips = cg.clip_and_bias(part[3])
-        start = part[1].cast("bigint")
-        size = F.col("query_length").cast("bigint")
-        forward = part[2] == "+"
-        segment = _segment(F.when(forward, clips["left"]).otherwise(clips["right"]), (index + 1).cast("int"),
-                           size - F.when(forward, clips["right"]).otherwise(clips["left"]),
-                           start, start + clips["bias"], part[0], part[2])
-        return F.when(part[4].cast("int") >= min_mapq, segment)
+    size = F.col("query_length").cast("bigint")
+    # Split, drop the poorly mapped, then parse: each step works on the array of the one before.
+    parts = F.transform(entries, lambda entry, index: F.struct(F.split(entry, ",").alias("part"), index.alias("at")))
+    good = F.filter(parts, lambda p: p["part"][4].cast("int") >= min_mapq)
+    parsed = F.transform(good, lambda p: F.struct(p["part"].alias("part"), p["at"].alias("at"),
+                                                  cg.clip_and_bias(p["part"][3]).alias("clips")))
 
-    return F.filter(F.transform(entries, build), lambda s: s.isNotNull())
+    def build(p: Column) -> Column:
+        part, clips = p["part"], p["clips"]
+        start, forward = part[1].cast("bigint"), part[2] == "+"
+        return _segment(F.when(forward, clips["left"]).otherwise(clips["right"]), (p["at"] + 1).cast("int"),
+                        size - F.when(forward, clips["right"]).otherwise(clips["left"]),
+                        start, start + clips["bias"], part[0], part[2])
 
+    return F.transform(parsed, build)
 
-def read_segments(reads: DataFrame, min_mapq: int = 20, max_parts: int = 7) -> DataFrame:
-    """Add ``segments``, sorted by read start, for reads with split evidence; others drop out.
 
-    Only flags 0 and 16 take part. Reads with more than ``max_parts`` segments are skipped (-1: never).
+def with_segments(reads: DataFrame, min_mapq: int, max_parts: int) -> DataFrame:
+    """Reads with split evidence and their ``segments``, sorted by read start.
+
+    Only flags 0 and 16 take part. A read with more than ``max_parts`` segments gets NULL (-1: never).
     """
     split = reads.where(F.col("flag").isin(0, 16) & F.col("sa").isNotNull() & (F.col("sa") != ""))
     items = cg.cigar_items(F.col("cigar"))
     primary = F.filter(F.array(primary_segment(items, min_mapq)), lambda s: s.isNotNull())
     segments = F.array_sort(F.concat(primary, supplementary_segments(F.col("sa"), min_mapq)))
-    df = split.withColumn("segments", segments)
-    return df if max_parts == -1 else df.where(F.size("segments") <= max_parts)
+    if max_parts != -1:
+        segments = cg.let(segments, lambda s: F.when(F.size(s) <= max_parts, s))
+    return split.withColumn("segments", segments)
+
+
+def read_segments(reads: DataFrame, min_mapq: int = 20, max_parts: int = 7) -> DataFrame:
+    """``with_segments`` without the reads that have too many."""
+    return with_segments(reads, min_mapq, max_parts).where(F.col("segments").isNotNull())
 
 
 def _mirror(segment: Column) -> Column:
@@ -98,10 +108,10 @@ def _units(segments: Column) -> Column:
     return F.when(n == 2, pair).when(n >= 3, F.concat(triples, outer)).otherwise(F.array().cast(f"array<{unit}>"))
 
 
-def _candidate(when: Column, kind: str, contig: Column, a: Column, b: Column, seq: Column | None = None,
+def _candidate(rule: int, when: Column, kind: str, contig: Column, a: Column, b: Column, seq: Column | None = None,
                strand: Column | str | None = None, partner: Column | None = None) -> Column:
     strand = F.lit(strand) if not isinstance(strand, Column) else strand
-    body = F.struct(F.lit(kind).alias("kind"), contig.alias("contig"), a.cast("double").alias("a"),
+    body = F.struct(F.lit(rule).alias("rule"), F.lit(kind).alias("kind"), contig.alias("contig"), a.cast("double").alias("a"),
                     b.cast("bigint").alias("b"), (F.lit(None) if seq is None else seq).cast("string").alias("seq"),
                     strand.cast("string").alias("strand"),
                     (F.lit(None) if partner is None else partner).cast("string").alias("partner"))
@@ -117,7 +127,7 @@ def _inserted(first: Column, second: Column, shift: Column) -> Column:
     return cg.slice_text(F.col("oriented"), first["q1"] + _half(shift), second["q0"] - _half(shift))
 
 
-def _breakend(when: Column, e1: Column, e2: Column) -> Column:
+def _breakend(rule: int, when: Column, e1: Column, e2: Column) -> Column:
     """Translocation between two segments, anchored on the contig whose name sorts first."""
     at1 = F.when(e1["st"] == "+", e1["r1"]).otherwise(e1["r0"])
     at2 = F.when(e2["st"] == "+", e2["r0"]).otherwise(e2["r1"])
@@ -126,7 +136,7 @@ def _breakend(when: Column, e1: Column, e2: Column) -> Column:
               .when((e1["st"] == "+"), "B").when(e2["st"] == "+", "C")
               .otherwise(F.when(ahead, "D").otherwise("A")))
     near = e2["q0"] - e1["q1"] <= BREAKEND_READ_GAP
-    return _candidate(when & near, "TRA", F.when(ahead, e1["ctg"]).otherwise(e2["ctg"]),
+    return _candidate(rule, when & near, "TRA", F.when(ahead, e1["ctg"]).otherwise(e2["ctg"]),
                       F.when(ahead, at1).otherwise(at2), F.when(ahead, at2).otherwise(at1),
                       strand=letter, partner=F.when(ahead, e2["ctg"]).otherwise(e1["ctg"]))
 
@@ -137,7 +147,8 @@ def split_candidates(reads: DataFrame, min_sv_size: int = 30, max_sv_size: int =
 
     ``a``/``b`` are position and length (DEL, INS), start and end (DUP, INV), or both positions (TRA).
     """
-    df = read_segments(reads, min_mapq, max_parts)
+    # No filter on the segments here: it would be pushed below them and compute them twice.
+    df = with_segments(reads, min_mapq, max_parts)
     df = df.select(*keep, "query_length", "flag", "seq", F.inline(_units(F.col("segments"))))
     e1, e2, e3 = F.col("e1"), F.col("e2"), F.col("e3")
     triple, pair, outer = F.col("mode") == "triple", F.col("mode") == "pair", F.col("mode") == "outer"
@@ -167,14 +178,14 @@ def split_candidates(reads: DataFrame, min_sv_size: int = 30, max_sv_size: int =
     extra = read_gap + back
     clear = F.coalesce(o3["r0"] >= o2["r1"], F.lit(True))
 
-    def insertion(when: Column) -> Column:
+    def insertion(number: int, when: Column) -> Column:
         rule = (back < F.greatest(size, extra / 5)) & (extra >= size) & (-back <= F.greatest(F.lit(100), extra / 5)) & fits(extra)
-        return _candidate(when & rule, "INS", o2["ctg"], (o2["r0"] + o1["r1"]) / 2, extra, _inserted(o1, o2, -back))
+        return _candidate(number, when & rule, "INS", o2["ctg"], (o2["r0"] + o1["r1"]) / 2, extra, _inserted(o1, o2, -back))
 
-    def deletion(when: Column) -> Column:
+    def deletion(number: int, when: Column) -> Column:
         lost = -extra
         rule = (back < F.greatest(size, lost / 5)) & (lost >= size) & (read_gap <= F.greatest(F.lit(100), lost / 5)) & fits(lost)
-        return _candidate(when & rule, "DEL", o2["ctg"], o1["r1"], lost)
+        return _candidate(number, when & rule, "DEL", o2["ctg"], o1["r1"], lost)
 
     # Inversion of a pair: both ends of the flipped part, and half of it as slack on the read.
     forward = e1["st"] == "+"
@@ -193,29 +204,28 @@ def split_candidates(reads: DataFrame, min_sv_size: int = 30, max_sv_size: int =
     ref_gap = -back
     surplus = read_gap - ref_gap
     rules = [
-        _candidate(pair & straight & (back >= size) & (read_gap >= back) & (extra >= size) & fits(extra), "INS", o2["ctg"],
+        _candidate(0, pair & straight & (back >= size) & (read_gap >= back) & (extra >= size) & fits(extra), "INS", o2["ctg"],
                    (o1["r1"] + o2["r0"]) / 2, extra, _inserted(o1, o2, back)),
-        _candidate(pair & straight & (back >= size) & (read_gap < back) & fits(back), "DUP", o2["ctg"], o2["r0"], o1["r1"]),
-        insertion(pair & straight),
-        deletion(pair & straight),
-        _candidate(pair_inversion, "INV", e1["ctg"], F.least(flip1, flip2), F.greatest(flip1, flip2),
+        _candidate(1, pair & straight & (back >= size) & (read_gap < back) & fits(back), "DUP", o2["ctg"], o2["r0"], o1["r1"]),
+        insertion(2, pair & straight),
+        deletion(3, pair & straight),
+        _candidate(4, pair_inversion, "INV", e1["ctg"], F.least(flip1, flip2), F.greatest(flip1, flip2),
                    strand=F.when(forward, "++").otherwise("--")),
-        _breakend(pair & (e1["ctg"] != e2["ctg"]), e1, e2),
-        _candidate(middle_reverse & fits(e2["r1"] - e1["r1"]), "INV", e1["ctg"], e1["r1"], e2["r1"], strand="++"),
-        _candidate(middle_reverse & fits(e3["r0"] - e2["r0"]), "INV", e1["ctg"], e2["r0"], e3["r0"], strand="--"),
-        _candidate(middle_forward & fits(e2["r1"] - e3["r1"]), "INV", e1["ctg"], e3["r1"], e2["r1"], strand="++"),
-        _candidate(middle_forward & fits(e1["r0"] - e2["r0"]), "INV", e1["ctg"], e2["r0"], e1["r0"], strand="--"),
-        _candidate(triple & straight & (o2["r1"] - o3["r0"] >= size) & (o2["r0"] < o3["r1"]) & fits(o2["r1"] - o3["r0"]),
+        _breakend(5, pair & (e1["ctg"] != e2["ctg"]), e1, e2),
+        _candidate(6, middle_reverse & fits(e2["r1"] - e1["r1"]), "INV", e1["ctg"], e1["r1"], e2["r1"], strand="++"),
+        _candidate(7, middle_reverse & fits(e3["r0"] - e2["r0"]), "INV", e1["ctg"], e2["r0"], e3["r0"], strand="--"),
+        _candidate(8, middle_forward & fits(e2["r1"] - e3["r1"]), "INV", e1["ctg"], e3["r1"], e2["r1"], strand="++"),
+        _candidate(9, middle_forward & fits(e1["r0"] - e2["r0"]), "INV", e1["ctg"], e2["r0"], e1["r0"], strand="--"),
+        _candidate(10, triple & straight & (o2["r1"] - o3["r0"] >= size) & (o2["r0"] < o3["r1"]) & fits(o2["r1"] - o3["r0"]),
                    "DUP", o2["ctg"], o3["r0"], o2["r1"]),
-        _candidate(triple & straight & (F.col("at") == 0) & (back >= size) & fits(back), "DUP", o2["ctg"], o2["r0"], o1["r1"]),
-        insertion(triple & straight & clear),
-        deletion(triple & straight & clear),
-        _breakend(triple & (e1["ctg"] != e2["ctg"]), e1, e2),
-        _breakend(triple & (e1["ctg"] != e2["ctg"]) & F.col("last") & (e2["ctg"] != e3["ctg"]), e2, e3),
-        _candidate(outer & (F.abs(ref_gap) < F.greatest(size, surplus / 5)) & (surplus >= size) & fits(surplus), "INS",
+        _candidate(11, triple & straight & (F.col("at") == 0) & (back >= size) & fits(back), "DUP", o2["ctg"], o2["r0"], o1["r1"]),
+        insertion(12, triple & straight & clear),
+        deletion(13, triple & straight & clear),
+        _breakend(14, triple & (e1["ctg"] != e2["ctg"]), e1, e2),
+        _breakend(15, triple & (e1["ctg"] != e2["ctg"]) & F.col("last") & (e2["ctg"] != e3["ctg"]), e2, e3),
+        _candidate(16, outer & (F.abs(ref_gap) < F.greatest(size, surplus / 5)) & (surplus >= size) & fits(surplus), "INS",
                    o2["ctg"], F.least(o2["r0"], o1["r1"]), surplus, _inserted(o1, o2, ref_gap)),
-        _candidate(outer & (ref_gap <= -size) & fits(-ref_gap), "DUP", o2["ctg"], o2["r0"], o1["r1"]),
+        _candidate(17, outer & (ref_gap <= -size) & fits(-ref_gap), "DUP", o2["ctg"], o2["r0"], o1["r1"]),
     ]
-    tagged = F.array(*[F.when(r.isNotNull(), F.struct(F.lit(i).alias("rule"), r.alias("c"))) for i, r in enumerate(rules)])
-    found = F.filter(tagged, lambda c: c.isNotNull())
-    return df.select(*keep, "mode", "at", F.inline(found)).select(*keep, "mode", "at", "rule", "c.*")
+    found = F.filter(F.array(*rules), lambda c: c.isNotNull())
+    return df.select(*keep, "mode", "at", F.inline(found))
