@@ -54,15 +54,20 @@ def _first_hint(value: Column, hints) -> Column:
 
 
 def normalize_svtype(value: Column) -> Column:
-    """Canonical type of a free-form label, NULL where none applies."""
+    """Canonical type of a free-form label, NULL where none applies.
+
+    A whole label is looked up; otherwise a canonical type counts as a prefix before, or a suffix behind,
+    a colon or underscore. Of two such types the one listed first wins.
+    """
     label = strip(F.upper(value))
-    affix = F.lit(None).cast("string")
-    for svtype in reversed(CANONICAL_TYPES):
-        affix = F.when(label.rlike(f"^{svtype}[:_]|[:_]{svtype}$"), F.lit(svtype)).otherwise(affix)
-    expr = F.when(label.isin(*CANONICAL_TYPES), label)
-    for synonym, svtype in TYPE_SYNONYMS.items():
-        expr = expr.when(label == synonym, F.lit(svtype))
-    return expr.otherwise(affix)
+    names = {name: name for name in CANONICAL_TYPES} | TYPE_SYNONYMS
+    whole = F.expr("map(" + ", ".join(f"'{label}', '{svtype}'" for label, svtype in names.items()) + ")")
+    order = F.expr("array(" + ", ".join(f"'{name}'" for name in CANONICAL_TYPES) + ")")
+    either = "|".join(CANONICAL_TYPES)
+    front = F.array_position(order, F.regexp_extract(label, f"^({either})[:_]", 1))
+    back = F.array_position(order, F.regexp_extract(label, f"[:_]({either})$", 1))
+    first = F.least(F.nullif(front, F.lit(0)), F.nullif(back, F.lit(0)))
+    return F.coalesce(F.try_element_at(whole, label), F.get(order, (first - 1).cast("int")))
 
 
 def guess_svtype(svtype: Column, source: Column, svlen: Column, tstart: Column, tend: Column,

@@ -39,7 +39,10 @@ def with_bucket(df: DataFrame, include_tra: bool = False) -> DataFrame:
 
 
 def partition_by_position(df: DataFrame, params: GraphParams) -> DataFrame:
-    """Add ``sess`` and ``chunk`` per (contig, bucket)."""
+    """Add ``sess`` and ``chunk`` per (contig, bucket).
+
+    Best done on bare signatures, before vectors are added: this shuffles whole rows once.
+    """
     return gap_sessions(df, ["contig", "bucket"], "tstart", "sid", params.max_position_gap, params.max_group_size)
 
 
@@ -162,8 +165,8 @@ def _edge_weights(table: pa.Table, params: GraphParams):
 
 
 def _ready(df: DataFrame, params: GraphParams, include_tra: bool) -> DataFrame:
-    """Partitioned signatures with the columns the chunk step reads."""
-    parted = partition_by_position(with_bucket(df, include_tra), params)
+    """Partitioned signatures with the columns the chunk step reads; already partitioned ones stay as they are."""
+    parted = df if "chunk" in df.columns else partition_by_position(with_bucket(df, include_tra), params)
     sim_len = F.when(F.col("bucket") == "INS", F.abs(F.coalesce("svlen", F.lit(0)))).otherwise(
         iv.length_estimate(F.col("svlen"), F.col("tstart"), F.col("tend")))
     return parted.withColumn("center", iv.center(F.col("tstart"), F.col("tend"))).withColumn("sim_len", sim_len)

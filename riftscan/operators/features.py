@@ -28,7 +28,9 @@ def _flag(condition: Column) -> Column:
 
 
 def with_guess(df: DataFrame) -> DataFrame:
-    """Add ``guess``, the inferred type of every signature."""
+    """Add ``guess``, the inferred type of every signature, unless it is there."""
+    if "guess" in df.columns:
+        return df
     legacy = F.col("type") if "type" in df.columns else None
     return df.withColumn("guess", sv.guess_svtype(
         F.col("svtype"), F.col("source"), F.col("svlen"), F.col("tstart"), F.col("tend"), F.col("sa_contigs"), legacy))

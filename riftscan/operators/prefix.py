@@ -8,8 +8,6 @@ form exactly.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,13 +17,6 @@ BLOCK_BP = 1 << 16
 ID_BLOCK = 1_000_000
 
 
-def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Equi-join that also matches NULL keys, keeping the left key columns."""
-    renamed = right.select(*[F.col(k).alias(f"__r_{k}") if k in keys else F.col(k) for k in right.columns])
-    condition = reduce(lambda a, b: a & b, [left[k].eqNullSafe(renamed[f"__r_{k}"]) for k in keys])
-    return left.join(renamed, condition, how).drop(*[f"__r_{k}" for k in keys])
-
-
 def gap_sessions(df: DataFrame, keys: list[str], pos: str, ident: str, max_gap: int, max_size: int,
                  block_bp: int = BLOCK_BP, id_block: int = ID_BLOCK) -> DataFrame:
     """Add ``sess`` and ``chunk``: position sessions per key, cut into chunks of at most ``max_size`` rows.
@@ -33,8 +24,9 @@ def gap_sessions(df: DataFrame, keys: list[str], pos: str, ident: str, max_gap:
     Order is (``pos``, ``ident``). A row opens a session if it lies more than ``max_gap`` behind the
     row before it; ``chunk`` counts full chunks inside the session. Rows are first counted per position
     and id block, which collapses hot positions before anything is ordered; ``ident`` must be unique and
-    non-negative for the id blocks to stay bounded.
+    non-negative for the id blocks to stay bounded. Keys, position and id must not be NULL.
     """
+    columns = df.columns
     df = df.withColumn("__blk", F.floor(F.col(pos) / block_bp)).withColumn("__ib", F.floor(F.col(ident) / id_block))
     spots = df.groupBy(*keys, "__blk", pos, "__ib").agg(F.count(F.lit(1)).alias("__n"))
 
@@ -66,18 +58,18 @@ def gap_sessions(df: DataFrame, keys: list[str], pos: str, ident: str, max_gap:
                     .otherwise(F.last("__opened", ignorenulls=True).over(earlier)))
         .select(*keys, "__blk", "__offset", "__sess0", "__carried")
     )
-    placed = _null_safe_join(spots, blocks, [*keys, "__blk"]).select(
+    placed = spots.join(blocks, [*keys, "__blk"]).select(
         *keys, "__blk", pos, "__ib",
         (F.col("__sess0") + F.col("__local")).alias("sess"),
         (F.col("__offset") + F.col("__before") - F.when(F.col("__local") == 0, F.col("__carried"))
          .otherwise(F.col("__offset") + F.col("__local_open"))).alias("__at"),
     )
-    rows = _null_safe_join(df, placed, [*keys, "__blk", pos, "__ib"])
+    rows = df.join(placed, [*keys, "__blk", pos, "__ib"])
     rank = F.row_number().over(Window.partitionBy(*keys, "__blk", pos, "__ib").orderBy(ident))
     return (
         rows
         .withColumn("chunk", F.floor((F.col("__at") + rank - 1) / max_size))
-        .drop("__blk", "__ib", "__at")
+        .select(*columns, "sess", "chunk")
     )
 
 
@@ -85,8 +77,10 @@ def ranked(df: DataFrame, name: str, major: list[Column], minor: list[Column], o
     """Add ``name``: the 1-based position in the order (``major``, ``minor``, ``order``).
 
     ``major`` x ``minor`` name the blocks: rows are ranked inside a block, and block sizes are summed up
-    in two steps (inside a major key, then over the few major keys), so no task sees all rows.
+    in two steps (inside a major key, then over the few major keys), so no task sees all rows. The
+    blocks' expressions must not be NULL.
     """
+    columns = df.columns
     majors = [f"__ma{i}" for i in range(len(major))]
     minors = [f"__mi{i}" for i in range(len(minor))]
     for alias, expr in zip(majors + minors, major + minor):
@@ -98,11 +92,11 @@ def ranked(df: DataFrame, name: str, major: list[Column], minor: list[Column], o
     # One row per major key (contig, evidence class): small whatever the data size.
     over_majors = Window.partitionBy(F.lit(0)).orderBy(*majors).rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.withColumn("__base", F.coalesce(F.sum("__t").over(over_majors), F.lit(0))).drop("__t")
-    offsets = _null_safe_join(sizes, totals, majors).select(
+    offsets = sizes.join(totals, majors).select(
         *majors, *minors, (F.col("__in") + F.col("__base")).alias("__off"))
-    rows = _null_safe_join(df, offsets, majors + minors)
+    rows = df.join(offsets, majors + minors)
     inside = Window.partitionBy(*majors, *minors).orderBy(*order)
-    return rows.withColumn(name, F.col("__off") + F.row_number().over(inside)).drop(*majors, *minors, "__off")
+    return rows.withColumn(name, F.col("__off") + F.row_number().over(inside)).select(*columns, name)
 
 
 def merge_touching(df: DataFrame, keys: list[str], start: str = "start", end: str = "end",

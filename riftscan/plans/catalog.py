@@ -15,6 +15,7 @@ from ..functions import similarity as sm
 from ..functions import svtype as sv
 from ..functions import tokens as tk
 from ..functions.limits import CallParams
+from ..models.encoder import embed
 from ..operators import bed as bd
 from ..operators import calls as ca
 from ..operators import cluster as cl
@@ -394,9 +395,10 @@ def preset_interp(spark, d):
 
 # ---------------------------------------------------------------- clustering
 
-def _embedded(spark, d):
-    """Signatures with the identity embedding: their feature vector over its length."""
-    return ft.node_features(fx.sig(spark, d)).withColumn("emb", ft.l2_normalise(F.col("feat")))
+def _embedded(spark, d, params=STRICT_GRAPH, include_tra=False):
+    """Partitioned signatures with the identity embedding: their feature vector over its length."""
+    parts = cl.partition_by_position(cl.with_bucket(fx.sig(spark, d), include_tra), params)
+    return embed(ft.node_features(parts)).drop("feat")
 
 
 @query
@@ -463,7 +465,7 @@ def connected_components(spark, d):
 # ---------------------------------------------------------------- calls
 
 def _clusters(spark, d):
-    return cl.clusters(_embedded(spark, d), CALL_GRAPH, include_tra=True)
+    return cl.clusters(_embedded(spark, d, CALL_GRAPH, True), CALL_GRAPH)
 
 
 def _summary(spark, d, params=CALL_PARAMS):
