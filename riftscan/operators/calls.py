@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import interval as iv
@@ -33,37 +33,26 @@ def split_alleles(members: DataFrame, ratio_threshold: float, key: str = "cluste
 
     All windows share the cluster key, so this costs no shuffle beyond the one the aggregation needs.
     """
-    order = Window.partitionBy(key).orderBy(length, ident)
-    whole = Window.partitionBy(key)
-    previous = F.lag(length).over(order)
-    df = (
-        members
-        .withColumn("__rn", F.row_number().over(order))
-        .withColumn("__ratio", length_ratio(previous, F.col(length)))
-        .withColumn("__gap", F.round(F.log1p(F.col(length).cast("double")) - F.log1p(previous.cast("double")), _GAP_DIGITS))
-        .withColumn("__n", F.count(F.lit(1)).over(whole))
-        .withColumn("__spread", F.max(length).over(whole) / F.min(length).over(whole))
-        .withColumn("__top", F.max("__gap").over(whole))
-        .withColumn("__cut", F.min(F.when(F.col("__gap") == F.col("__top"), F.struct("__rn", "__ratio"))).over(whole))
-    )
-    wide = F.col("__cut.__ratio") >= max(1.2, float(ratio_threshold) ** 0.5)
-    splits = (F.col("__n") >= 4) & (F.col("__spread") >= float(ratio_threshold)) & wide
-    allele = F.when(F.coalesce(splits, F.lit(False)) & (F.col("__rn") >= F.col("__cut.__rn")), 1).otherwise(0)
-    return df.withColumn("allele", allele).drop("__rn", "__ratio", "__gap", "__n", "__spread", "__top", "__cut")
-
-
-def length_ratio(shorter: Column, longer: Column) -> Column:
-    return longer / F.greatest(F.lit(1), shorter)
+    ordered = f"(partition by {key} order by {length}, {ident})"
+    whole = f"(partition by {key})"
+    marked = members.selectExpr(
+        "*", f"row_number() over {ordered} as __rn", f"lag({length}) over {ordered} as __prev",
+        f"count(1) over {whole} as __n", f"max({length}) over {whole} / min({length}) over {whole} as __spread")
+    gaps = marked.selectExpr("*", f"round(log1p(double({length})) - log1p(double(__prev)), {_GAP_DIGITS}) as __gap")
+    # First largest gap of the cluster: its place and the ratio of the two lengths around it.
+    cut = gaps.selectExpr("*", f"max(struct(__gap, -__rn as at, {length} / greatest(1, __prev) as ratio)) over {whole} as __cut")
+    wide = max(1.2, float(ratio_threshold) ** 0.5)
+    allele = F.expr(f"if(__n >= 4 and __spread >= {float(ratio_threshold)}D and __cut.ratio >= {wide}D and __rn >= -__cut.at, 1, 0)")
+    return cut.withColumn("allele", allele).select(*members.columns, "allele")
 
 
 def _members(clusters: DataFrame, params: CallParams) -> DataFrame:
     """Cluster members with the call type, the per-record lengths and the allele number."""
-    df = (
-        clusters
-        .withColumn("call_type", F.when(F.col("bucket") == "UNK", F.lit("INS")).otherwise(F.col("bucket")))
-        .withColumn("allele_len", F.greatest(F.lit(1), F.abs(F.coalesce("svlen", F.lit(0)))))
-        .withColumn("event_len", iv.event_length(F.col("svlen"), F.col("tstart"), F.col("tend")))
-    )
+    df = clusters.withColumns({
+        "call_type": F.expr("if(bucket = 'UNK', 'INS', bucket)"),
+        "allele_len": F.expr("greatest(1, abs(coalesce(svlen, 0)))"),
+        "event_len": iv.event_length(F.col("svlen"), F.col("tstart"), F.col("tend")),
+    })
     if not params.split_alleles:
         return df.withColumn("allele", F.lit(0))
     split = split_alleles(df, params.length_ratio_threshold)
@@ -86,7 +75,7 @@ def cluster_summary(clusters: DataFrame, params: CallParams, dim: int) -> DataFr
     name = F.nullif(F.btrim(F.coalesce("qname", F.lit(""))), F.lit(""))
     tag = F.upper(F.coalesce("source", F.lit("")))
     n = F.count(F.lit(1))
-    centroid = F.array(*[F.avg(F.col("emb")[i]) for i in range(dim)])
+    centroid = F.expr("array(" + ", ".join(f"avg(emb[{i}])" for i in range(dim)) + ")")
     summary = members.groupBy("cluster_id", "allele").agg(
         F.first("contig").alias("contig"),
         F.first("call_type").alias("svtype"),

@@ -23,10 +23,6 @@ BASE_DIM = 24
 FULL_DIM = 27
 
 
-def _flag(condition: Column) -> Column:
-    return F.when(condition, F.lit(1.0)).otherwise(F.lit(0.0))
-
-
 def with_guess(df: DataFrame) -> DataFrame:
     """Add ``guess``, the inferred type of every signature, unless it is there."""
     if "guess" in df.columns:
@@ -36,42 +32,47 @@ def with_guess(df: DataFrame) -> DataFrame:
         F.col("svtype"), F.col("source"), F.col("svlen"), F.col("tstart"), F.col("tend"), F.col("sa_contigs"), legacy))
 
 
-def feature_columns(df: DataFrame, platform: str | None = None) -> dict[str, Column]:
-    """Name -> expression of the 27 node features. Needs ``guess``; ``local_depth`` counts as 0 if absent."""
-    present = set(df.columns)
-    kind, source = F.col("guess"), F.col("source")
-    support = iv.support_value(F.col("support"), F.col("num_splits"))
-    depth = F.col("local_depth") if "local_depth" in present else F.lit(0.0)
-    strand = sv.strip(F.coalesce("strand", F.lit("")))
-    has_seq = F.length("insert_seq") > 0 if "insert_seq" in present else F.lit(False)
-    tagged = tk.normalize_platform(F.col("platform")) if "platform" in present else F.lit(None).cast("string")
-    where_from = F.coalesce(tk.normalize_platform(F.lit(platform)), tagged) if platform else tagged
-    box = iv.safe_interval(F.col("tstart"), F.col("tend"))
-    values = {name: _flag(kind == svtype) for name, svtype in
-              zip(("is_del", "is_ins", "is_dup", "is_inv", "is_tra"), sv.CANONICAL_TYPES)}
+def _tag(*keys: str) -> str:
+    """1 when the source tag mentions any of the keys (a key never spans two tokens)."""
+    tag = "upper(coalesce(source, ''))"
+    return f"double({' or '.join(f'contains({tag}, {chr(39)}{k}{chr(39)})' for k in keys)})"
+
+
+def feature_expressions(columns: list[str]) -> dict[str, str]:
+    """Name -> SQL expression of the 27 node features.
+
+    Needs ``guess`` and ``platform_key``; ``local_depth`` counts as 0 and ``insert_seq`` as missing if the
+    table lacks them.
+    """
+    present = set(columns)
+    span = "(greatest(tstart, tend, least(tstart, tend) + 1) - least(tstart, tend))"
+    support = "greatest(1, coalesce(support, 0), coalesce(num_splits, 0))"
+    depth = "local_depth" if "local_depth" in present else "0D"
+    strand = "trim(coalesce(strand, ''))"
+    has_seq = "coalesce(length(insert_seq) > 0, false)" if "insert_seq" in present else "false"
+    values = {f"is_{t.lower()}": f"double(guess = '{t}')" for t in sv.CANONICAL_TYPES}
     values |= {
-        "log_span": F.log1p((box["right"] - box["left"]).cast("double")),
-        "log_svlen": F.log1p(F.greatest(F.lit(1), iv.length_estimate(F.col("svlen"), F.col("tstart"), F.col("tend"))).cast("double")),
-        "log_support": F.log1p(support.cast("double")),
-        "mapq_norm": F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("mapq", F.lit(0)) / 60.0)),
-        "confidence": F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("confidence", F.lit(0.0)))),
-        "src_cigar": tk.mentions(source, "CIGAR", "GAP"),
-        "src_split": tk.mentions(source, "SA", "SPLIT"),
-        "src_clip": tk.mentions(source, "CLIP"),
-        "has_seq": _flag(F.coalesce(has_seq, F.lit(False))),
-        "inv_pp": _flag(strand == "++"),
-        "inv_mm": _flag(strand == "--"),
-        "tag_cigar": tk.mentions(source, "CIGAR"),
-        "tag_sa": tk.mentions(source, "SA_TAG"),
-        "tag_sa_multi": tk.mentions(source, "SA_TAG_MULTI"),
-        "tag_sa_multi_ins": tk.mentions(source, "SA_TAG_MULTI_INS"),
-        "tag_clip_left": tk.mentions(source, "CLIP_LEFT", "CLIP_L"),
-        "tag_clip_right": tk.mentions(source, "CLIP_RIGHT", "CLIP_R"),
-        "log_depth": F.log1p(F.greatest(F.lit(0.0), depth)),
-        "vaf": F.when(depth > 0, F.least(F.lit(2.0), support / depth)).otherwise(F.lit(0.0)),
+        "log_span": f"log1p(double({span}))",
+        "log_svlen": f"log1p(double(if(coalesce(svlen, 0) <> 0, abs(svlen), {span})))",
+        "log_support": f"log1p(double({support}))",
+        "mapq_norm": "greatest(0D, least(1D, coalesce(mapq, 0) / 60D))",
+        "confidence": "greatest(0D, least(1D, double(coalesce(confidence, 0D))))",
+        "src_cigar": _tag("CIGAR", "GAP"),
+        "src_split": _tag("SA", "SPLIT"),
+        "src_clip": _tag("CLIP"),
+        "has_seq": f"double({has_seq})",
+        "inv_pp": f"double({strand} = '++')",
+        "inv_mm": f"double({strand} = '--')",
+        "tag_cigar": _tag("CIGAR"),
+        "tag_sa": _tag("SA_TAG"),
+        "tag_sa_multi": _tag("SA_TAG_MULTI"),
+        "tag_sa_multi_ins": _tag("SA_TAG_MULTI_INS"),
+        "tag_clip_left": _tag("CLIP_LEFT", "CLIP_L"),
+        "tag_clip_right": _tag("CLIP_RIGHT", "CLIP_R"),
+        "log_depth": f"log1p(greatest(0D, {depth}))",
+        "vaf": f"if({depth} > 0, least(2D, {support} / {depth}), 0D)",
     }
-    values |= {f"platform_{name}": _flag(F.coalesce(where_from == name, F.lit(False))) for name in ("ont", "ccs", "clr")}
-    return values
+    return values | {f"platform_{p}": f"double(coalesce(platform_key = '{p}', false))" for p in ("ont", "ccs", "clr")}
 
 
 def node_features(signatures: DataFrame, platform: str | None = None, feature_dim: int = FULL_DIM) -> DataFrame:
@@ -79,8 +80,11 @@ def node_features(signatures: DataFrame, platform: str | None = None, feature_di
     if feature_dim not in (BASE_DIM, FULL_DIM):
         raise ValueError(f"feature_dim must be {BASE_DIM} or {FULL_DIM}, got {feature_dim}")
     df = with_guess(signatures)
-    values = feature_columns(df, platform)
-    return df.withColumn("feat", F.array(*[values[name] for name in NODE_FEATURES[:feature_dim]]))
+    values = feature_expressions(df.columns)
+    own = tk.normalize_platform(F.col("platform")) if "platform" in df.columns else F.lit(None).cast("string")
+    key = F.coalesce(tk.normalize_platform(F.lit(platform)), own) if platform else own
+    vector = F.expr("array(" + ", ".join(values[name] for name in NODE_FEATURES[:feature_dim]) + ")")
+    return df.withColumn("platform_key", key).withColumn("feat", vector).drop("platform_key")
 
 
 def build_features(signatures: DataFrame, alignments: DataFrame | None = None, contigs: DataFrame | None = None,

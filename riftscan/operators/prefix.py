@@ -30,40 +30,31 @@ def gap_sessions(df: DataFrame, keys: list[str], pos: str, ident: str, max_gap:
     df = df.withColumn("__blk", F.floor(F.col(pos) / block_bp)).withColumn("__ib", F.floor(F.col(ident) / id_block))
     spots = df.groupBy(*keys, "__blk", pos, "__ib").agg(F.count(F.lit(1)).alias("__n"))
 
-    inside = Window.partitionBy(*keys, "__blk").orderBy(pos, "__ib")
-    running = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    key = ", ".join(keys)
+    inside = f"(partition by {key}, __blk order by {pos}, __ib)"
     spots = (
         spots
-        .withColumn("__brk", F.when(F.col(pos) - F.lag(pos).over(inside) > max_gap, 1).otherwise(0))
-        .withColumn("__local", F.sum("__brk").over(running))
-        .withColumn("__before", F.sum("__n").over(running) - F.col("__n"))
-        .withColumn("__local_open", F.max(F.when(F.col("__brk") == 1, F.col("__before"))).over(running))
+        .selectExpr("*", f"if({pos} - lag({pos}) over {inside} > {max_gap}, 1, 0) as __brk", f"sum(__n) over {inside} - __n as __before")
+        # Breaks so far in the block, and the row offset at which the last of them opened a session.
+        .selectExpr("*", f"sum(__brk) over {inside} as __local", f"max(if(__brk = 1, __before, null)) over {inside} as __local_open")
     )
-    blocks = spots.groupBy(*keys, "__blk").agg(
-        F.min(pos).alias("__first"), F.max(pos).alias("__last"), F.sum("__n").alias("__rows"),
-        F.max("__local").alias("__breaks"), F.max("__local_open").alias("__open_at"))
-    across = Window.partitionBy(*keys).orderBy("__blk")
-    earlier = across.rowsBetween(Window.unboundedPreceding, -1)
-    upto = across.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    previous_last = F.lag("__last").over(across)
+    across = f"(partition by {key} order by __blk)"
+    earlier = f"(partition by {key} order by __blk rows between unbounded preceding and 1 preceding)"
     blocks = (
-        blocks
-        .withColumn("__edge", F.when(previous_last.isNull() | (F.col("__first") - previous_last > max_gap), 1).otherwise(0))
-        .withColumn("__offset", F.coalesce(F.sum("__rows").over(earlier), F.lit(0)))
-        .withColumn("__sess0", F.sum(F.col("__edge") + F.col("__breaks")).over(upto) - F.col("__breaks") - 1)
+        spots.groupBy(*keys, "__blk").agg(
+            F.min(pos).alias("__first"), F.max(pos).alias("__last"), F.sum("__n").alias("__rows"),
+            F.max("__local").alias("__breaks"), F.max("__local_open").alias("__open_at"))
+        .selectExpr("*", f"if(__first - lag(__last) over {across} <= {max_gap}, 0, 1) as __edge",
+                    f"coalesce(sum(__rows) over {earlier}, 0) as __offset")
         # Where the session that is open at the end of a block began, as a row offset in the key.
-        .withColumn("__opened", F.when(F.col("__breaks") > 0, F.col("__offset") + F.col("__open_at"))
-                    .when(F.col("__edge") == 1, F.col("__offset")))
-        .withColumn("__carried", F.when(F.col("__edge") == 1, F.col("__offset"))
-                    .otherwise(F.last("__opened", ignorenulls=True).over(earlier)))
-        .select(*keys, "__blk", "__offset", "__sess0", "__carried")
-    )
-    placed = spots.join(blocks, [*keys, "__blk"]).select(
-        *keys, "__blk", pos, "__ib",
-        (F.col("__sess0") + F.col("__local")).alias("sess"),
-        (F.col("__offset") + F.col("__before") - F.when(F.col("__local") == 0, F.col("__carried"))
-         .otherwise(F.col("__offset") + F.col("__local_open"))).alias("__at"),
+        .selectExpr("*", f"sum(__edge + __breaks) over {across} - __breaks - 1 as __sess0",
+                    "case when __breaks > 0 then __offset + __open_at when __edge = 1 then __offset end as __opened")
+        .selectExpr(*keys, "__blk", "__offset", "__sess0",
+                    f"if(__edge = 1, __offset, last(__opened, true) over {earlier}) as __carried")
     )
+    placed = spots.join(blocks, [*keys, "__blk"]).selectExpr(
+        *keys, "__blk", pos, "__ib", "__sess0 + __local as sess",
+        "__offset + __before - if(__local = 0, __carried, __offset + __local_open) as __at")
     rows = df.join(placed, [*keys, "__blk", pos, "__ib"])
     rank = F.row_number().over(Window.partitionBy(*keys, "__blk", pos, "__ib").orderBy(ident))
     return (
