@@ -167,12 +167,13 @@ def train_encoder(train: DataFrame, validation: DataFrame | None = None, epochs:
 
     Feature mean and scale are recorded; inference feeds raw features, so normalising is off by default.
     """
-    stats = feature_stats(train, "x")
+    train = materialise(train.select("id", "x", "y"))
+    dim = len(train.first()["x"])
+    stats = materialise(feature_stats(train, "x", dim))
     if normalise:
         validation = None if validation is None else standardise(validation, stats, "x").select("id", F.col("z").alias("x"), "y")
         train = standardise(train, stats, "x").select("id", F.col("z").alias("x"), "y")
     rows = materialise(train.select("id", "x", F.col("y").cast("double").alias("y")))
-    dim = len(rows.first()["x"])
     weights = init_training(dim, embed_dim, hidden_dims, projector_hidden, proj_dim, type_weight > 0, seed)
     history = []
 
@@ -185,7 +186,7 @@ def train_encoder(train: DataFrame, validation: DataFrame | None = None, epochs:
                                     batch_size, epoch, seed, tasks, min_batch=2)
         entry = {"epoch": epoch, "lr": rate, "loss": loss}
         if validation is not None and (epoch in (1, int(epochs)) or epoch % eval_every == 0):
-            entry |= {f"val_{k}": v for k, v in embedding_stats(embed(validation, weights, "x")).first().asDict().items()}
+            entry |= {f"val_{k}": v for k, v in embedding_stats(embed(validation, weights, "x"), dim=embed_dim).first().asDict().items()}
         history.append(entry)
     encoder = {k: v for k, v in weights.items() if k[0] in "ho"}
     recorded = {r["dim"]: (r["mean"], r["scale"]) for r in stats.collect()}

@@ -99,7 +99,7 @@ def train_scorer(train: DataFrame, validation: DataFrame | None = None, test: Da
                  tasks: int | None = None) -> tuple[dict, dict]:
     """Train on rows (id, x, y); return (model, summary). The threshold comes from validation, else train."""
     train = materialise(train.select("id", "x", "y"))
-    stats = feature_stats(train, "x")
+    stats = materialise(feature_stats(train, "x", len(names)))
     table = {r["dim"]: (r["mean"], r["scale"]) for r in stats.collect()}
     mean, scale = ([table[i][k] for i in range(len(names))] for k in (0, 1))
     rows = materialise(standardise(train, stats, "x").select("id", F.col("z").alias("x"), F.col("y").cast("double").alias("y")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import small_table
 from .prefix import merge_touching
 
 #: Width of the lookup bins of the overlap join.
@@ -50,7 +51,7 @@ def _with_overlap(df: DataFrame, bed: DataFrame, start: str, end: str, bin_bp: i
     lookup per row in the bin of its last base, no exploding of rows and nothing to deduplicate.
     """
     index = bed_index(merged_bed(bed), bin_bp)
-    bounds = index.groupBy("contig").agg(F.max("last_bin").alias("__last_bin"))
+    bounds = small_table(index.groupBy("contig").agg(F.max("last_bin").alias("__last_bin")))
     left = F.greatest(F.least(F.col(start), F.col(end)), F.lit(0))
     right = F.greatest(F.col(start), F.col(end), left + 1)
     keyed = (

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.svtype import strip
+from ..session import small_table
 
 _RANGE = r"(?i)^(chr)?\s*(\d+)$"
 
@@ -39,12 +40,12 @@ def resolve_contig_requests(requests: DataFrame, contigs: DataFrame, ident: str
         F.struct(F.col("contig").alias("name"), F.lit(0).alias("alias")),
         F.struct(other.alias("name"), F.lit(1).alias("alias")))))
     lookup = aliases.groupBy("name").agg(F.min_by("contig", F.struct("alias", "contig")).alias("contig"))
-    found = expanded.join(lookup, "name").groupBy(ident, "contig").agg(F.min(F.struct("p", "q")).alias("at"))
+    found = expanded.join(small_table(lookup), "name").groupBy(ident, "contig").agg(F.min(F.struct("p", "q")).alias("at"))
     order = Window.partitionBy(ident).orderBy("at")
     return found.select(ident, "contig", F.row_number().over(order).alias("position"))
 
 
 def contig_lengths(names: DataFrame, contigs: DataFrame) -> DataFrame:
     """Length per requested contig, 0 for one the header does not know."""
-    return names.join(contigs.select("contig", "length"), "contig", "left").withColumn(
+    return names.join(small_table(contigs.select("contig", "length")), "contig", "left").withColumn(
         "length", F.coalesce("length", F.lit(0)))

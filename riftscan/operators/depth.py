@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import small_table
 from .filters import IGNORED_FLAGS
 
 #: Bins on either side of a position that its local depth averages over.
@@ -37,14 +38,19 @@ def contig_bounds(signatures: DataFrame, bin_size: int = 1000, contigs: DataFram
         "contig", lo.alias("lo"), F.greatest(lo, F.least(F.col("length"), F.col("hi"))).alias("hi"))
 
 
+def region_grid(regions: DataFrame, bin_size: int) -> DataFrame:
+    """Regions (contig, lo, hi) with their number of bins."""
+    width = F.greatest(F.col("hi") - F.col("lo"), F.lit(1))
+    return regions.select("contig", "lo", "hi", F.greatest(F.lit(1), F.ceil(width / bin_size)).alias("n_bins"))
+
+
 def depth_bins(intervals: DataFrame, regions: DataFrame, bin_size: int = 1000) -> DataFrame:
     """Track (contig, bin, depth, lo, n_bins): intervals that touch each bin of a contig's region.
 
     Every interval adds +1 at its first bin and -1 behind its last one. The marks are summed per bin
     before the shuffle, so what is ordered and scanned is one row per bin, however many reads there are.
     """
-    sized = regions.withColumn(
-        "n_bins", F.greatest(F.lit(1), F.ceil(F.greatest(F.col("hi") - F.col("lo"), F.lit(1)) / bin_size)))
+    sized = small_table(region_grid(regions, bin_size))
     clipped = (
         intervals.join(sized, "contig")
         .withColumn("s", F.greatest("lo", "start")).withColumn("e", F.least("hi", "end"))
@@ -94,11 +100,18 @@ def smoothed_track(track: DataFrame, window: int = DEPTH_WINDOW) -> DataFrame:
         "contig", "bin", "lo", "n_bins", F.avg("depth").over(around).alias("local_depth"))
 
 
-def with_local_depth(df: DataFrame, track: DataFrame, pos: str, bin_size: int = 1000,
-                     window: int = DEPTH_WINDOW) -> DataFrame:
-    """Add ``local_depth`` around ``pos``; 0 on contigs without a track."""
+def with_local_depth(df: DataFrame, track: DataFrame, pos: str, bin_size: int = 1000, window: int = DEPTH_WINDOW,
+                     regions: DataFrame | None = None) -> DataFrame:
+    """Add ``local_depth`` around ``pos``; 0 on contigs without a track.
+
+    ``regions`` are the ones the track was made for; without them they are read off the track.
+    """
     smooth = smoothed_track(track, window)
-    extent = track.groupBy("contig").agg(F.first("lo").alias("__lo"), F.first("n_bins").alias("__n"))
+    if regions is None:
+        extent = track.groupBy("contig").agg(F.first("lo").alias("lo"), F.first("n_bins").alias("n_bins"))
+    else:
+        extent = region_grid(regions, bin_size)
+    extent = small_table(extent.select("contig", F.col("lo").alias("__lo"), F.col("n_bins").alias("__n")))
     at = F.floor((F.col(pos) - F.col("__lo")) / bin_size)
     keyed = df.join(extent, "contig", "left").withColumn(
         "bin", F.greatest(F.lit(-window), F.least(at, F.col("__n") + window - 1)))

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .features import FULL_DIM
+from .prefix import ranked
+
+#: Size of the encoder's embeddings by default.
+EMBED_DIM = 128
 # The sweep looks at 91 thresholds from 0.05 to 0.95.
 SWEEP_FIRST, SWEEP_LAST, SWEEP_COUNT = 0.05, 0.95, 91
 _STEP = (SWEEP_LAST - SWEEP_FIRST) / (SWEEP_COUNT - 1)
@@ -84,11 +89,21 @@ def select_threshold(scored: DataFrame, y: str = "y_true", prob: str = "prob") -
         F.col("f1").desc(), F.col("precision").desc(), F.col("recall").desc(), "threshold").limit(1)
 
 
-def feature_stats(df: DataFrame, vector: str = "feat") -> DataFrame:
+def _per_dimension(df: DataFrame, vector: str, dim: int, **aggregates: str) -> DataFrame:
+    """(dim, aggregates...) per element of a vector column.
+
+    Every element is an aggregate of its own over the unexploded rows; the one result row is then turned.
+    """
+    arrays = [F.expr("array(" + ", ".join(text.format(x=f"{vector}[{i}]") for i in range(dim)) + ")").alias(name)
+              for name, text in aggregates.items()]
+    packed = df.agg(*arrays)
+    return packed.select(F.posexplode(F.arrays_zip(*aggregates)).alias("dim", "v")).select("dim", "v.*")
+
+
+def feature_stats(df: DataFrame, vector: str = "feat", dim: int = FULL_DIM) -> DataFrame:
     """(dim, mean, scale) per vector element; a scale below 1e-6 counts as 1."""
-    scale = F.stddev_pop("x")
-    return df.select(F.posexplode(vector).alias("dim", "x")).groupBy("dim").agg(
-        F.avg("x").alias("mean"), F.when(scale < 1e-6, 1.0).otherwise(scale).alias("scale"))
+    stats = _per_dimension(df, vector, dim, mean="avg({x})", scale="stddev_pop({x})")
+    return stats.select("dim", "mean", F.when(F.col("scale") < 1e-6, 1.0).otherwise(F.col("scale")).alias("scale"))
 
 
 def standardise(df: DataFrame, stats: DataFrame, vector: str = "feat", out: str = "z") -> DataFrame:
@@ -98,14 +113,26 @@ def standardise(df: DataFrame, stats: DataFrame, vector: str = "feat", out: str
     return df.withColumn("__stats", packed.scalar()).withColumn(out, z).drop("__stats")
 
 
+#: Sample size up to which a top-k is the cheaper way.
+_TOP_K_ROWS = 100_000
+
+
 def sample_records(df: DataFrame, n: int, ident: str = "sid", seed: int = 42) -> DataFrame:
-    """At most ``n`` records drawn without replacement, reproducibly: the smallest keyed hashes."""
+    """At most ``n`` records drawn without replacement, reproducibly: the smallest keyed hashes.
+
+    Small samples are a distributed top-k. Larger ones rank the records block by block of their hash, so
+    no task holds the sample.
+    """
     draw = F.md5(F.concat(F.lit(f"{seed}:"), F.col(ident).cast("string")))
-    return df.withColumn("__draw", draw).orderBy("__draw", ident).limit(int(n)).drop("__draw")
+    drawn = df.withColumn("__draw", draw)
+    if n <= _TOP_K_ROWS:
+        return drawn.orderBy("__draw", ident).limit(int(n)).drop("__draw")
+    major, minor = F.substring("__draw", 1, 2), F.substring("__draw", 3, 2)
+    placed = ranked(drawn, "__no", [major], [minor], [F.col("__draw"), F.col(ident)])
+    return placed.where(F.col("__no") <= int(n)).drop("__draw", "__no")
 
 
-def embedding_stats(df: DataFrame, vector: str = "emb") -> DataFrame:
+def embedding_stats(df: DataFrame, vector: str = "emb", dim: int = EMBED_DIM) -> DataFrame:
     """One row: mean per-dimension population std, and mean absolute value."""
-    per_dim = df.select(F.posexplode(vector).alias("dim", "x")).groupBy("dim").agg(
-        F.stddev_pop("x").alias("sd"), F.sum(F.abs("x")).alias("s"), F.count("x").alias("n"))
+    per_dim = _per_dimension(df, vector, dim, sd="stddev_pop({x})", s="sum(abs({x}))", n="count({x})")
     return per_dim.agg(F.avg("sd").alias("embedding_std_mean"), (F.sum("s") / F.sum("n")).alias("embedding_abs_mean"))

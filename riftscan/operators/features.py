@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import interval as iv
 from ..functions import svtype as sv
 from ..functions import tokens as tk
+from ..session import small_table
 from .depth import contig_bounds, depth_bins, primary_intervals, with_local_depth
 
 # Names and order of the node features; the last three exist in the 27-column layout only.
@@ -89,15 +90,18 @@ def node_features(signatures: DataFrame, platform: str | None = None, feature_di
 
 def build_features(signatures: DataFrame, alignments: DataFrame | None = None, contigs: DataFrame | None = None,
                    bin_size: int = 1000, platform: str | None = None, feature_dim: int = FULL_DIM,
-                   track: DataFrame | None = None) -> DataFrame:
-    """Node features with local depth from ``alignments`` (or a ready ``track``); depth 0 without either."""
+                   track: DataFrame | None = None, regions: DataFrame | None = None) -> DataFrame:
+    """Node features with local depth from ``alignments``, or from a ready ``track`` and its regions.
+
+    Depth is 0 without either.
+    """
     if track is None and alignments is not None:
-        regions = contig_bounds(signatures, bin_size, contigs)
+        regions = small_table(contig_bounds(signatures, bin_size, contigs))
         track = depth_bins(primary_intervals(alignments), regions, bin_size)
     df = signatures
     if track is not None:
         df = df.withColumn("center", iv.center(F.col("tstart"), F.col("tend")))
-        df = with_local_depth(df, track, "center", bin_size)
+        df = with_local_depth(df, track, "center", bin_size, regions=regions)
     return node_features(df, platform, feature_dim)
 
 

@@ -15,7 +15,8 @@ from ..functions import similarity as sm
 from ..functions import svtype as sv
 from ..functions import tokens as tk
 from ..functions.limits import CallParams
-from ..models.encoder import embed
+from ..models import scorer as sc
+from ..models.encoder import embed, init_encoder
 from ..operators import bed as bd
 from ..operators import calls as ca
 from ..operators import cluster as cl
@@ -29,6 +30,7 @@ from ..operators import filters as fl
 from ..operators import split_reads as sr
 from ..operators.prefix import gap_sessions
 from ..schemas import CALL_FEATURE_RECORD
+from ..session import small_table
 from ..sinks import calls as snk
 from . import fixtures as fx
 
@@ -284,9 +286,12 @@ def flag_classes(spark, d):
 
 # ---------------------------------------------------------------- depth, intervals, features
 
+def _regions(spark, d, bin_size=1000):
+    return small_table(dp.contig_bounds(fx.sig(spark, d), bin_size, fx.contigs(fx.aln(spark, d))))
+
+
 def _track(spark, d, bin_size=1000):
-    a = fx.aln(spark, d)
-    return dp.depth_bins(dp.primary_intervals(a), dp.contig_bounds(fx.sig(spark, d), bin_size, fx.contigs(a)), bin_size)
+    return dp.depth_bins(dp.primary_intervals(fx.aln(spark, d)), _regions(spark, d, bin_size), bin_size)
 
 
 @query
@@ -309,7 +314,9 @@ def depth_runs(spark, d):
 @query
 def local_depth(spark, d):
     s = fx.sig(spark, d).withColumn("center", iv.center(F.col("tstart"), F.col("tend")))
-    return dp.with_local_depth(s, _track(spark, d), "center").select("sid", r6("local_depth").alias("local_depth"))
+    regions = _regions(spark, d)
+    track = dp.depth_bins(dp.primary_intervals(fx.aln(spark, d)), regions)
+    return dp.with_local_depth(s, track, "center", regions=regions).select("sid", r6("local_depth").alias("local_depth"))
 
 
 @query
@@ -360,7 +367,7 @@ def zscore_apply(spark, d):
 
 @query
 def embedding_stats(spark, d):
-    stats = ev.embedding_stats(fx.table(spark, d, "embeddings").select(F.col("embedding").cast("array<double>").alias("emb")))
+    stats = ev.embedding_stats(fx.table(spark, d, "embeddings").select(F.col("embedding").cast("array<double>").alias("emb")), dim=64)
     return stats.select(*[r6(c).alias(c) for c in stats.columns])
 
 
@@ -689,3 +696,49 @@ def union_sources(spark, d):
 @query
 def sample_k(spark, d):
     return ev.sample_records(fx.sig(spark, d), 500, "sid", 42).select("sid", "contig", "tstart")
+
+
+# ---------------------------------------------------------------- models
+
+def _labelled_documents(spark, d):
+    """Documents as call records: two features from the text, domain and naming fields from its source."""
+    docs = fx.table(spark, d, "documents")
+    features = F.map_from_arrays(
+        F.array(F.lit("log_span"), F.lit("length_cv"), F.lit("extra")),
+        F.array(F.log1p(F.col("n_chars").cast("double")), F.when(F.col("doc_id") % 3 == 0, F.lit(None)).otherwise(F.col("doc_id") % 7 / 7.0), F.lit(1.0)))
+    return docs.select(
+        F.concat(F.when(F.col("doc_id") % 4 == 0, F.lit("Sim_")).otherwise(F.lit("d_")), F.col("doc_id").cast("string")).alias("call_id"),
+        F.when(F.col("doc_id") % 5 == 0, F.lit(" REAL ")).when(F.col("doc_id") % 5 == 1, F.lit("other")).alias("domain"),
+        F.col("source").alias("source_name"), features.alias("score_features"))
+
+
+@query
+def record_domain(spark, d):
+    df = _labelled_documents(spark, d)
+    return df.select("call_id", sc.record_domain(df).alias("domain"))
+
+
+@query
+def record_vectors(spark, d):
+    names = ("log_span", "length_cv", "mean_cosine", "domain_real", "domain_sim")
+    rows = sc.vectorise_records(_labelled_documents(spark, d), names)
+    return rows.select("call_id", *[r6(F.col("x")[i]).alias(n) for i, n in enumerate(names)])
+
+
+@query
+def encoder_forward(spark, d):
+    """Embeddings of all signatures by a freshly seeded encoder."""
+    df = embed(ft.node_features(fx.sig(spark, d)), init_encoder(ft.FULL_DIM, 32, (64, 64), 7))
+    return df.select("sid", *[r6(F.col("emb")[i]).alias(f"e{i}") for i in range(4)])
+
+
+@query
+def scorer_forward(spark, d):
+    """Score of every call by a freshly seeded scorer, and its decision at the default threshold."""
+    n = len(sc.SCORER_FEATURES)
+    model = {"weights": sc.init_scorer(seed=7), "mean": [0.0] * n, "scale": [1.0] * n}
+    calls = ca.raw_calls(_gates(spark, d), CALL_PARAMS).withColumn("domain", F.lit("real"))
+    threshold, _ = sc.resolve_threshold(model, "ont")
+    scored = sc.score_calls(calls, model)
+    return scored.select(*_KEY, r6("scorer_prob").alias("scorer_prob"), r6("prob").alias("prob"),
+                         as_int(F.col("scorer_prob") >= threshold).alias("kept"))

@@ -160,9 +160,9 @@ def test_manifest_features_and_depth_cache(spark, bam_path, tmp_path):
     by_source = {(r.source_id, r.platform): r.n for r in out.groupBy("source_id", "platform").agg(F.count("*").alias("n")).collect()}
     assert set(by_source) == {(0, "ccs"), (1, "ont")} and by_source[0, "ccs"] > by_source[1, "ont"] > 0
     assert out.where("feat[22] > 0").count() > 0
-    first = depth_track(spark, tables.read_signatures(spark, sigs), bam_path, 1000, str(tmp_path / "cache"))
-    again = depth_track(spark, tables.read_signatures(spark, sigs), bam_path, 1000, str(tmp_path / "cache"))
-    plain = depth_track(spark, tables.read_signatures(spark, sigs), bam_path, 1000)
+    first, _ = depth_track(spark, tables.read_signatures(spark, sigs), bam_path, 1000, str(tmp_path / "cache"))
+    again, _ = depth_track(spark, tables.read_signatures(spark, sigs), bam_path, 1000, str(tmp_path / "cache"))
+    plain, _ = depth_track(spark, tables.read_signatures(spark, sigs), bam_path, 1000)
     assert first.exceptAll(again).isEmpty() and plain.exceptAll(again).isEmpty() and again.count() > 0
 
 
