@@ -66,7 +66,8 @@ def build_arg_parser() -> argparse.ArgumentParser:
         "summary_path": str, "coverage_bin_size": int, "input_dim": int, "epochs": int, "batch_size": int, "lr": float,
         "weight_decay": float, "lambda_var": float, "lambda_cov": float, "gamma": float, "noise_scale": float,
         "feature_dropout": float, "svtype_aux_weight": float, "normalize_features": bool, "grad_clip": float, "eval_every": int,
-        "seed": int, "embed_dim": int, "proj_dim": int, "dropout": float})
+        "seed": int, "embed_dim": int, "proj_dim": int, "dropout": float,
+        "checkpoint_dir": str, "save_every": int})
     _options(encoder, {"hidden_dims": int, "projector_hidden_dims": int}, nargs="*")
 
     scorer = commands.add_parser("train-scorer", help="train the call scorer")
@@ -145,7 +146,14 @@ def run_train_encoder(spark: SparkSession, args: argparse.Namespace) -> int:
         "svtype_aux_weight": "type_weight", "normalize_features": "normalise", "grad_clip": "clip", "eval_every": "eval_every",
         "seed": "seed", "embed_dim": "embed_dim", "proj_dim": "proj_dim", "dropout": "dropout", "hidden_dims": "hidden_dims",
         "projector_hidden_dims": "projector_hidden"})
-    weights, summary = et.train_encoder(load[0], load[1], **settings)
+    epochs, every = args.epochs or 30, args.save_every or 5
+
+    def keep_latest(epoch: int, latest: dict, history: list) -> None:
+        if args.checkpoint_dir and (epoch % every == 0 or epoch == epochs):
+            os.makedirs(args.checkpoint_dir, exist_ok=True)
+            save_weights(latest, os.path.join(args.checkpoint_dir, "encoder_latest.npz"), {"epoch": epoch, "loss_history": history})
+
+    weights, summary = et.train_encoder(load[0], load[1], on_epoch=keep_latest, **settings)
     save_weights(weights, args.output_path, summary)
     _write_summary(args.summary_path, {**summary, "output_path": args.output_path, "manifest_rows": rows})
     print(f"model={args.output_path}")

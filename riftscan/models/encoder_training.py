@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -158,12 +159,18 @@ def encoder_gradient(weights: dict, x: np.ndarray, y: np.ndarray, rng: np.random
     return loss, grads
 
 
+def encoder_part(weights: dict) -> dict:
+    """The encoder's own weights, without projector and type head."""
+    return {k: v for k, v in weights.items() if k[0] in "ho"}
+
+
 def train_encoder(train: DataFrame, validation: DataFrame | None = None, epochs: int = 30, batch_size: int = 1024, lr: float = 1e-3,
                   weight_decay: float = 1e-5, embed_dim: int = EMBED_DIM, hidden_dims=HIDDEN_DIMS, projector_hidden=PROJECTOR_HIDDEN,
                   proj_dim: int = PROJECTOR_DIM, noise: float = NOISE_SCALE, drop: float = FEATURE_DROPOUT, type_weight: float = 0.1,
                   clip: float = 5.0, dropout: float = 0.1, lambda_var: float = LAMBDA_VAR, lambda_cov: float = LAMBDA_COV,
-                  gamma: float = GAMMA, normalise: bool = False, eval_every: int = 5, seed: int = 42, tasks: int | None = None) -> tuple[dict, dict]:
-    """Train on rows (id, x, y); return (encoder weights, summary).
+                  gamma: float = GAMMA, normalise: bool = False, eval_every: int = 5, seed: int = 42, tasks: int | None = None,
+                  on_epoch: Callable[[int, dict, list], None] | None = None) -> tuple[dict, dict]:
+    """Train on rows (id, x, y); return (encoder weights, summary). ``on_epoch`` sees every epoch's weights.
 
     Feature mean and scale are recorded; inference feeds raw features, so normalising is off by default.
     """
@@ -188,7 +195,9 @@ def train_encoder(train: DataFrame, validation: DataFrame | None = None, epochs:
         if validation is not None and (epoch in (1, int(epochs)) or epoch % eval_every == 0):
             entry |= {f"val_{k}": v for k, v in embedding_stats(embed(validation, weights, "x"), dim=embed_dim).first().asDict().items()}
         history.append(entry)
-    encoder = {k: v for k, v in weights.items() if k[0] in "ho"}
+        if on_epoch is not None:
+            on_epoch(epoch, encoder_part(weights), history)
+    encoder = encoder_part(weights)
     recorded = {r["dim"]: (r["mean"], r["scale"]) for r in stats.collect()}
     return encoder, {"loss_history": history, "input_dim": dim, "embed_dim": embed_dim, "hidden_dims": list(hidden_dims),
                      "feature_mean": [recorded[i][0] for i in range(dim)], "feature_scale": [recorded[i][1] for i in range(dim)]}

@@ -19,11 +19,12 @@ from pyspark.sql import types as T
 from ..functions import interval as iv
 from ..functions import svtype as sv
 from ..presets import GraphParams
-from ..session import task_count
 from .features import with_guess
 from .prefix import gap_sessions
 
 PART_KEYS = ["contig", "bucket", "sess", "chunk"]
+#: What calls need to know of a signature; anything else need not travel through the chunk step.
+CALL_COLUMNS = [*PART_KEYS, "sid", "tstart", "tend", "svtype", "svlen", "qname", "mapq", "source", "support", "sa_contigs"]
 #: Digits cosines and weights are rounded to, so that thresholds and ties do not hang on summation order.
 DIGITS = 9
 #: Rows of the similarity matrix that exist at a time.
@@ -53,7 +54,7 @@ def chunk_stream(df: DataFrame, keys: list[str], order: list[str], schema: T.Str
     Meant for groups with a proven size bound. Small groups share Arrow batches, so a million tiny
     groups do not cost a million Python calls into Spark.
     """
-    sorted_rows = df.repartition(task_count(df.sparkSession), *[F.col(k) for k in keys]).sortWithinPartitions(*keys, *order)
+    sorted_rows = df.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, *order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit(groups: list[pa.Table]) -> Iterator[pa.RecordBatch]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import small_table
@@ -19,6 +19,22 @@ def primary_intervals(alignments: DataFrame) -> DataFrame:
     ).select("contig", F.col("pos0").alias("start"), F.col("ref_end").alias("end"))
 
 
+def named_intervals(df: DataFrame, chrom: str | None = None) -> DataFrame:
+    """Intervals (contig, start, end) of a table with any of the usual column names.
+
+    Rows without a contig belong to ``chrom`` if one is given; other contigs are then left out. Rows
+    without both ends drop out.
+    """
+    def pick(names: tuple[str, ...], kind: str, default: str | None = None) -> Column:
+        found = [F.col(n).cast(kind) for n in names if n in df.columns]
+        return F.coalesce(*found, F.lit(default).cast(kind))
+
+    rows = df.select(pick(("contig", "chrom", "rname"), "string", chrom).alias("contig"),
+                     pick(("start", "s"), "bigint").alias("start"), pick(("end", "e"), "bigint").alias("end"))
+    rows = rows.dropna()
+    return rows if chrom is None else rows.where(F.col("contig") == chrom)
+
+
 def whole_contigs(contigs: DataFrame) -> DataFrame:
     """Regions that span the given contigs."""
     return contigs.where(F.col("length") > 0).select("contig", F.lit(0).cast("bigint").alias("lo"),

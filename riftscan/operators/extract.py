@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cigar as cg
+from ..functions.svtype import labelled_svtype
 from ..session import materialise
+from .features import with_guess
 from .filters import eligible_reads
 from .prefix import BLOCK_BP, ranked
 from .split_reads import split_candidates
@@ -118,3 +120,9 @@ def type_counts(signatures: DataFrame) -> DataFrame:
 
 def source_counts(signatures: DataFrame) -> DataFrame:
     return signatures.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+
+
+def type_groups(signatures: DataFrame) -> DataFrame:
+    """Signatures with ``kind``, their canonical type (the guess where there is no label at all)."""
+    guessed = with_guess(signatures)
+    return guessed.withColumn("kind", labelled_svtype(F.col("svtype"), F.col("guess"))).drop("guess")

@@ -306,6 +306,14 @@ def depth_from_intervals(spark, d):
     return dp.depth_bins(spans, dp.whole_contigs(fx.contigs(a)), 500).select("contig", "bin", "depth")
 
 
+@query
+def named_intervals(spark, d):
+    """Signature intervals under other column names; a fifth without contig, a seventh without an end."""
+    raw = fx.sig(spark, d).select(F.when(F.col("sid") % 5 > 0, F.col("contig")).alias("rname"), F.col("tstart").alias("s"),
+                                  F.when(F.col("sid") % 7 > 0, F.col("tend")).alias("e"))
+    return dp.named_intervals(raw, "chr2").groupBy("contig", "start", "end").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def depth_runs(spark, d):
     return dp.depth_runs(_track(spark, d, 100))
@@ -472,7 +480,7 @@ def connected_components(spark, d):
 # ---------------------------------------------------------------- calls
 
 def _clusters(spark, d):
-    return cl.clusters(_embedded(spark, d, CALL_GRAPH, True), CALL_GRAPH)
+    return cl.clusters(_embedded(spark, d, CALL_GRAPH, True).select(*cl.CALL_COLUMNS, "emb"), CALL_GRAPH)
 
 
 def _summary(spark, d, params=CALL_PARAMS):
@@ -686,6 +694,12 @@ def type_source_counts(spark, d):
     return types.unionByName(ex.source_counts(s).select(F.lit("source").alias("what"), F.col("source").alias("value"), "n"))
 
 
+@query
+def type_groups(spark, d):
+    groups = ex.type_groups(_unlabelled(spark, d)).groupBy("kind")
+    return groups.agg(F.count(F.lit(1)).alias("n"), F.min("sid").alias("first_sid"), F.sum("svlen").alias("total_len"))
+
+
 @query
 def union_sources(spark, d):
     s = fx.sig(spark, d).select("sid", "contig", "svtype")

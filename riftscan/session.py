@@ -49,7 +49,7 @@ def materialise(df: DataFrame) -> DataFrame:
 
 
 def task_count(spark: SparkSession) -> int:
-    """Tasks for a compute-heavy step: as many as shuffles have, never merged for being small."""
+    """Tasks of a training epoch: as many as shuffles have, so that a run can be repeated."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 

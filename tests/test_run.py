@@ -116,7 +116,8 @@ def test_cli_commands(spark, folder, capsys):
         cli.main(["infer", "--platform", "ont", "--output-dir", str(out)], spark)
     assert cli.main(["train-encoder", "--signatures", sigs, "--platform", "ont", "--output-path", str(folder / "trained.npz"), "--epochs", "1",
                      "--hidden-dims", "8", "--embed-dim", "4", "--proj-dim", "4", "--projector-hidden-dims", "8", "--max-records", "200",
-                     "--summary-path", str(folder / "enc.json")], spark) == 0
+                     "--summary-path", str(folder / "enc.json"), "--checkpoint-dir", str(folder / "ckpt")], spark) == 0
+    assert en.load_weights(str(folder / "ckpt" / "encoder_latest.npz"))[1]["epoch"] == 1
     assert en.encoder_shape(en.load_encoder(str(folder / "trained.npz"))) == (27, [8], 4)
     truth = folder / "truth"
     truth.mkdir()
