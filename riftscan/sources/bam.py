@@ -24,6 +24,8 @@ _BASES = str.maketrans("0123456789abcdef", "=ACMGRSVTWYHKDBN")
 _TAG_SIZES = {"A": 1, "c": 1, "C": 1, "s": 2, "S": 2, "i": 4, "I": 4, "f": 4}
 _WINDOW_BITS = 14
 _STATS_BIN = 37450
+#: Unmapped, secondary and supplementary records do not count for the ``head`` option.
+_IGNORED = 4 | 256 | 2048
 _ARROW = pa.schema([
     ("qname", pa.string()), ("flag", pa.int32()), ("contig", pa.string()), ("pos0", pa.int64()), ("ref_end", pa.int64()),
     ("mapq", pa.int32()), ("cigar", pa.string()), ("seq", pa.string()), ("query_length", pa.int32()), ("sa", pa.string()),
@@ -181,6 +183,7 @@ class BamReader(DataSourceReader):
         self.contig = options.get("contig")
         self.start = int(options["start"]) if options.get("start") else None
         self.stop = int(options["end"]) if options.get("end") else None
+        self.head = int(options.get("head", 0))
         self.only: set[str] | None = None
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802 - Spark's name
@@ -197,6 +200,8 @@ class BamReader(DataSourceReader):
 
     def partitions(self) -> list[Slice]:
         contigs, first = read_header(self.path)
+        if self.head:
+            return [Slice(first, None, None, None, None)]
         index = read_index(self.path, self.index_path)
         if self.contig is not None or self.only is not None:
             wanted = [i for i, (name, _) in enumerate(contigs)
@@ -238,6 +243,7 @@ class BamReader(DataSourceReader):
             return
         contigs, _ = read_header(self.path)
         rows: list[tuple] = []
+        taken = 0
         with _open(self.path) as handle:
             stream = BlockStream(handle, partition.begin)
             while partition.end is None or stream.offset < partition.end:
@@ -251,7 +257,12 @@ class BamReader(DataSourceReader):
                     break
                 if partition.start is not None and (row[4] is None or row[4] <= partition.start):
                     continue
+                if self.head and row[1] & _IGNORED:
+                    continue
                 rows.append(row)
+                taken += 1
+                if self.head and taken >= self.head:
+                    break
                 if len(rows) >= self.batch_rows:
                     yield self._batch(rows)
                     rows = []
@@ -265,7 +276,10 @@ class BamReader(DataSourceReader):
 
 
 class BamDataSource(DataSource):
-    """``spark.read.format("bam")``; options: contig, start, end, splitBytes, batchRows, indexPath."""
+    """``spark.read.format("bam")``; options: contig, start, end, splitBytes, batchRows, indexPath, head.
+
+    ``head`` reads only the first so many primary mapped records, in file order, and stops there.
+    """
 
     @classmethod
     def name(cls) -> str:

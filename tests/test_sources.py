@@ -60,6 +60,8 @@ def test_bam_region_and_pushdown(spark, bam_path, reads):
     filtered = bam.read_bam(spark, bam_path, splitBytes=1).where("contig = 'chr4' and mapq > 10")
     assert as_tuples(filtered) == wanted(reads, lambda r: r["contig"] == "chr4" and r["mapq"] > 10)
     assert bam.read_bam(spark, bam_path, "empty").count() == 0
+    primary = [r for r in reads if not r["flag"] & 2308][:25]
+    assert [r.qname for r in bam.read_bam(spark, bam_path, head=25).collect()] == [r["qname"] for r in primary]
 
 
 def test_bam_header_and_index(spark, bam_path, reads, tmp_path):
