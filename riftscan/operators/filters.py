@@ -14,6 +14,18 @@ from ..schemas import REQUIRED_SIGNATURE_FIELDS, SIGNATURES
 IGNORED_FLAGS = 4 | 256 | 2048
 
 
+# Classes of exact flag values; any other flag is class 0.
+FLAG_CLASSES = {4: 0, 0: 1, 16: 2, 2048: 3, 2064: 4}
+
+
+def flag_class(flag: Column) -> Column:
+    """1 forward, 2 reverse, 3 and 4 supplementary forward and reverse, 0 for anything else."""
+    expr = F.lit(0)
+    for value, kind in FLAG_CLASSES.items():
+        expr = F.when(flag == value, F.lit(kind)).otherwise(expr)
+    return expr
+
+
 def requested_contigs(chrom: str | None) -> list[str] | None:
     """Contig names of a comma-separated request; None when nothing is requested."""
     if chrom is None:

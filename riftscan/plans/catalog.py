@@ -280,8 +280,7 @@ def extract_signatures(spark, d):
 def flag_classes(spark, d):
     """Reads per flag class: 1 forward, 2 reverse, 3 and 4 supplementary, 0 anything else."""
     flag = F.when(F.col("sid") % 9 == 0, F.col("flag") + 2048).otherwise(F.col("flag"))
-    kind = F.when(flag == 0, 1).when(flag == 16, 2).when(flag == 2048, 3).when(flag == 2064, 4).otherwise(0)
-    return fx.aln(spark, d).groupBy(kind.alias("flag_class")).agg(F.count(F.lit(1)).alias("n"))
+    return fx.aln(spark, d).groupBy(fl.flag_class(flag).alias("flag_class")).agg(F.count(F.lit(1)).alias("n"))
 
 
 # ---------------------------------------------------------------- depth, intervals, features

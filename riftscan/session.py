@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 def build_session(app_name: str = "riftscan", master: str | None = None,
                   shuffle_partitions: int | None = None) -> SparkSession:
-    """A session with the settings the plans assume (AQE, skew handling, UTC, Arrow)."""
+    """A session with the settings the plans assume (AQE, skew handling, UTC, Arrow, tidy checkpoints)."""
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
@@ -21,6 +21,7 @@ def build_session(app_name: str = "riftscan", master: str | None = None,
         builder
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()

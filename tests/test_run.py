@@ -132,3 +132,19 @@ def test_cli_commands(spark, folder, capsys):
     assert len(model["mean"]) == len(sc.SCORER_FEATURES) and 0.05 <= model["threshold"] <= 0.95
     assert np.isfinite(json.loads((folder / "sc.json").read_text())["loss_history"][-1]["loss"])
     assert "vcf=" in capsys.readouterr().out
+
+
+def test_nothing_in_nothing_out(spark, sf_dir):
+    from riftscan.operators import bed as bd
+    from riftscan.operators import depth as dp
+    from riftscan.operators.dedup import deduplicate_calls
+    from riftscan.plans import catalog
+
+    none = fx.sig(spark, sf_dir).where("sid < 0")
+    parts = cl.partition_by_position(cl.with_bucket(none), catalog.CALL_GRAPH)
+    embedded = en.embed(ft.node_features(parts), en.init_encoder(27, 8, (8,), 1))
+    assert cl.clusters(embedded, catalog.CALL_GRAPH).count() == 0
+    assert cl.affinity_edges(embedded, catalog.CALL_GRAPH).count() == 0
+    assert dp.depth_bins(dp.primary_intervals(fx.aln(spark, sf_dir)), dp.contig_bounds(none)).count() == 0
+    assert deduplicate_calls(catalog._sig_calls(spark, sf_dir).where("start < 0"), ["cluster_id"]).count() == 0
+    assert bd.overlapping(fx.sig(spark, sf_dir), fx.bed(spark, sf_dir).where("start < 0")).count() == 0
