@@ -29,16 +29,16 @@ def op8_substring_dedup(spark, sf_dir):
 
 ORACLE["op8_substring_dedup"] = r"""
 with words as (
-  select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') as w from documents),
-at as (select doc_id, w, unnest(range(1, greatest(len(w) - 11, 1))) as p from words),
-windows as (select doc_id, p, array_to_string(w[p:p + 12], ' ') as s from at),
+  select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+starts as (select doc_id, w, unnest(range(1, greatest(len(w) - 11, 1))) as p from words),
+windows as (select doc_id, p, array_to_string(w[p:p + 12], ' ') as s from starts),
 least as (select s, min(doc_id) as first_id from windows group by s),
 repeats as (select doc_id, list(p) as ps from windows join least using (s) where doc_id > first_id group by doc_id),
 marks as (
-  select doc_id, list_distinct(list_transform(flatten(list_transform(ps, p -> range(p, p + 13))), i -> i)) as gone from repeats),
+  select doc_id, list_distinct(flatten(list_transform(ps, lambda p: range(p, p + 13)))) as gone from repeats),
 kept as (
   select words.doc_id, len(w) as n, coalesce(len(gone), 0) as removed,
-         case when gone is null then w else list_filter(w, (x, i) -> not list_contains(gone, i)) end as k
+         case when gone is null then w else list_filter(w, lambda x, i: not list_contains(gone, i)) end as k
   from words left join marks on words.doc_id = marks.doc_id)
 select doc_id, n::bigint as n_words, removed::bigint as n_removed, sha256(array_to_string(k, ' ')) as kept_sha256 from kept
 """
