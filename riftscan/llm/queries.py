@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import recompression
+from . import byte_bpe, recompression
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -42,3 +43,13 @@ kept as (
   from words left join marks on words.doc_id = marks.doc_id)
 select doc_id, n::bigint as n_words, removed::bigint as n_removed, sha256(array_to_string(k, ' ')) as kept_sha256 from kept
 """
+
+
+#: The rank file and pattern of the registered encoding; the operator takes any.
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+@query
+def op10_byte_bpe(spark, sf_dir):
+    """Byte-level BPE of documents: digests of the ids and of what they decode to."""
+    return byte_bpe.digest(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)

@@ -9,7 +9,7 @@ Classes and names are hashes of contents, so all tasks give equal substrings equ
 other, and every symbol knows the range of words its cut depends on. A symbol whose range lies inside a window
 is cut alike wherever that window's words stand; of these the one with the smallest name stands for the window
 (or the window itself, if it has none). The rounds over the cluster then ask which names more than one document
-has, and only windows with such a name are compared, by 128-bit names of all their words.
+has, and only windows with such a name are compared, by 80-bit names of all their words, inside groups that are named by more bits of them.
 
 Nulls: a null id is left out, a null or empty text has no words. Repeated rows of one id count as one document
 (the row with the largest text stays); equal texts under different ids are repeats of the smallest id. Very long
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import one_row_per_id, partitions, shared_keys, stored
+from .tables import buckets_for, cuts, flat, one_row_per_id, partitions, shared_keys, short_keys, stored
 from .text import Ranges, Words, as_lists, mix, salted, slices, words_of
 
 #: Bytes of text that one group of windows comes from, on average.
@@ -139,7 +139,20 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                              ["doc_id", "n_words", "sha256"])
 
 
-def _asks(window: int, buckets: int):
+_ASKS = "bucket long, one array<long>, two array<short>, docs array<long>, starts array<int>, counts array<int>"
+
+
+def _runs(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of consecutive starts: document, first start, length."""
+    order = np.lexsort((start, doc))
+    doc, start = doc[order], start[order]
+    head = np.ones(len(doc), bool)
+    head[1:] = (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)
+    first = np.flatnonzero(head)
+    return doc[first], start[first].astype(np.int32), np.diff(np.concatenate([first, [len(doc)]])).astype(np.int32)
+
+
+def _asks(window: int, buckets: int, marked: int):
     """Windows of candidates: in a slice all but the smallest document's are repeats; that one's are asked for."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,76 +161,88 @@ def _asks(window: int, buckets: int):
                 starts, names = window_marks(w, window)
                 lists = piece.column("keys")
                 wanted = np.asarray(lists.flatten()).view(np.uint64)
-                of = np.repeat(np.arange(piece.num_rows, dtype=np.uint64), np.diff(np.asarray(lists.offsets)))
+                of = np.repeat(np.arange(piece.num_rows), np.diff(np.asarray(lists.offsets))).astype(np.uint64)
                 salt = np.uint64(0x9E3779B97F4A7C15)
-                hit = np.isin(mix(names ^ (w.doc[starts].astype(np.uint64) * salt)), mix(wanted ^ (of * salt)))
+                own = short_keys(names, marked).view(np.uint64)
+                hit = np.isin(mix(own ^ (w.doc[starts].astype(np.uint64) * salt)), mix(wanted ^ (of * salt)))
                 starts = starts[hit]
                 if not len(starts):
                     continue
-                doc_id = np.asarray(piece.column("doc_id"))[w.doc[starts]]
+                doc = np.asarray(piece.column("doc_id"))[w.doc[starts]]
                 one, two = (Ranges(w.name, k).hashes(starts, starts + window) for k in (7, 8))
-                at = starts - w.first[w.doc[starts]]
-                order = np.lexsort((at, doc_id, two, one))
-                one, two, doc_id, at = one[order], two[order], doc_id[order], at[order]
-                head = np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])])
-                least = doc_id[head][np.cumsum(head) - 1]
-                repeat = doc_id > least
-                bucket = np.where(repeat, -1 - (mix(doc_id.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64),
-                                  (one % np.uint64(buckets)).astype(np.int64))
-                order = np.argsort(bucket, kind="stable")
-                bucket = bucket[order]
-                cut = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket[cut[:-1]]), as_lists(one[order], cut, pa.int64()), as_lists(two[order], cut, pa.int64()),
-                     as_lists(doc_id[order], cut, pa.int64()), as_lists(at[order].astype(np.int64), cut, pa.int64())],
-                    ["bucket", "one", "two", "docs", "starts"])
+                at = (starts - w.first[w.doc[starts]]).astype(np.int32)
+                order = np.lexsort((doc, one))
+                sorted_one, sorted_doc = one[order], doc[order]
+                head = np.concatenate([[True], sorted_one[1:] != sorted_one[:-1]])
+                repeat = np.empty(len(doc), bool)
+                repeat[order] = sorted_doc > sorted_doc[head][np.cumsum(head) - 1]
+                # Equal in the first name only: ask as well, the second one decides.
+                repeat[order] &= two[order] == two[order][head][np.cumsum(head) - 1]
+                yield _ask_rows((one % np.uint64(buckets)).astype(np.int64)[~repeat], doc[~repeat], at[~repeat], one[~repeat], two[~repeat])
+                if repeat.any():
+                    doc, at, count = _runs(doc[repeat], at[repeat])
+                    yield _ask_rows(-1 - (mix(doc.view(np.uint64)) % np.uint64(buckets)).astype(np.int64), doc, at, count=count)
     return run
 
 
+def _ask_rows(bucket, doc, at, one=None, two=None, count=None) -> pa.RecordBatch:
+    order = np.lexsort((at, doc, bucket))
+    cut = cuts(bucket[order])
+    nothing = np.zeros(len(cut), np.int64)
+
+    def lists(values, kind):
+        return as_lists(np.zeros(0, np.int64), nothing, kind) if values is None else as_lists(values[order], cut, kind)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(bucket[order][cut[:-1]]), lists(one, pa.int64()), lists(None if two is None else two.astype(np.int16), pa.int16()),
+         lists(doc, pa.int64()), lists(at, pa.int32()), lists(count, pa.int32())], ["bucket", "one", "two", "docs", "starts", "counts"])
+
+
 def _repeats(table: pa.Table) -> pa.Table:
-    """Starts of repeats in each document, from the windows of one group."""
-    def flat(name):
-        return np.asarray(pa.concat_arrays(table.column(name).chunks).flatten())
-    doc, at = flat("docs"), flat("starts")
+    """Runs of starts of repeats in each document, from the windows of one group."""
+    doc, at = flat(table, "docs"), flat(table, "starts")
     if table.column("bucket")[0].as_py() >= 0:
-        one, two = flat("one"), flat("two")
+        one, two = flat(table, "one"), flat(table, "two")
         order = np.lexsort((doc, two, one))
         one, two, doc, at = one[order], two[order], doc[order], at[order]
-        head = np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])])
+        head = np.ones(len(doc), bool)
+        head[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
         told = doc > doc[head][np.cumsum(head) - 1]
-        doc, at = doc[told], at[told]
-    order = np.lexsort((at, doc))
-    doc, at = doc[order], at[order]
-    cut = np.concatenate([[0], np.flatnonzero(doc[1:] != doc[:-1]) + 1, [len(doc)]]) if len(doc) else np.zeros(1, np.int64)
-    return pa.table({"doc_id": doc[cut[:-1]], "starts": as_lists(at, cut, pa.int64())})
+        doc, at, count = _runs(doc[told], at[told])
+    else:
+        count = flat(table, "counts")
+        order = np.argsort(doc, kind="stable")
+        doc, at, count = doc[order], at[order], count[order]
+    cut = cuts(doc)
+    return pa.table({"doc_id": doc[cut[:-1]], "starts": as_lists(at, cut, pa.int32()), "counts": as_lists(count, cut, pa.int32())})
 
 
 def repeated_windows(docs: DataFrame, window: int = 13) -> tuple[DataFrame, DataFrame]:
     """(stats, repeats). stats: doc_id, n_words, sha256, copy_of (smallest id with the same words). repeats: doc_id, text
-    and the starts (word indexes) of its repeats, for documents that have some and are no copies."""
+    and runs of starts (word indexes) of its repeats (starts, counts), for documents that have
+    some and are no copies."""
     docs = one_row_per_id(docs, "doc_id", "text")
     stats = stored(docs.mapInArrow(_digests, "doc_id long, n_words long, sha256 string"))
     least = stats.groupBy("sha256").agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("copies")).where("copies > 1")
     stats = stored(stats.join(least, "sha256", "left").select(
         "doc_id", "n_words", "sha256", F.coalesce("copy_of", "doc_id").alias("copy_of")))
-    size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0]
     marks = docs.mapInArrow(_marks(window), "owner long, keys array<long>")
-    shared = shared_keys(marks, (size[1] or 0) / max(size[0], 1) / 20, size[0])
+    marked = buckets_for(docs, (size or 0) / 30)
+    shared = shared_keys(marks, marked)
     alone = stats.where("doc_id = copy_of").select("doc_id")
     candidates = stored(docs.join(shared.withColumnRenamed("owner", "doc_id").join(alone, "doc_id"), "doc_id"))
-    buckets = max(partitions(docs), int((size[1] or 0) / GROUP_BYTES) + 1)
-    asks = candidates.mapInArrow(
-        _asks(window, buckets), "bucket long, one array<long>, two array<long>, docs array<long>, starts array<long>")
-    starts = asks.groupBy("bucket").applyInArrow(_repeats, "doc_id long, starts array<long>")
-    starts = starts.groupBy("doc_id").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    buckets = max(partitions(docs), int((size or 0) / GROUP_BYTES) + 1)
+    asks = candidates.mapInArrow(_asks(window, buckets, marked), _ASKS)
+    runs = asks.groupBy("bucket").applyInArrow(_repeats, "doc_id long, starts array<int>, counts array<int>")
+    starts = runs.groupBy("doc_id").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "counts")))
     return stats, candidates.select("doc_id", "text").join(starts, "doc_id")
 
 
-def covered(starts: np.ndarray, n_words: int, window: int) -> np.ndarray:
-    """Which words lie in a window that starts at one of ``starts``."""
+def covered(starts: np.ndarray, counts: np.ndarray, n_words: int, window: int) -> np.ndarray:
+    """Which words lie in a window of one of the runs of starts."""
     edge = np.zeros(n_words + 1, np.int64)
     np.add.at(edge, starts, 1)
-    np.add.at(edge, starts + window, -1)
+    np.add.at(edge, starts + counts - 1 + window, -1)
     return np.cumsum(edge)[:-1] > 0
 
 
@@ -228,11 +253,12 @@ def _cut(window: int):
             removed, digest, rest = [], [], []
             for piece in slices(batch, "text", PIECE_BYTES):
                 w = words_of(piece.column("text"))
-                lists = piece.column("starts")
-                flat, cut = np.asarray(lists.flatten()), np.asarray(lists.offsets) - lists.offsets[0].as_py()
+                starts, counts = (np.asarray(piece.column(c).flatten()) for c in ("starts", "counts"))
+                cut = np.asarray(piece.column("starts").offsets) - piece.column("starts").offsets[0].as_py()
                 for i in range(piece.num_rows):
                     a, b = w.first[i], w.first[i + 1]
-                    gone = covered(flat[cut[i]:cut[i + 1]], b - a, window)
+                    runs = slice(cut[i], cut[i + 1])
+                    gone = covered(starts[runs], counts[runs], b - a, window)
                     start, end = w.start[a:b], w.end[a:b]
                     kept = [w.data[s:e].tobytes() for s, e in zip(start[~gone].tolist(), end[~gone].tolist(), strict=True)]
                     removed.append(int(gone.sum()))

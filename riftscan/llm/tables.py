@@ -49,13 +49,27 @@ def one_row_per_id(df: DataFrame, ident: str, *names: str) -> DataFrame:
     return largest.select(ident, *(F.col("_row")[n].alias(n) for n in names))
 
 
+def short_keys(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Group and 32 bits of each key: what travels. Groups have a bounded mean size, so two keys of one group rarely agree."""
+    return ((mix(keys) % np.uint64(buckets)) << np.uint64(32) | keys >> np.uint64(32)).view(np.int64)
+
+
+def cuts(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin, and the end."""
+    return np.concatenate([[0], np.flatnonzero(values[1:] != values[:-1]) + 1, [len(values)]]) if len(values) else np.zeros(1, np.int64)
+
+
+def flat(table: pa.Table, name: str) -> np.ndarray:
+    """All entries of a list column."""
+    return np.asarray(pa.concat_arrays(table.column(name).chunks).flatten())
+
+
 def _pack(buckets: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(1)
-            counts = np.diff(np.asarray(lists.offsets))
-            owner = np.repeat(np.asarray(batch.column(0)), counts)
-            key = np.asarray(lists.flatten()).view(np.uint64)
+            owner = np.repeat(np.asarray(batch.column(0)), np.diff(np.asarray(lists.offsets)))
+            key = short_keys(np.asarray(lists.flatten()).view(np.uint64), buckets)
             if not len(key):
                 continue
             order = np.lexsort((owner, key))
@@ -65,9 +79,7 @@ def _pack(buckets: int):
             head = np.concatenate([[True], key[1:] != key[:-1]])
             group = np.cumsum(head) - 1
             known = np.bincount(group)[group] > 1
-            send = head
-            bucket = (mix(key[send]) % np.uint64(buckets)).astype(np.int64)
-            yield _rows(bucket, key[send], owner[send], known[send])
+            yield _rows(key[head] >> 32, key[head], owner[head], known[head])
             if known.any():
                 mine = (mix(owner[known].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
                 yield _rows(-1 - mine, key[known], owner[known], np.ones(int(known.sum()), bool))
@@ -75,43 +87,54 @@ def _pack(buckets: int):
 
 
 def _rows(bucket: np.ndarray, key: np.ndarray, owner: np.ndarray, known: np.ndarray) -> pa.RecordBatch:
-    order = np.argsort(bucket, kind="stable")
-    bucket = bucket[order]
-    first = np.concatenate([np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])), [len(bucket)]])
+    order = np.lexsort((owner, bucket))
+    bucket, key, owner, known = bucket[order], key[order], owner[order], known[order]
+    first = cuts(bucket)
+    one = cuts(owner + bucket * np.int64(0x5851F42D4C957F2D))  # an owner is written once for all its keys in a group
+    entries = np.searchsorted(one, first)
     cut = pa.array(first.astype(np.int32))
+    few = pa.array(entries.astype(np.int32))
     return pa.RecordBatch.from_arrays([
         pa.array(bucket[first[:-1]]),
-        pa.ListArray.from_arrays(cut, pa.array(key[order].view(np.int64))),
-        pa.ListArray.from_arrays(cut, pa.array(owner[order])),
-        pa.ListArray.from_arrays(cut, pa.array(known[order]))], ["bucket", "keys", "owners", "known"])
+        pa.ListArray.from_arrays(cut, pa.array((key & 0xFFFFFFFF).astype(np.uint32).view(np.int32))),
+        pa.ListArray.from_arrays(cut, pa.array(known)),
+        pa.ListArray.from_arrays(few, pa.array(owner[one[:-1]])),
+        pa.ListArray.from_arrays(few, pa.array(np.diff(one).astype(np.int32))),
+        pa.ListArray.from_arrays(cut, pa.array((key >> 32).astype(np.int32))) if bucket[0] < 0 else pa.array([[]] * (len(first) - 1), pa.list_(pa.int32()))],
+        ["bucket", "keys", "known", "owners", "counts", "groups"])
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    flat = table.combine_chunks()
-    key = np.asarray(pa.concat_arrays(flat.column("keys").chunks).flatten())
-    owner = np.asarray(pa.concat_arrays(flat.column("owners").chunks).flatten())
-    if flat.column("bucket")[0].as_py() >= 0:
-        known = np.asarray(pa.concat_arrays(flat.column("known").chunks).flatten())
-        _, group, count = np.unique(key, return_inverse=True, return_counts=True)
-        told = (count[group] > 1) & ~known
-        key, owner = key[told], owner[told]
+    bucket = table.column("bucket")[0].as_py()
+    low = flat(table, "keys").view(np.uint32).astype(np.int64)
+    owner = np.repeat(flat(table, "owners"), flat(table, "counts"))
+    if bucket >= 0:
+        _, group, count = np.unique(low, return_inverse=True, return_counts=True)
+        told = (count[group] > 1) & ~flat(table, "known")
+        key, owner = low[told] | np.int64(bucket) << 32, owner[told]
+    else:
+        key = low | flat(table, "groups").astype(np.int64) << 32
     order = np.argsort(owner, kind="stable")
     key, owner = key[order], owner[order]
-    first = np.concatenate([np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])), [len(owner)]]) if len(owner) else np.zeros(1)
-    cut = first.astype(np.int64)
+    cut = cuts(owner)
     return pa.table({"owner": owner[cut[:-1]], "keys": pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(key, pa.int64()))})
 
 
-def shared_keys(df: DataFrame, keys_per_owner: float, owners: int) -> DataFrame:
-    """Of (owner long, keys array<long>), the keys that at least two owners have: (owner, keys).
+def buckets_for(df: DataFrame, keys: float) -> int:
+    """Groups for so many keys: at least as many as the session shuffles into."""
+    return max(partitions(df), int(keys / GROUP_KEYS) + 1)
+
+
+def shared_keys(df: DataFrame, buckets: int) -> DataFrame:
+    """Of (owner long, keys array<long>), the keys that at least two owners have: (owner, keys as ``short_keys``).
 
-    Owners without such a key have no row. Keys travel in packed rows, one for each batch and group of keys.
+    Owners without such a key have no row. Keys travel in packed rows, one for each batch and group of keys, cut to
+    32 bits inside their group: a filter that lets a few keys in ten thousand through by chance and loses none.
     What two owners of one batch share is known there, and only one of them asks the others: a key that a third
     of all owners have comes to its group once a batch, not once an owner. The number of groups grows with the
     number of keys, so a group's size doesn't.
     """
-    buckets = max(partitions(df), int(keys_per_owner * owners / GROUP_KEYS) + 1)
     packed = df.select("owner", "keys").where("owner is not null and size(keys) > 0").mapInArrow(
-        _pack(buckets), "bucket long, keys array<long>, owners array<long>, known array<boolean>")
+        _pack(buckets), "bucket long, keys array<int>, known array<boolean>, owners array<long>, counts array<int>, groups array<int>")
     told = packed.groupBy("bucket").applyInArrow(_answer, "owner long, keys array<long>")
     return told.groupBy("owner").agg(F.array_distinct(F.flatten(F.collect_list("keys"))).alias("keys"))
