@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, recompression
+from . import byte_bpe, recompression, tensored_minhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -53,3 +53,27 @@ RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 def op10_byte_bpe(spark, sf_dir):
     """Byte-level BPE of documents: digests of the ids and of what they decode to."""
     return byte_bpe.digest(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
+
+
+@query
+def op9_minhash_dedup(spark, sf_dir):
+    """Near duplicates of documents on two-word shingles, similarity 0.8."""
+    return tensored_minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
+ORACLE["op9_minhash_dedup"] = r"""
+with recursive words as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+sets as (select doc_id, unnest(case when len(w) < 2 then (case when len(w) = 0 then [] else [w[1]] end)
+    else list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) end) as s from words),
+sizes as (select doc_id, count(*) as n from sets group by doc_id),
+common as (select x.doc_id as a, y.doc_id as b, count(*) as c from sets x join sets y on x.s = y.s and x.doc_id < y.doc_id group by all),
+links as (select a, b from common join sizes p on p.doc_id = a join sizes q on q.doc_id = b where 100 * c >= 80 * (p.n + q.n - c)),
+both_ways as (select a, b from links union all select b, a from links),
+reach(a, b) as (select a, b from both_ways union select r.a, l.b from reach r join both_ways l on r.b = l.a),
+least as (select a as doc_id, min(b) as m from reach group by a)
+select doc_id, coalesce(n, 0)::bigint as n_shingles, least(doc_id, coalesce(m, doc_id)) as component_id,
+       doc_id = least(doc_id, coalesce(m, doc_id)) as kept
+from documents left join sizes using (doc_id) left join least using (doc_id)
+"""
