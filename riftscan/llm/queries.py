@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import byte_bpe, recompression, tensored_minhash
+from . import byte_bpe, lattice_lm, recompression, tensored_minhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -22,6 +23,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Vocabulary whose pieces the registered scores lay over words; the operator takes any.
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def held_out(remainder: int):
+    """Documents that nothing is learned from."""
+    return F.crc32(F.col("doc_id").cast("string")) % 5 == remainder
+
+
+@query
+def op4_lattice_lm(spark, sf_dir):
+    """Log probabilities of documents under the lattice model, learned from all but a fifth of them."""
+    return lattice_lm.score(table(spark, sf_dir, "documents"), PIECES, ~held_out(1)).select(
+        "doc_id", held_out(1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query
 def op8_substring_dedup(spark, sf_dir):
     """Words of repeated 13-word windows of documents."""

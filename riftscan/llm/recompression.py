@@ -165,7 +165,7 @@ def _asks(window: int, buckets: int, marked: int):
                 salt = np.uint64(0x9E3779B97F4A7C15)
                 own = short_keys(names, marked).view(np.uint64)
                 hit = np.isin(mix(own ^ (w.doc[starts].astype(np.uint64) * salt)), mix(wanted ^ (of * salt)))
-                starts = starts[hit]
+                starts, own = starts[hit], own[hit]
                 if not len(starts):
                     continue
                 doc = np.asarray(piece.column("doc_id"))[w.doc[starts]]
@@ -178,7 +178,8 @@ def _asks(window: int, buckets: int, marked: int):
                 repeat[order] = sorted_doc > sorted_doc[head][np.cumsum(head) - 1]
                 # Equal in the first name only: ask as well, the second one decides.
                 repeat[order] &= two[order] == two[order][head][np.cumsum(head) - 1]
-                yield _ask_rows((one % np.uint64(buckets)).astype(np.int64)[~repeat], doc[~repeat], at[~repeat], one[~repeat], two[~repeat])
+                # Windows that one symbol stands for go to one group, where they are runs again.
+                yield _ask_rows((mix(own) % np.uint64(buckets)).astype(np.int64)[~repeat], doc[~repeat], at[~repeat], one[~repeat], two[~repeat])
                 if repeat.any():
                     doc, at, count = _runs(doc[repeat], at[repeat])
                     yield _ask_rows(-1 - (mix(doc.view(np.uint64)) % np.uint64(buckets)).astype(np.int64), doc, at, count=count)
@@ -210,10 +211,7 @@ def _repeats(table: pa.Table) -> pa.Table:
         doc, at, count = _runs(doc[told], at[told])
     else:
         count = flat(table, "counts")
-        order = np.argsort(doc, kind="stable")
-        doc, at, count = doc[order], at[order], count[order]
-    cut = cuts(doc)
-    return pa.table({"doc_id": doc[cut[:-1]], "starts": as_lists(at, cut, pa.int32()), "counts": as_lists(count, cut, pa.int32())})
+    return pa.table({"doc_id": doc, "start": at, "count": count})
 
 
 def repeated_windows(docs: DataFrame, window: int = 13) -> tuple[DataFrame, DataFrame]:
@@ -233,8 +231,9 @@ def repeated_windows(docs: DataFrame, window: int = 13) -> tuple[DataFrame, Data
     candidates = stored(docs.join(shared.withColumnRenamed("owner", "doc_id").join(alone, "doc_id"), "doc_id"))
     buckets = max(partitions(docs), int((size or 0) / GROUP_BYTES) + 1)
     asks = candidates.mapInArrow(_asks(window, buckets, marked), _ASKS)
-    runs = asks.groupBy("bucket").applyInArrow(_repeats, "doc_id long, starts array<int>, counts array<int>")
-    starts = runs.groupBy("doc_id").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "counts")))
+    runs = asks.groupBy("bucket").applyInArrow(_repeats, "doc_id long, start int, count int")
+    starts = runs.groupBy("doc_id").agg(F.collect_list(F.struct("start", "count")).alias("runs")).select(
+        "doc_id", F.col("runs.start").alias("starts"), F.col("runs.count").alias("counts"))
     return stats, candidates.select("doc_id", "text").join(starts, "doc_id")
 
 

@@ -114,10 +114,7 @@ def _answer(table: pa.Table) -> pa.Table:
         key, owner = low[told] | np.int64(bucket) << 32, owner[told]
     else:
         key = low | flat(table, "groups").astype(np.int64) << 32
-    order = np.argsort(owner, kind="stable")
-    key, owner = key[order], owner[order]
-    cut = cuts(owner)
-    return pa.table({"owner": owner[cut[:-1]], "keys": pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(key, pa.int64()))})
+    return pa.table({"owner": owner, "key": key})
 
 
 def buckets_for(df: DataFrame, keys: float) -> int:
@@ -136,5 +133,5 @@ def shared_keys(df: DataFrame, buckets: int) -> DataFrame:
     """
     packed = df.select("owner", "keys").where("owner is not null and size(keys) > 0").mapInArrow(
         _pack(buckets), "bucket long, keys array<int>, known array<boolean>, owners array<long>, counts array<int>, groups array<int>")
-    told = packed.groupBy("bucket").applyInArrow(_answer, "owner long, keys array<long>")
-    return told.groupBy("owner").agg(F.array_distinct(F.flatten(F.collect_list("keys"))).alias("keys"))
+    told = packed.groupBy("bucket").applyInArrow(_answer, "owner long, key long")
+    return told.groupBy("owner").agg(F.array_distinct(F.collect_list("key")).alias("keys"))

@@ -144,3 +144,42 @@ def as_lists(values: np.ndarray, first: np.ndarray, kind: pa.DataType) -> pa.Arr
     """An Arrow list column of ``values`` cut at ``first`` (len + 1 offsets)."""
     flat = values.view(np.int64) if values.dtype == np.uint64 else values
     return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(flat, kind))
+
+
+class Lookup:
+    """Positions of 64-bit keys in the sequence it was made from; -1 for others."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        bits = max(4, (len(keys) * 4).bit_length())
+        self._shift = np.uint64(64 - bits)
+        self._keys = np.zeros(1 << bits, np.uint64)
+        self._at = np.full(1 << bits, -1, np.int32)
+        self._probes = 0
+        at, slot = np.arange(len(keys), dtype=np.int32), self._slot(keys)
+        while len(at):  # linear probing: whoever finds a free slot takes it, the rest go one further
+            self._probes += 1
+            free = np.flatnonzero(self._at[slot] < 0)
+            _, one = np.unique(slot[free], return_index=True)
+            won = free[one]
+            self._keys[slot[won]], self._at[slot[won]] = keys[at[won]], at[won]
+            rest = np.ones(len(at), bool)
+            rest[won] = False
+            at, slot = at[rest], (slot[rest] + 1) % len(self._at)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self._shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        slot = self._slot(keys)
+        out = self._at[slot]
+        other = np.flatnonzero((out >= 0) & (self._keys[slot] != keys))
+        out[other] = -1
+        for _ in range(self._probes):
+            if not len(other):
+                break
+            slot[other] = (slot[other] + 1) % len(self._at)
+            there = self._at[slot[other]]
+            hit = (there >= 0) & (self._keys[slot[other]] == keys[other])
+            out[other[hit]] = there[hit]
+            other = other[~hit & (there >= 0)]
+        return out
