@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, lattice_lm, recompression, tensored_minhash
+from . import byte_bpe, language_id, lattice_lm, recompression, tensored_minhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -32,6 +32,14 @@ def held_out(remainder: int):
     return F.crc32(F.col("doc_id").cast("string")) % 5 == remainder
 
 
+@query
+def op3_language_id(spark, sf_dir):
+    """Languages of documents, learned from four fifths of them."""
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.train(docs.where(~held_out(0)))
+    return language_id.identify(docs, model).select("doc_id", held_out(0).alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op4_lattice_lm(spark, sf_dir):
     """Log probabilities of documents under the lattice model, learned from all but a fifth of them."""
@@ -39,6 +47,14 @@ def op4_lattice_lm(spark, sf_dir):
         "doc_id", held_out(1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+@query
+def op6_toxicity(spark, sf_dir):
+    """Toxicity of documents, learned from labelled ones outside a held-out fifth."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels.where(~held_out(0)))
+    return toxicity.score(docs, model).select("doc_id", held_out(0).alias("held_out"), "score", "predicted")
+
+
 @query
 def op8_substring_dedup(spark, sf_dir):
     """Words of repeated 13-word windows of documents."""

@@ -97,11 +97,12 @@ def slices(batch: pa.RecordBatch, text: str, size: int = SLICE_BYTES) -> Iterato
             yield batch.slice(a, b - a)
 
 
-def words_of(column: pa.Array, lower: bool = False) -> Words:
+def words_of(column: pa.Array, lower: bool = False, outside: np.ndarray = _SPACE) -> Words:
+    """``outside``: which of the 256 bytes lie between words."""
     data, offsets = bytes_of(column)
+    inside = ~outside[data]
     if lower:
         data = _LOWER[data]
-    inside = ~_SPACE[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     before = np.concatenate([[False], inside[:-1]]) if len(data) else inside
