@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language_id, lattice_lm, recompression, tensored_minhash, toxicity
+from . import byte_bpe, language_id, lattice_lm, poisson_mix, recompression, sharding, tensored_minhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -23,6 +23,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Shards of the registered placement.
+SHARDS = [f"shard-{k:02d}" for k in range(16)]
+
+
+@query
+def op1_sharding(spark, sf_dir):
+    """Every document's slot and shard."""
+    return sharding.place(table(spark, sf_dir, "documents"), "doc_id", SHARDS).select("doc_id", "source", "slot", "shard", "shard_name")
+
+
+# The turns are one row each: which slots are taken (as a text of 0 and 1), and who took the last.
+ORACLE["op1_sharding"] = rf"""
+with recursive shards as (
+  select k::int as shard, 'shard-' || lpad(k::varchar, 2, '0') as shard_name from (select unnest(range(0, 16)) as k)),
+orders as (
+  select shard, shard_name, ('0x' || substr(md5(shard_name || '|offset'), 1, 15))::bigint % {sharding.TABLE_SIZE} as o,
+         ('0x' || substr(md5(shard_name || '|skip'), 1, 15))::bigint % {sharding.TABLE_SIZE - 1} + 1 as s from shards),
+wishes as (select shard, list((o + s * j) % {sharding.TABLE_SIZE} order by j) as w from orders, (select unnest(range(0, {sharding.TABLE_SIZE})) as j) group by shard),
+claims(turn, taken, slot, shard) as (
+  select 0, list_transform(range(0, {sharding.TABLE_SIZE}), lambda x: false), -1::bigint, -1
+  union all
+  select turn + 1, list_concat(list_concat(taken[:slot_now], [true]), taken[slot_now + 2:]), slot_now, k
+  from (select turn, taken, wishes.shard as k, list_filter(w, lambda x: not taken[x + 1])[1] as slot_now
+        from claims join wishes on wishes.shard = turn % 16 where turn < {sharding.TABLE_SIZE})),
+placed as (select slot, shard from claims where slot >= 0)
+select doc_id, source, slot, shard, shard_name
+from documents
+join placed on slot = ('0x' || substr(md5(doc_id::varchar), 1, 15))::bigint % {sharding.TABLE_SIZE}
+join shards using (shard)
+"""
+
+
 #: Vocabulary whose pieces the registered scores lay over words; the operator takes any.
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -55,6 +87,31 @@ def op6_toxicity(spark, sf_dir):
     return toxicity.score(docs, model).select("doc_id", held_out(0).alias("held_out"), "score", "predicted")
 
 
+@query
+def op7_poisson_mix(spark, sf_dir):
+    """Documents mixed to equal weights of their sources, as many as there are."""
+    return poisson_mix.mix(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op7_poisson_mix"] = """
+with recursive rates as (
+  select source, (1.0::double / (select count(distinct source) from documents)) * (select count(*) from documents)::double / count(*) as rate
+  from documents group by source),
+parted as (select source, greatest(1, ceil(rate / 16.0))::int as parts, rate / greatest(1, ceil(rate / 16.0)) as mean from rates),
+steps(source, k, p, total) as (
+  select source, 0, exp(-mean), exp(-mean) from parted
+  union all
+  select s.source, k + 1, p * mean / (k + 1), total + p * mean / (k + 1) from steps s join parted using (source) where k < 88),
+draws as (
+  select doc_id, source, ('0x' || substr(md5('1|copies|' || part || '|' || doc_id), 1, 13))::bigint::double / 4503599627370496 as u
+  from (select doc_id, source, unnest(range(1, parts + 1)) as part from documents join parted using (source))),
+counted as (select d.doc_id, count(k) as n from draws d left join steps s on d.source = s.source and s.total <= d.u group by d.doc_id),
+each as (select doc_id, unnest(range(0, n))::int as replica from counted)
+select documents.*, replica, ('0x' || substr(md5('1|order|' || replica || '|' || doc_id), 1, 13))::bigint::double / 4503599627370496 as order_key
+from each join documents using (doc_id)
+"""
+
+
 @query
 def op8_substring_dedup(spark, sf_dir):
     """Words of repeated 13-word windows of documents."""
