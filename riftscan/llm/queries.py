@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language_id, lattice_lm, poisson_mix, recompression, sharding, tensored_minhash, toxicity
+from . import byte_bpe, language_id, lattice_dedup, lattice_lm, poisson_mix, recompression, sharding, tensored_minhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -64,6 +64,27 @@ def held_out(remainder: int):
     return F.crc32(F.col("doc_id").cast("string")) % 5 == remainder
 
 
+@query
+def op2_lattice_dedup(spark, sf_dir):
+    """Links and components of embeddings of one label at cosine 0.93."""
+    return lattice_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), 0.93)
+
+
+ORACLE["op2_lattice_dedup"] = """
+with recursive vectors as (
+  select vec_id, label, embedding::double[] as e from embeddings
+  where label is not null and len(embedding) > 0 and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x)))
+    and list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+links as (select x.vec_id as a, y.vec_id as b from vectors x join vectors y
+  on x.label = y.label and len(x.e) = len(y.e) and x.vec_id <> y.vec_id where list_cosine_similarity(x.e, y.e) >= 0.93),
+reach(a, b) as (select a, b from links union select r.a, l.b from reach r join links l on r.b = l.a),
+least as (select a as vec_id, min(b) as m from reach group by a),
+counts as (select a as vec_id, count(*) as n from links group by a)
+select vec_id, coalesce(n, 0)::bigint as n_links, least(vec_id, coalesce(m, vec_id)) as component_id, vec_id = least(vec_id, coalesce(m, vec_id)) as kept
+from embeddings left join least using (vec_id) left join counts using (vec_id)
+"""
+
+
 @query
 def op3_language_id(spark, sf_dir):
     """Languages of documents, learned from four fifths of them."""
