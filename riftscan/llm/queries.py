@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language_id, lattice_dedup, lattice_lm, poisson_mix, recompression, sharding, tensored_minhash, toxicity
+from . import byte_bpe, graph_search, language_id, lattice_dedup, lattice_lm, poisson_mix, recompression, sharding, tensored_minhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -100,6 +100,12 @@ def op4_lattice_lm(spark, sf_dir):
         "doc_id", held_out(1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+@query
+def op5_graph_search(spark, sf_dir):
+    """The five nearest of every fiftieth embedding, found in pruned graphs."""
+    return graph_search.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
 @query
 def op6_toxicity(spark, sf_dir):
     """Toxicity of documents, learned from labelled ones outside a held-out fifth."""
