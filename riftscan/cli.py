@@ -1,20 +1,16 @@
-"""Command line: infer, extract, train-encoder and train-scorer. Run it with spark-submit or python -m."""
+"""Command line: infer, extract, encoder-rows and scorer-rows. Run it with spark-submit or python -m."""
 
 from __future__ import annotations
 
 import argparse
-import json
 import logging
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import svtype as sv
-from .models import encoder_training as et
-from .models import scorer_training as st
-from .models.encoder import save_weights
-from .operators.evaluate import sample_records
+from .models.scorer import labelled_vectors
+from .operators.evaluate import feature_stats, sample_records
 from .operators.extract import ExtractParams, extract_signatures
 from .operators.features import FULL_DIM
 from .plans.inference import RunConfig, load_alignments, run_inference, source_features
@@ -58,26 +54,19 @@ def build_arg_parser() -> argparse.ArgumentParser:
     extract.add_argument("--output", required=True)
     _options(extract, {"chrom": str, "start": int, "end": int, **_EXTRACT})
 
-    encoder = commands.add_parser("train-encoder", help="train the signature encoder")
+    encoder = commands.add_parser("encoder-rows", help="write feature rows of signatures, for training an encoder elsewhere")
     encoder.add_argument("--output-path", "--output_path", dest="output_path", required=True)
     _options(encoder, {
         "manifest": str, "signatures": str, "bam_path": str, "feature_bam_path": str, "save_signatures_path": str, "name": str,
         "platform": str, "chrom": str, "start": int, "end": int, "max_records": int, "use_bam_depth_features": bool,
-        "summary_path": str, "coverage_bin_size": int, "input_dim": int, "epochs": int, "batch_size": int, "lr": float,
-        "weight_decay": float, "lambda_var": float, "lambda_cov": float, "gamma": float, "noise_scale": float,
-        "feature_dropout": float, "svtype_aux_weight": float, "normalize_features": bool, "grad_clip": float, "eval_every": int,
-        "seed": int, "embed_dim": int, "proj_dim": int, "dropout": float,
-        "checkpoint_dir": str, "save_every": int})
-    _options(encoder, {"hidden_dims": int, "projector_hidden_dims": int}, nargs="*")
-
-    scorer = commands.add_parser("train-scorer", help="train the call scorer")
+        "coverage_bin_size": int, "input_dim": int, "seed": int})
+
+    scorer = commands.add_parser("scorer-rows", help="write labelled vectors of calls, for training a scorer elsewhere")
     scorer.add_argument("--output-path", "--output_path", dest="output_path", required=True)
     scorer.add_argument("--domain", default="real", choices=["real", "sim", ""])
     _options(scorer, {
         "manifest": str, "train_call_features": str, "train_truvari_dir": str, "validation_call_features": str,
-        "validation_truvari_dir": str, "test_call_features": str, "test_truvari_dir": str, "platform": str, "summary_path": str,
-        "epochs": int, "batch_size": int, "lr": float, "weight_decay": float, "dropout": float, "hidden_dim": int, "seed": int})
-    _options(scorer, {"channels": int}, nargs=3)
+        "validation_truvari_dir": str, "test_call_features": str, "test_truvari_dir": str, "platform": str})
     return parser
 
 
@@ -96,7 +85,7 @@ def run_infer(spark: SparkSession, args: argparse.Namespace) -> int:
     same = [n for n in RunConfig.__dataclass_fields__ if n not in ("extract", "data_path")]
     cfg = RunConfig(**_given(args, {n: n for n in same}), data_path=args.signatures, extract=_extract_params(args))
     result = run_inference(spark, cfg)
-    print(f"vcf={result.output_vcf}\nmetadata={result.metadata_path}")
+    print(f"vcf={result['output_vcf']}\nmetadata={result['metadata_path']}")
     return 0
 
 
@@ -130,33 +119,26 @@ def encoder_rows(spark: SparkSession, rows: list[dict], split: str, params: Extr
     return merged
 
 
-def run_train_encoder(spark: SparkSession, args: argparse.Namespace) -> int:
+def write_splits(sets: dict[str, DataFrame | None], path: str) -> None:
+    """Rows (id, x, y) of every split, and per dimension the mean and scale that standardise the training split."""
+    if sets["train"] is None:
+        raise SystemExit("no training sources: pass --manifest, or the paths of one source")
+    for split, rows in sets.items():
+        if rows is not None:
+            rows.select("id", "x", "y").write.mode("overwrite").parquet(f"{path.rstrip('/')}/{split}")
+    train = sets["train"].sparkSession.read.parquet(f"{path.rstrip('/')}/train")
+    size = len((train.select("x").first() or [[]])[0])
+    feature_stats(train, "x", size).write.mode("overwrite").parquet(f"{path.rstrip('/')}/statistics")
+    print(f"rows={path}")
+
+
+def run_encoder_rows(spark: SparkSession, args: argparse.Namespace) -> int:
     rows = read_manifest(spark, args.manifest) if args.manifest else []
     if args.signatures or args.bam_path:
         rows.append({"split": "train", "signatures": args.signatures, **{n: getattr(args, n) for n in (
             "name", "bam_path", "feature_bam_path", "save_signatures_path", "platform", "chrom", "start", "end", "max_records")}})
-    seed, dim = args.seed or 42, args.input_dim or FULL_DIM
-    load = [encoder_rows(spark, rows, split, ExtractParams(), args.coverage_bin_size or 1000, dim, args.use_bam_depth_features, seed)
-            for split in ("train", "validation")]
-    if load[0] is None:
-        raise SystemExit("no training sources: pass --manifest, --signatures or --bam-path")
-    settings = _given(args, {
-        "epochs": "epochs", "batch_size": "batch_size", "lr": "lr", "weight_decay": "weight_decay", "lambda_var": "lambda_var",
-        "lambda_cov": "lambda_cov", "gamma": "gamma", "noise_scale": "noise", "feature_dropout": "drop",
-        "svtype_aux_weight": "type_weight", "normalize_features": "normalise", "grad_clip": "clip", "eval_every": "eval_every",
-        "seed": "seed", "embed_dim": "embed_dim", "proj_dim": "proj_dim", "dropout": "dropout", "hidden_dims": "hidden_dims",
-        "projector_hidden_dims": "projector_hidden"})
-    epochs, every = args.epochs or 30, args.save_every or 5
-
-    def keep_latest(epoch: int, latest: dict, history: list) -> None:
-        if args.checkpoint_dir and (epoch % every == 0 or epoch == epochs):
-            os.makedirs(args.checkpoint_dir, exist_ok=True)
-            save_weights(latest, os.path.join(args.checkpoint_dir, "encoder_latest.npz"), {"epoch": epoch, "loss_history": history})
-
-    weights, summary = et.train_encoder(load[0], load[1], on_epoch=keep_latest, **settings)
-    save_weights(weights, args.output_path, summary)
-    _write_summary(args.summary_path, {**summary, "output_path": args.output_path, "manifest_rows": rows})
-    print(f"model={args.output_path}")
+    write_splits({split: encoder_rows(spark, rows, split, ExtractParams(), args.coverage_bin_size or 1000, args.input_dim or FULL_DIM,
+                                      args.use_bam_depth_features, args.seed or 42) for split in ("train", "validation")}, args.output_path)
     return 0
 
 
@@ -168,7 +150,7 @@ def scorer_rows(spark: SparkSession, rows: list[dict], split: str) -> DataFrame
         if not features or not truth:
             raise ValueError(f"manifest row of split {split} needs call_features and truvari_dir: {row}")
         records = annotate_records(read_call_features(spark, features), row)
-        part = st.labelled_vectors(records, *read_truth_labels(spark, truth))
+        part = labelled_vectors(records, *read_truth_labels(spark, truth))
         merged = part if merged is None else merged.unionByName(part)
     return merged
 
@@ -183,31 +165,16 @@ def annotate_records(records: DataFrame, row: dict) -> DataFrame:
     return records
 
 
-def run_train_scorer(spark: SparkSession, args: argparse.Namespace) -> int:
+def run_scorer_rows(spark: SparkSession, args: argparse.Namespace) -> int:
     rows = read_manifest(spark, args.manifest) if args.manifest else []
     for split in ("train", "validation", "test"):
         features, truth = getattr(args, f"{split}_call_features"), getattr(args, f"{split}_truvari_dir")
         if features and truth:
             rows.append({"split": split, "call_features": features, "truvari_dir": truth, "domain": args.domain, "platform": args.platform})
-    sets = {split: scorer_rows(spark, rows, split) for split in ("train", "validation", "test")}
-    if sets["train"] is None:
-        raise SystemExit("no training data: pass --manifest, or --train-call-features with --train-truvari-dir")
-    settings = _given(args, {n: n for n in ("epochs", "batch_size", "lr", "weight_decay", "dropout", "hidden_dim", "channels", "seed")})
-    model, summary = st.train_scorer(**sets, **settings)
-    weights = model.pop("weights")
-    save_weights(weights, args.output_path, {**model, "training": summary})
-    _write_summary(args.summary_path, {**summary, "output_path": args.output_path, "manifest_rows": rows})
-    print(f"model={args.output_path}")
+    write_splits({split: scorer_rows(spark, rows, split) for split in ("train", "validation", "test")}, args.output_path)
     return 0
 
 
-def _write_summary(path: str | None, payload: dict) -> None:
-    if path:
-        os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-        with open(path, "w", encoding="utf-8") as handle:
-            json.dump(payload, handle, indent=2, sort_keys=True, default=str)
-
-
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = build_arg_parser().parse_args(argv)
     handlers: list[logging.Handler] = [logging.StreamHandler()]
@@ -216,7 +183,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     logging.basicConfig(level=getattr(logging, args.log_level), handlers=handlers, force=True,
                         format="%(asctime)s %(levelname)s %(name)s %(message)s")
     logging.getLogger("py4j").setLevel(logging.WARNING)
-    run = {"infer": run_infer, "extract": run_extract, "train-encoder": run_train_encoder, "train-scorer": run_train_scorer}
+    run = {"infer": run_infer, "extract": run_extract, "encoder-rows": run_encoder_rows, "scorer-rows": run_scorer_rows}
     return run[args.command](spark or build_session(), args)
 
 

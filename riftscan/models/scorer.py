@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.calls import SCORE_FEATURES, drop_counters
+from ..operators.evaluate import label_calls
 from .encoder import load_weights, matrix_of
 from .layers import glorot, sigmoid
 
@@ -162,3 +163,9 @@ def score_filter(scored: DataFrame, threshold: float) -> tuple[DataFrame, DataFr
     """Calls at or above the threshold, and counters of the dropped ones."""
     kept = scored.where(F.col("scorer_prob") >= float(threshold))
     return kept, drop_counters(scored.where(F.col("scorer_prob") < float(threshold)), "scorer")
+
+
+def labelled_vectors(records: DataFrame, tp_ids: DataFrame, fp_ids: DataFrame, names=SCORER_FEATURES) -> DataFrame:
+    """Rows (id, x, y) of the records that are labelled one way or the other."""
+    return vectorise_records(label_calls(records, tp_ids, fp_ids), names).select(
+        F.col("call_id").alias("id"), "x", F.col("label").alias("y"))

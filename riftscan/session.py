@@ -49,11 +49,6 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def task_count(spark: SparkSession) -> int:
-    """Tasks of a training epoch: as many as shuffles have, so that a run can be repeated."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 #: Rows up to which a per-contig table counts as small.
 SMALL_ROWS = 200_000
 

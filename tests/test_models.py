@@ -1,73 +1,21 @@
-"""Numpy kernels: gradients against finite differences, forward passes, training on Spark."""
+"""Numpy kernels: forward passes, weights, thresholds."""
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from riftscan.models import encoder as en
-from riftscan.models import encoder_training as et
 from riftscan.models import layers as ly
 from riftscan.models import scorer as sc
-from riftscan.models import scorer_training as st
 from riftscan.operators import features as ft
 from riftscan.plans import fixtures as fx
 
 
-class Still:
-    """Random source without randomness: gradients can be compared with finite differences."""
-
-    def standard_normal(self, shape):
-        return np.zeros(shape)
-
-    def random(self, shape):
-        return np.ones(shape) * 0.5
-
-
-def numeric(loss, weights, name, index, step=1e-6):
-    flat = weights[name].reshape(-1)
-    old = flat[index]
-    flat[index] = old + step
-    up = loss()
-    flat[index] = old - step
-    down = loss()
-    flat[index] = old
-    return (up - down) / (2 * step)
-
-
 def test_erf():
     import math
     x = np.linspace(-7, 7, 2001)
     assert np.abs(ly.erf(x) - np.array([math.erf(v) for v in x])).max() < 1e-12
 
 
-def test_encoder_gradient():
-    rng = np.random.default_rng(0)
-    weights = et.init_training(7, 6, (9, 8), (10,), 5, True, 3)
-    x, y = rng.normal(size=(12, 7)), np.array([0, 1, 2, 3, 4, 5] * 2, dtype=float)
-
-    def run():
-        return et.encoder_gradient(weights, x, y, np.random.default_rng(5), 0.3, 0.2, 0.5)
-
-    _, grads = run()
-    for name in ("h0.w", "h1.b", "h0.gain", "h1.shift", "out.w", "p0.w", "p1.b", "t.w", "t.b"):
-        for index in (0, weights[name].size - 1):
-            assert grads[name].reshape(-1)[index] == pytest.approx(numeric(lambda: run()[0], weights, name, index), rel=2e-4, abs=2e-6)
-
-
-def test_scorer_gradient():
-    rng = np.random.default_rng(1)
-    weights = sc.init_scorer((4, 5, 6), 7, 2)
-    x, y = rng.normal(size=(9, 42)), (rng.random(9) > 0.5).astype(float)
-
-    def run():
-        return st.scorer_gradient({k: v.copy() if k.endswith((".mean", ".var")) else v for k, v in weights.items()}, x, y, Still(), 1.7, 0.0)
-
-    _, grads = run()
-    for name in ("c0.w", "c1.w", "c2.w", "c0.gain", "c1.shift", "c2.gain", "d0.w", "d0.b", "d1.w", "d1.b"):
-        for index in (0, weights[name].size // 2):
-            assert grads[name].reshape(-1)[index] == pytest.approx(numeric(lambda: run()[0], weights, name, index), rel=1e-3, abs=1e-6)
-
-
 def test_scorer_state_import_and_forward():
     weights = sc.init_scorer((4, 5, 6), 7, 2)
     rng = np.random.default_rng(4)
@@ -132,30 +80,3 @@ def test_record_vectors(spark):
                                "call_id string, domain string, score_features map<string,double>")
     rows = {r.call_id: r.x for r in sc.vectorise_records(df, ("log_span", "length_cv", "domain_real", "domain_sim")).collect()}
     assert rows == {"a": [2.0, 0.0, 1.0, 0.0], "sim_7": [0.0, 0.0, 0.0, 1.0], "b": [0.0, 0.0, 0.0, 1.0]}
-
-
-def learnable(spark, n, seed):
-    rng = np.random.default_rng(seed)
-    x = rng.normal(size=(n, len(sc.SCORER_FEATURES)))
-    y = (x.mean(axis=1) > 0).astype(int)
-    return spark.createDataFrame([(f"{seed}_{i}", x[i].tolist(), int(y[i])) for i in range(n)], "id string, x array<double>, y int")
-
-
-def test_scorer_training(spark, tmp_path):
-    model, summary = st.train_scorer(learnable(spark, 400, 1), learnable(spark, 150, 2), epochs=14, batch_size=64, lr=1e-2, dropout=0.0,
-                                     channels=(8, 8, 8), hidden_dim=16, tasks=2)
-    losses = [h["loss"] for h in summary["loss_history"]]
-    assert losses[-1] < 0.7 * losses[0] and summary["evaluation"]["validation"]["f1"] > 0.75
-    weights = model.pop("weights")
-    en.save_weights(weights, str(tmp_path / "s.npz"), model)
-    again = sc.load_scorer(str(tmp_path / "s.npz"))
-    assert again["threshold"] == model["threshold"] and np.allclose(again["weights"]["d0.w"], weights["d0.w"])
-
-
-def test_encoder_training(spark, sf_dir):
-    rows = ft.node_features(fx.sig(spark, sf_dir)).select(F.col("sid").cast("string").alias("id"), F.col("feat").alias("x"), (F.col("sid") % 6).alias("y"))
-    weights, summary = et.train_encoder(rows, rows.limit(100), epochs=2, batch_size=128, embed_dim=8, hidden_dims=(16, 16),
-                                        projector_hidden=(16,), proj_dim=8, tasks=2)
-    assert en.encoder_shape(weights) == (27, [16, 16], 8)
-    assert summary["loss_history"][-1]["loss"] < summary["loss_history"][0]["loss"]
-    assert summary["loss_history"][-1]["val_embedding_std_mean"] > 0

@@ -11,6 +11,10 @@ from riftscan.operators import dedup as dd
 from riftscan.operators.prefix import gap_sessions, merge_touching, ranked
 
 
+def merges(kind, a, b):
+    return bool(dd._mergeable(dd._Arrays, kind == "TRA", kind == "INS", a[0], a[1], max(a[2], 1), b[0], b[1], max(b[2], 1)))
+
+
 def positions(seed, n=400):
     rng = random.Random(seed)
     # A third of all rows sit on one position of one key.
@@ -72,7 +76,7 @@ def sequential_dedup(calls):
             slots.pop(0)
         for slot in reversed(slots):
             other = kept[slot]
-            if dd._merges(kind, (other[3], other[4], other[5]), (start, end, size)):
+            if merges(kind, (other[3], other[4], other[5]), (start, end, size)):
                 if (support, prob) > (other[6], other[7]):
                     kept[slot] = call
                 break
