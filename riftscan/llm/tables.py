@@ -64,9 +64,51 @@ def flat(table: pa.Table, name: str) -> np.ndarray:
     return np.asarray(pa.concat_arrays(table.column(name).chunks).flatten())
 
 
+def in_blocks(df: DataFrame, group: str, ident: str, size: int) -> DataFrame:
+    """Rows of groups of two or more, dealt so that every two rows of a group meet once.
+
+    A group is cut into blocks of about ``size`` rows (by a hash of ``ident``); a row comes once for each block of its
+    group, with the pair of blocks (``_lo``, ``_hi``) that meets there and its own (``_block``). So no task sees more
+    than two blocks of a group at once, whatever its size.
+    """
+    counts = df.groupBy(group).agg(F.count("*").alias("_n")).where("_n > 1")
+    cut = df.join(counts, group).withColumn("_blocks", F.ceil(F.col("_n") / size).cast("int"))
+    cut = cut.withColumn("_block", F.pmod(F.xxhash64(ident), F.col("_blocks")).cast("int"))
+    each = cut.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    return each.select(*df.columns, F.least("_block", "_other").alias("_lo"), F.greatest("_block", "_other").alias("_hi"), "_block")
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the links between small numbers a and b that join what earlier ones left apart."""
+    top = list(range(int(max(a.max(), b.max())) + 1)) if len(a) else []
+    keep = []
+    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        while top[x] != x:
+            top[x] = top[top[x]]
+            x = top[x]
+        while top[y] != y:
+            top[y] = top[top[y]]
+            y = top[y]
+        if x != y:
+            top[y] = x
+            keep.append(k)
+    return a[keep], b[keep]
+
+
+#: Keys that a task sorts at once.
+_SORTED_KEYS = 1 << 18
+
+
+def _few_keys(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    piece = np.asarray(batch.column(1).offsets)[:-1] // _SORTED_KEYS
+    edges = cuts(piece)
+    for a, b in zip(edges, edges[1:], strict=False):
+        yield batch.slice(a, b - a)
+
+
 def _pack(buckets: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in _few_keys(whole)):
             lists = batch.column(1)
             owner = np.repeat(np.asarray(batch.column(0)), np.diff(np.asarray(lists.offsets)))
             key = short_keys(np.asarray(lists.flatten()).view(np.uint64), buckets)
