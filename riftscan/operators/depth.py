@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import small_table
 from .filters import IGNORED_FLAGS
+from .prefix import block_neighbour, block_scan
 
 #: Bins on either side of a position that its local depth averages over.
 DEPTH_WINDOW = 2
+#: Bins that are scanned together.
+BIN_BLOCK = 1 << 14
 
 
 def primary_intervals(alignments: DataFrame) -> DataFrame:
@@ -66,7 +68,7 @@ def depth_bins(intervals: DataFrame, regions: DataFrame, bin_size: int = 1000) -
     Every interval adds +1 at its first bin and -1 behind its last one. The marks are summed per bin
     before the shuffle, so what is ordered and scanned is one row per bin, however many reads there are.
     """
-    sized = small_table(region_grid(regions, bin_size))
+    sized = region_grid(regions, bin_size)
     clipped = (
         intervals.join(sized, "contig")
         .withColumn("s", F.greatest("lo", "start")).withColumn("e", F.least("hi", "end"))
@@ -79,23 +81,22 @@ def depth_bins(intervals: DataFrame, regions: DataFrame, bin_size: int = 1000) -
         F.struct(F.col("b0").alias("bin"), F.lit(1).alias("d")),
         F.struct((F.col("b1") + 1).alias("bin"), F.lit(-1).alias("d")))))
     deltas = marks.groupBy("contig", "bin").agg(F.sum("d").alias("d"))
-    grid = sized.select("contig", "lo", "n_bins",
-                        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_bins") - 1)).alias("bin"))
-    scan = Window.partitionBy("contig").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return grid.join(deltas, ["contig", "bin"], "left").select(
-        "contig", "bin", F.sum(F.coalesce("d", F.lit(0))).over(scan).alias("depth"), "lo", "n_bins")
+    # Bins are made block by block, so no row ever holds a contig's whole list.
+    blocks = sized.select("contig", "lo", "n_bins", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n_bins") - 1) / BIN_BLOCK))).alias("__blk"))
+    first = F.col("__blk") * BIN_BLOCK
+    grid = blocks.select("*", F.explode(F.sequence(first, F.least(first + BIN_BLOCK, "n_bins") - 1)).alias("bin"))
+    marked = grid.join(deltas, ["contig", "bin"], "left")
+    track = block_scan(marked, ["contig"], "__blk", ["bin"], F.coalesce("d", F.lit(0)), "depth")
+    return track.select("contig", "bin", "depth", "lo", "n_bins")
 
 
 def depth_runs(track: DataFrame) -> DataFrame:
     """Runs (contig, first_bin, last_bin, depth) of equal depth."""
-    order = Window.partitionBy("contig").orderBy("bin")
-    change = F.when(F.lag("depth").over(order).eqNullSafe(F.col("depth")), 0).otherwise(1)
-    run = F.sum("change").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return (
-        track.withColumn("change", change).withColumn("run", run)
-        .groupBy("contig", "run", "depth").agg(F.min("bin").alias("first_bin"), F.max("bin").alias("last_bin"))
-        .drop("run")
-    )
+    rows = track.select("contig", "bin", "depth", F.floor(F.col("bin") / BIN_BLOCK).alias("__blk"))
+    rows = block_neighbour(rows, ["contig"], "__blk", ["bin"], F.col("depth"), "__last", ahead=False)
+    change = F.when(F.col("__last").eqNullSafe(F.col("depth")), 0).otherwise(1)
+    rows = block_scan(rows, ["contig"], "__blk", ["bin"], change, "run")
+    return rows.groupBy("contig", "run", "depth").agg(F.min("bin").alias("first_bin"), F.max("bin").alias("last_bin")).drop("run")
 
 
 def smoothed_track(track: DataFrame, window: int = DEPTH_WINDOW) -> DataFrame:
@@ -111,9 +112,13 @@ def smoothed_track(track: DataFrame, window: int = DEPTH_WINDOW) -> DataFrame:
             F.sequence(F.lit(-window).cast("bigint"), F.lit(-1).cast("bigint")),
             F.sequence(F.col("n_bins"), F.col("n_bins") + window - 1))).alias("bin"),
         F.lit(None).cast("bigint").alias("depth"))
-    around = Window.partitionBy("contig").orderBy("bin").rowsBetween(-window, window)
-    return track.select("contig", "lo", "n_bins", "bin", "depth").unionByName(pad).select(
-        "contig", "bin", "lo", "n_bins", F.avg("depth").over(around).alias("local_depth"))
+    padded = track.select("contig", "lo", "n_bins", "bin", "depth").unionByName(pad)
+    # Bins near a block's edge also come as a halo of the block next to it.
+    own, low, high = (F.floor((F.col("bin") + by) / BIN_BLOCK) for by in (0, -window, window))
+    each = padded.withColumn("__own", own).withColumn("__blk", F.explode(F.array_distinct(F.array(own, low, high))))
+    around = Window.partitionBy("contig", "__blk").orderBy("bin").rowsBetween(-window, window)
+    return each.withColumn("local_depth", F.avg("depth").over(around)).where("__own = __blk").select(
+        "contig", "bin", "lo", "n_bins", "local_depth")
 
 
 def with_local_depth(df: DataFrame, track: DataFrame, pos: str, bin_size: int = 1000, window: int = DEPTH_WINDOW,
@@ -127,7 +132,7 @@ def with_local_depth(df: DataFrame, track: DataFrame, pos: str, bin_size: int =
         extent = track.groupBy("contig").agg(F.first("lo").alias("lo"), F.first("n_bins").alias("n_bins"))
     else:
         extent = region_grid(regions, bin_size)
-    extent = small_table(extent.select("contig", F.col("lo").alias("__lo"), F.col("n_bins").alias("__n")))
+    extent = extent.select("contig", F.col("lo").alias("__lo"), F.col("n_bins").alias("__n"))
     at = F.floor((F.col(pos) - F.col("__lo")) / bin_size)
     keyed = df.join(extent, "contig", "left").withColumn(
         "bin", F.greatest(F.lit(-window), F.least(at, F.col("__n") + window - 1)))
@@ -139,20 +144,17 @@ def with_local_depth(df: DataFrame, track: DataFrame, pos: str, bin_size: int =
 
 
 def global_coverage(alignments: DataFrame, contigs: DataFrame, order: list[str],
-                    sample_reads: int = 5000, mapped_reads: DataFrame | None = None) -> DataFrame:
-    """One row: mapped reads x mean length of the first primary reads / reference length.
+                    sample_reads: int | None = None, mapped_reads: DataFrame | None = None) -> DataFrame:
+    """One row: mapped reads x mean length of primary reads / reference length.
 
-    NULL when there is nothing to estimate from. ``order`` stands for file order; the head is a
-    distributed top-k. ``mapped_reads`` (one column ``n``) may come from an index instead of a count.
+    NULL when there is nothing to estimate from. All primary reads count, in one combined aggregate. Only where
+    ``sample_reads`` is given, the mean is that of so many first reads in ``order``. ``mapped_reads`` (one column
+    ``n``) may come from an index instead of a count.
     """
     length = F.when(F.col("query_length") > 0, F.col("query_length")).otherwise(
         F.greatest(F.lit(0), F.col("ref_end") - F.col("pos0")))
-    head = (
-        alignments.where(F.col("flag").bitwiseAND(IGNORED_FLAGS) == 0)
-        .withColumn("__len", length).where(F.col("__len") > 0)
-        .orderBy(*order).limit(sample_reads)
-        .agg(F.avg("__len").alias("mean_length"))
-    )
+    primary = alignments.where(F.col("flag").bitwiseAND(IGNORED_FLAGS) == 0).withColumn("__len", length).where(F.col("__len") > 0)
+    head = (primary if sample_reads is None else primary.orderBy(*order).limit(sample_reads)).agg(F.avg("__len").alias("mean_length"))
     if mapped_reads is None:
         mapped_reads = alignments.where(F.col("flag").bitwiseAND(4) == 0).agg(F.count(F.lit(1)).alias("n"))
     total = contigs.where(F.col("length") > 0).agg(F.sum("length").alias("total"))

@@ -113,20 +113,13 @@ def standardise(df: DataFrame, stats: DataFrame, vector: str = "feat", out: str
     return df.withColumn("__stats", packed.scalar()).withColumn(out, z).drop("__stats")
 
 
-#: Sample size up to which a top-k is the cheaper way.
-_TOP_K_ROWS = 100_000
-
-
 def sample_records(df: DataFrame, n: int, ident: str = "sid", seed: int = 42) -> DataFrame:
     """At most ``n`` records drawn without replacement, reproducibly: the smallest keyed hashes.
 
-    Small samples are a distributed top-k. Larger ones rank the records block by block of their hash, so
-    no task holds the sample.
+    Records are ranked block by block of their hash, so no task holds the sample.
     """
     draw = F.md5(F.concat(F.lit(f"{seed}:"), F.col(ident).cast("string")))
     drawn = df.withColumn("__draw", draw)
-    if n <= _TOP_K_ROWS:
-        return drawn.orderBy("__draw", ident).limit(int(n)).drop("__draw")
     major, minor = F.substring("__draw", 1, 2), F.substring("__draw", 3, 2)
     placed = ranked(drawn, "__no", [major], [minor], [F.col("__draw"), F.col(ident)])
     return placed.where(F.col("__no") <= int(n)).drop("__draw", "__no")

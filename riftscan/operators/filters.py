@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import svtype as sv
 from ..schemas import REQUIRED_SIGNATURE_FIELDS, SIGNATURES
+from ..session import materialise
 
 #: Flag bits of reads that carry no evidence of their own: unmapped, secondary, supplementary.
 IGNORED_FLAGS = 4 | 256 | 2048
@@ -125,3 +126,14 @@ def missing_required(df: DataFrame) -> Column:
     """Count of required signature fields that are NULL in a row."""
     return reduce(lambda a, b: a + b,
                   [F.when(F.col(f).isNull(), 1).otherwise(0) for f in REQUIRED_SIGNATURE_FIELDS])
+
+
+def with_unique_ids(df: DataFrame) -> DataFrame:
+    """``df`` with ``sid`` numbering its rows, unless its ids are all there and all different.
+
+    Neighbours, clusters and calls are told apart by these ids, so two records must never share one. New numbers are
+    fixed in the shared folder: a task that runs again finds the same ones.
+    """
+    if df.groupBy("sid").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or sid is null").isEmpty():
+        return df
+    return materialise(df.withColumn("sid", F.monotonically_increasing_id()))

@@ -90,26 +90,49 @@ def ranked(df: DataFrame, name: str, major: list[Column], minor: list[Column], o
     return rows.withColumn(name, F.col("__off") + F.row_number().over(inside)).select(*columns, name)
 
 
+def block_scan(df: DataFrame, keys: list[str], block: str, order: list[str], value: Column, name: str, how: str = "sum",
+               inclusive: bool = True) -> DataFrame:
+    """Add ``name``: the running ``sum`` or ``max`` of ``value`` per key in the order (``block``, ``order``).
+
+    Rows are scanned inside their block; what comes before a block is scanned over one row per block. Without
+    ``inclusive`` a row's own value is left out, and the first row of a key has NULL.
+    """
+    fold = {"sum": F.sum, "max": F.max}[how]
+    columns = df.columns
+    inside = Window.partitionBy(*keys, block).orderBy(*order).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow if inclusive else -1)
+    rows = df.withColumn("__v", value).withColumn("__in", fold("__v").over(inside))
+    totals = rows.groupBy(*keys, block).agg(fold("__v").alias("__t"))
+    before = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*keys, block, fold("__t").over(before).alias("__before"))
+    both = {"sum": F.coalesce(F.col("__before") + F.col("__in"), "__before", "__in"), "max": F.greatest("__before", "__in")}[how]
+    return rows.join(totals, [*keys, block]).select(*columns, both.alias(name))
+
+
+def block_neighbour(df: DataFrame, keys: list[str], block: str, order: list[str], value: Column, name: str, ahead: bool) -> DataFrame:
+    """Add ``name``: ``value`` of the row before (or ``ahead``) per key in the order (``block``, ``order``), NULL at the ends.
+
+    Inside a block it is a plain neighbour; the row at a block's edge takes it from the edge of the next block that has rows.
+    """
+    columns = df.columns
+    rows = df.withColumn("__v", F.struct(value.alias("v"))).withColumn("__o", F.struct(*order))
+    inside = Window.partitionBy(*keys, block).orderBy(*order)
+    rows = rows.withColumn("__near", (F.lead if ahead else F.lag)("__v").over(inside))
+    edge = rows.groupBy(*keys, block).agg((F.min_by if ahead else F.max_by)("__v", "__o").alias("__edge"))
+    across = Window.partitionBy(*keys).orderBy(block)
+    edge = edge.select(*keys, block, (F.lead if ahead else F.lag)("__edge").over(across).alias("__edge"))
+    return rows.join(edge, [*keys, block]).select(*columns, F.coalesce("__near", "__edge")["v"].alias(name))
+
+
 def merge_touching(df: DataFrame, keys: list[str], start: str = "start", end: str = "end",
                    block_bp: int = BLOCK_BP) -> DataFrame:
     """Merge overlapping or touching intervals per key.
 
-    Merging is associative: intervals are merged inside blocks of their start first, and only the block
-    islands, of which a contig holds a bounded number, are merged across blocks.
+    An interval opens an island if it starts behind all that came before it; both the furthest end so far and the
+    number of islands are scans over position blocks.
     """
-    blocked = df.select(*keys, start, end).distinct().withColumn("__blk", F.floor(F.col(start) / block_bp))
-    inside = _merge_once(blocked, [*keys, "__blk"], start, end)
-    return _merge_once(inside, keys, start, end)
-
-
-def _merge_once(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
-    order = Window.partitionBy(*keys).orderBy(start, end)
-    reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = df.withColumn("__new", F.when(reach.isNull() | (F.col(start) > reach), 1).otherwise(0))
-    island = F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return (
-        marked.withColumn("__island", island)
-        .groupBy(*keys, "__island")
-        .agg(F.min(start).alias(start), F.max(end).alias(end))
-        .drop("__island")
-    )
+    rows = df.select(*keys, start, end).distinct().withColumn("__blk", F.floor(F.col(start) / block_bp))
+    rows = block_scan(rows, keys, "__blk", [start, end], F.col(end), "__reach", "max", inclusive=False)
+    opens = F.when(F.col("__reach").isNull() | (F.col(start) > F.col("__reach")), 1).otherwise(0)
+    rows = block_scan(rows, keys, "__blk", [start, end], opens, "__island")
+    return rows.groupBy(*keys, "__island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("__island")

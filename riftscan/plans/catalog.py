@@ -28,9 +28,8 @@ from ..operators import extract as ex
 from ..operators import features as ft
 from ..operators import filters as fl
 from ..operators import split_reads as sr
-from ..operators.prefix import gap_sessions
+from ..operators.prefix import block_neighbour
 from ..schemas import CALL_FEATURE_RECORD
-from ..session import small_table
 from ..sinks import calls as snk
 from . import fixtures as fx
 
@@ -76,6 +75,14 @@ def property_filter(spark, d):
     return fl.property_filter(fx.sig(spark, d), 30, 100_000, 20).select("sid", "svtype", "svlen", "mapq")
 
 
+@query
+def unique_ids(spark, d):
+    """Signatures whose ids repeat on every contig, and some without one, after they were numbered."""
+    repeated = fx.sig(spark, d).withColumn("sid", F.when(F.col("sid") % 7 != 0, F.col("sid") % 100))
+    return fl.with_unique_ids(repeated).groupBy("contig").agg(
+        F.count(F.lit(1)).alias("records"), F.count_distinct("sid").alias("ids"), F.sum("tstart").alias("starts"))
+
+
 @query
 def read_eligibility(spark, d):
     return fl.eligible_reads(fx.aln(spark, d), 600, 1_000).select("sid", "flag", "pos0", "query_length")
@@ -286,7 +293,7 @@ def flag_classes(spark, d):
 # ---------------------------------------------------------------- depth, intervals, features
 
 def _regions(spark, d, bin_size=1000):
-    return small_table(dp.contig_bounds(fx.sig(spark, d), bin_size, fx.contigs(fx.aln(spark, d))))
+    return dp.contig_bounds(fx.sig(spark, d), bin_size, fx.contigs(fx.aln(spark, d)))
 
 
 def _track(spark, d, bin_size=1000):
@@ -427,22 +434,15 @@ def gap_partitions_capped(spark, d):
     return cl.partition_by_position(cl.with_bucket(fx.sig(spark, d), True), capped).select("sid", "contig", "bucket", "sess", "chunk")
 
 
-def _vector_groups(spark, d):
-    """Embeddings in bounded groups: by label, in id order, cut like any position group."""
-    vectors = fx.table(spark, d, "embeddings").select("vec_id", "label", "embedding")
-    return gap_sessions(vectors, ["label"], "vec_id", "vec_id", 1_000, ps.MAX_GROUP_SIZE)
-
-
 @query
 def knn_topk(spark, d):
-    edges = cl.knn_edges(_vector_groups(spark, d), ["label", "sess", "chunk"], "vec_id", "embedding", 5)
-    return edges.select("src", "dst", r6("cosine").alias("cosine"))
+    return cl.knn_within(fx.table(spark, d, "embeddings"), "label", "vec_id", "embedding", 5).select("src", "dst", r6("cosine").alias("cosine"))
 
 
 @query
 def knn_symmetric(spark, d):
-    edges = cl.knn_edges(_vector_groups(spark, d), ["label", "sess", "chunk"], "vec_id", "embedding", 5, symmetric=True)
-    return edges.select("src", "dst", r6("cosine").alias("cosine"))
+    return cl.knn_within(fx.table(spark, d, "embeddings"), "label", "vec_id", "embedding", 5, symmetric=True).select(
+        "src", "dst", r6("cosine").alias("cosine"))
 
 
 @query
@@ -613,10 +613,9 @@ def dedup_calls(spark, d):
 def merge_predicate(spark, d):
     """Merge decision for every call and its successor of the same contig, type and partner."""
     calls = _sig_calls(spark, d).withColumn("partner", F.coalesce("partner_contig", F.lit("")))
-    w = Window.partitionBy("contig", "svtype", "partner", F.floor(F.col("start") / 4096)).orderBy("start", "cluster_id")
-    body = F.struct("start", "end", "svtype", "svlen")
-    pairs = calls.select(F.col("cluster_id").alias("id_a"), body.alias("a"), F.lead(body).over(w).alias("b"),
-                         F.lead("cluster_id").over(w).alias("id_b")).where(F.col("id_b").isNotNull())
+    calls = calls.withColumn("block", F.floor(F.col("start") / 4096)).withColumn("a", F.struct("start", "end", "svtype", "svlen"))
+    pairs = block_neighbour(calls, ["contig", "svtype", "partner"], "block", ["start", "cluster_id"], F.struct("a", "cluster_id"), "next", ahead=True)
+    pairs = pairs.where(F.col("next").isNotNull()).select(F.col("cluster_id").alias("id_a"), "a", F.col("next.a").alias("b"), F.col("next.cluster_id").alias("id_b"))
     return pairs.select("id_a", "id_b", as_int(dd.calls_should_merge("a", "b")).alias("merge"))
 
 

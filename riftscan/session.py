@@ -6,7 +6,6 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def build_session(app_name: str = "riftscan", master: str | None = None,
@@ -47,20 +46,3 @@ def materialise(df: DataFrame) -> DataFrame:
     """Cut lineage through the shared checkpoint folder, so lost executors cost no recomputation."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-#: Rows up to which a per-contig table counts as small.
-SMALL_ROWS = 200_000
-
-
-def small_table(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
-    """A per-contig table as a broadcast side, if it is as small as it should be.
-
-    Such a table is read here once and its size is checked. Beyond ``max_rows`` it stays an ordinary join
-    side. Left to the planner, the large side would be shuffled by contig before anyone knew how small
-    this one is.
-    """
-    rows = df.limit(max_rows + 1).toArrow()
-    if rows.num_rows > max_rows:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))

@@ -11,18 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.extract import source_counts, type_counts
-from ..operators.filters import missing_required, normalise_signatures
+from ..operators.filters import normalise_signatures, with_unique_ids
 from ..schemas import CALL_FEATURE_RECORD, SIGNATURES
 
-#: Rows looked at to decide whether a native table needs normalising.
-_SAMPLE_ROWS = 64
-
 
 def read_signatures(spark: SparkSession, path: str) -> DataFrame:
     """Signatures from Parquet, ORC or JSON lines.
 
-    A table that already has the native schema, with all required fields present in its first rows, is
-    used as it is; anything else goes through the alias projection.
+    Every table goes through the alias projection, which costs nothing and leaves no key NULL; records without
+    an id of their own, or with one that others have too, are numbered.
     """
     kind = os.path.splitext(path.rstrip("/"))[1].lower()
     if kind in (".json", ".jsonl"):
@@ -31,11 +28,7 @@ def read_signatures(spark: SparkSession, path: str) -> DataFrame:
         raw = spark.read.orc(path)
     else:
         raw = spark.read.parquet(path)
-    native = {f.name: f.dataType for f in SIGNATURES.fields}
-    if {f.name: f.dataType for f in raw.schema.fields} == native:
-        if raw.limit(_SAMPLE_ROWS).where(missing_required(raw) > 0).isEmpty():
-            return raw
-    return normalise_signatures(raw)
+    return with_unique_ids(normalise_signatures(raw))
 
 
 def write_signatures(df: DataFrame, path: str, params: dict | None = None) -> None:

@@ -13,6 +13,10 @@ from riftscan.operators.extract import ExtractParams, extract_signatures
 from riftscan.plans import fixtures as fx
 from riftscan.plans.inference import depth_track, load_alignments, load_signatures, manifest_features, resolved_contigs
 from riftscan.sinks.calls import HEADER, assign_call_ids, write_call_features, write_vcf
+from riftscan.models.encoder import embed
+from riftscan.operators import cluster as cl
+from riftscan.operators.features import node_features
+from riftscan.presets import GraphParams
 from riftscan.sources import bam, tables
 
 CONTIGS = [("chr1", 150_000), ("chr2", 150_000), ("chr3", 150_000), ("chr4", 150_000), ("chr5", 150_000), ("empty", 10)]
@@ -116,6 +120,21 @@ def test_legacy_records(spark, tmp_path):
     assert (rows["c2"].tstart, rows["c2"].tend, rows["c2"].svlen, rows["c2"].support, rows["c2"].confidence) == (7, 8, 90, 1, 0.25)
 
 
+def test_records_without_ids_stay_apart(spark, tmp_path):
+    """Three loci on two contigs: three calls, though no record has an id and one has no contig."""
+    records = [{"contig": contig, "tstart": at + k, "tend": at + 200 + k, "svlen": 200, "svtype": "DEL", "qname": f"{contig}{at}{k}", "mapq": 60}
+               for contig, at in (("chr1", 10_000), ("chr1", 90_000), ("chr2", 10_000)) for k in range(5)]
+    path = tmp_path / "plain.jsonl"
+    path.write_text("\n".join(json.dumps(r) for r in [*records, {"tstart": 1, "tend": 2, "svtype": "DEL"}]))
+    found = tables.read_signatures(spark, str(path))
+    assert found.count() == found.select("sid").distinct().count() == 16
+    assert found.where("contig = 'NA'").count() == 1
+    parts = cl.partition_by_position(cl.with_bucket(found), GraphParams(10, 0.5, 900))
+    clustered = cl.clusters(embed(node_features(parts)), GraphParams(10, 0.5, 900))
+    rows = clustered.groupBy("cluster_id", "contig").count().collect()
+    assert sorted((r.contig, r["count"]) for r in rows) == [("chr1", 5), ("chr1", 5), ("chr2", 5)]
+
+
 def test_bed_and_vcf_ids(spark, tmp_path):
     text = "# c\ntrack x\nchr1\t5\t9\textra\nchr1 a b\nchr2\t7\nchr3\t9\t9\n\nchr4  1  2\n"
     (tmp_path / "a.bed").write_text(text)
