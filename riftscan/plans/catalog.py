@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +17,7 @@ from ..functions import svtype as sv
 from ..functions import tokens as tk
 from ..functions.limits import CallParams
 from ..models import scorer as sc
-from ..models.encoder import embed, init_encoder
+from ..models.encoder import embed
 from ..operators import bed as bd
 from ..operators import calls as ca
 from ..operators import cluster as cl
@@ -737,20 +738,73 @@ def record_vectors(spark, d):
     return rows.select("call_id", *[r6(F.col("x")[i]).alias(n) for i, n in enumerate(names)])
 
 
+def _waves(rows: int, columns: int, salt: int) -> np.ndarray:
+    """A fixed weight matrix by a rule that SQL can state as well."""
+    return 0.35 * np.sin(0.7 * np.arange(rows)[:, None] + 1.3 * np.arange(columns)[None, :] + salt)
+
+
+def _ripple(size: int, salt: int) -> np.ndarray:
+    return 0.1 * np.cos(np.arange(size) + salt)
+
+
+def _norms(prefix: str, size: int, salt: int) -> dict:
+    return {f"{prefix}.gain": 1 + _ripple(size, salt), f"{prefix}.shift": _ripple(size, salt + 1)}
+
+
 @query
 def encoder_forward(spark, d):
-    """Embeddings of all signatures by a freshly seeded encoder."""
-    df = embed(ft.node_features(fx.sig(spark, d)), init_encoder(ft.FULL_DIM, 32, (64, 64), 7))
+    """Embeddings of all signatures by an encoder of fixed weights."""
+    weights, previous = {}, ft.FULL_DIM
+    for i, width in enumerate((64, 64)):
+        weights |= {f"h{i}.w": _waves(width, previous, i), f"h{i}.b": _ripple(width, i), **_norms(f"h{i}", width, i)}
+        previous = width
+    weights |= {"out.w": _waves(32, previous, 2), "out.b": _ripple(32, 2)}
+    df = embed(ft.node_features(fx.sig(spark, d)), weights)
     return df.select("sid", *[r6(F.col("emb")[i]).alias(f"e{i}") for i in range(4)])
 
 
-@query
-def scorer_forward(spark, d):
-    """Score of every call by a freshly seeded scorer, and its decision at the default threshold."""
+def _scored(spark, d):
     n = len(sc.SCORER_FEATURES)
-    model = {"weights": sc.init_scorer(seed=7), "mean": [0.0] * n, "scale": [1.0] * n}
+    weights, previous = {}, 1
+    for i, width in enumerate((8, 16, 16)):
+        weights |= {f"c{i}.w": _waves(width, previous * 3, i).reshape(width, previous, 3), f"c{i}.b": _ripple(width, i), **_norms(f"c{i}", width, i),
+                    f"c{i}.mean": _ripple(width, i + 2), f"c{i}.var": 1 + _ripple(width, i + 3)}
+        previous = width
+    weights |= {"d0.w": _waves(16, 2 * previous, 3), "d0.b": _ripple(16, 3), "d1.w": _waves(1, 16, 4), "d1.b": _ripple(1, 4)}
+    model = {"weights": weights, "mean": [0.0] * n, "scale": [1.0] * n, "platform_thresholds": {"ont": 0.6}}
     calls = ca.raw_calls(_gates(spark, d), CALL_PARAMS).withColumn("domain", F.lit("real"))
+    return sc.score_calls(calls, model), model
+
+
+@query
+def scorer_forward(spark, d):
+    """Score of every call by a scorer of fixed weights, and its decision at the platform's threshold."""
+    scored, model = _scored(spark, d)
     threshold, _ = sc.resolve_threshold(model, "ont")
-    scored = sc.score_calls(calls, model)
     return scored.select(*_KEY, r6("scorer_prob").alias("scorer_prob"), r6("prob").alias("prob"),
                          as_int(F.col("scorer_prob") >= threshold).alias("kept"))
+
+
+@query
+def score_filter_stats(spark, d):
+    """Counters of the calls that the score and the rules drop, merged."""
+    scored, model = _scored(spark, d)
+    kept, dropped = sc.score_filter(scored, sc.resolve_threshold(model, "ont")[0])
+    _, by_rule = ca.rule_postfilter(kept, CALL_PARAMS)
+    return ca.merge_stats(dropped, by_rule)
+
+
+@query
+def threshold_source(spark, d):
+    """Which threshold decides, by what a run and its checkpoint say."""
+    rows = []
+    for override in (None, 0.1):
+        for name, model in (("none", {}), ("own", {"threshold": 0.4}), ("platform", {"threshold": 0.4, "platform_thresholds": {"ont": 0.7}})):
+            for platform in ("ont", "ccs"):
+                value, source = sc.resolve_threshold(model, platform, override)
+                rows.append((override is not None, name, platform, value, source))
+    cases = spark.createDataFrame(rows, "overridden boolean, checkpoint string, platform string, threshold double, source string")
+    calls = fx.sig(spark, d).select((F.col("sid") % 2 == 0).alias("overridden"), F.element_at(F.array(*map(F.lit, ("none", "own", "platform"))), (F.col("sid") % 3 + 1).cast("int")).alias("checkpoint"),
+                                    F.when(F.col("sid") % 5 < 3, "ont").otherwise("ccs").alias("platform"), "confidence")
+    return calls.join(cases, ["overridden", "checkpoint", "platform"]).groupBy("overridden", "checkpoint", "platform", "threshold", "source").agg(
+        F.sum(as_int(F.col("confidence") >= F.col("threshold"))).alias("kept"))
