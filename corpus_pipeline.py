@@ -39,7 +39,7 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated or left out until all sources weigh the same, shuffled."""
-    return poisson_mix.mix(docs).select(*docs.columns)
+    return poisson_mix.replicate(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ partitions or order: the same seed gives the same copies. No Python runs in any
 A null source is a source of its own and may have a weight under None. Sources without a weight, or with 0, give no
 copies. Rows with a null or repeated id: the copies of equal ids agree, a null id counts as one more id. Nulls, empty
 and long texts elsewhere are carried along. An empty table gives an empty table. Columns of ``docs`` may have any
-names but those added (``replica``, ``order_key``).
+names; ``mix`` replaces columns called ``replica`` or ``order_key`` by its own, ``replicate`` adds none.
 """
 
 from __future__ import annotations
@@ -47,7 +47,7 @@ def rates(docs: DataFrame, weights: dict[str | None, float] | None, total: int |
 
     ``weights`` need not add up to 1; without any, all sources weigh the same. ``total``: documents wanted, by default as many as there are.
     """
-    counts = docs.groupBy(F.col(source).alias("_source")).agg(F.count("*").alias("n"))
+    counts = docs.select(F.col(source).alias("_source")).groupBy("_source").agg(F.count("*").alias("n"))
     if weights is None:
         counts = counts.withColumn("weight", F.lit(1.0))
     else:
@@ -70,12 +70,23 @@ def copies(ident: Column, parts: Column, steps: Column, seed: int) -> Column:
         lambda total, part: total + F.size(F.filter(steps, lambda step: step <= unit(F.lit(seed), F.lit("copies"), part, ident))))
 
 
+def _each(docs: DataFrame, weights, total, seed: int, ident: str, source: str) -> DataFrame:
+    rate = rates(docs, weights, total, source).withColumnsRenamed({c: f"__mix_{c}" for c in ("rate", "parts", "steps")})
+    joined = docs.join(rate, docs[source].eqNullSafe(rate["_source"]))
+    counted = joined.select(*(docs[c] for c in docs.columns), copies(docs[ident], rate["__mix_parts"], rate["__mix_steps"], seed).alias("__mix_copies"))
+    each = counted.where("__mix_copies > 0").withColumn("__mix_replica", F.explode(F.sequence(F.lit(0), F.col("__mix_copies") - 1)))
+    each = each.withColumn("__mix_order", unit(F.lit(seed), F.lit("order"), F.col("__mix_replica"), F.col(ident))).drop("__mix_copies")
+    return each.repartition("__mix_order").sortWithinPartitions("__mix_order", ident)
+
+
+def replicate(docs: DataFrame, weights: dict[str | None, float] | None = None, total: int | None = None, seed: int = 1,
+              ident: str = "doc_id", source: str = "source") -> DataFrame:
+    """``docs`` with every row once for each of its copies, globally shuffled; no other columns."""
+    return _each(docs, weights, total, seed, ident, source).select(*docs.columns)
+
+
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, total: int | None = None, seed: int = 1,
         ident: str = "doc_id", source: str = "source") -> DataFrame:
-    """``docs`` with every row once for each of its copies, and replica (from 0) and order_key; globally shuffled."""
-    rate = rates(docs, weights, total, source)
-    joined = docs.join(rate, docs[source].eqNullSafe(rate["_source"]))
-    counted = joined.withColumn("_copies", copies(docs[ident], F.col("parts"), F.col("steps"), seed)).where("_copies > 0")
-    each = counted.withColumn("replica", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
-    each = each.select(*(docs[c] for c in docs.columns), "replica", unit(F.lit(seed), F.lit("order"), F.col("replica"), docs[ident]).alias("order_key"))
-    return each.repartition("order_key").sortWithinPartitions("order_key", ident)
+    """As ``replicate``, with replica (from 0) and order_key, by which the copies of a partition are ordered."""
+    own = {"replica": "__mix_replica", "order_key": "__mix_order"}
+    return _each(docs.drop(*own), weights, total, seed, ident, source).withColumnsRenamed({v: k for k, v in own.items()})

@@ -220,7 +220,7 @@ def repeated_windows(docs: DataFrame, window: int = 13) -> tuple[DataFrame, Data
     some and are no copies."""
     docs = one_row_per_id(docs, "doc_id", "text")
     stats = stored(docs.mapInArrow(_digests, "doc_id long, n_words long, sha256 string"))
-    least = stats.groupBy("sha256").agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("copies")).where("copies > 1")
+    least = stored(stats.groupBy("sha256").agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("copies")).where("copies > 1"))
     stats = stored(stats.join(least, "sha256", "left").select(
         "doc_id", "n_words", "sha256", F.coalesce("copy_of", "doc_id").alias("copy_of")))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0]
@@ -295,9 +295,11 @@ def drop_repeated_passages(docs: DataFrame, window: int = 13) -> DataFrame:
 
     A document of which no word is left goes; one that had none to begin with stays as it is.
     """
-    found = remove_repeats(docs, window).where("n_removed > 0").select("doc_id", "n_words", "n_removed", "kept_text")
-    joined = docs.join(found, "doc_id", "left").where("n_removed is null or n_removed < n_words")
-    out = {"text": F.coalesce("kept_text", "text")}
+    found = remove_repeats(docs, window).where("n_removed > 0").select(
+        "doc_id", (F.col("n_removed") == F.col("n_words")).alias("__none_left"), F.col("kept_text").alias("__kept_text"))
+    joined = docs.join(found, "doc_id", "left").where("not coalesce(__none_left, false)")
+    kept = F.col("__kept_text")
+    out = {"text": F.coalesce(kept, "text")}
     if "n_chars" in docs.columns:
-        out["n_chars"] = F.when(F.col("kept_text").isNull(), F.col("n_chars")).otherwise(F.length("kept_text")).cast(docs.schema["n_chars"].dataType)
+        out["n_chars"] = F.when(kept.isNull(), F.col("n_chars")).otherwise(F.length(kept)).cast(docs.schema["n_chars"].dataType)
     return joined.select(*(out[c].alias(c) if c in out else F.col(c) for c in docs.columns))

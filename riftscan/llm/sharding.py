@@ -8,7 +8,8 @@ table whose size is a parameter and doesn't grow with the data.
 
 Writing one file set per shard would put a shard's rows into one task; ``write`` salts each shard over as many tasks
 as its share of the rows asks for. Keys that are null share a slot of their own (hash of ``~``); equal keys, and so
-repeated rows, always meet in one shard. Other columns, empty and long texts are carried along. An empty table gives
+repeated rows, always meet in one shard. Other columns, empty and long texts are carried along; columns that are
+called slot, shard or shard_name are replaced. An empty table gives
 an empty table. Shard names are deduplicated; without names nothing can be placed and ValueError says so.
 """
 
@@ -69,9 +70,9 @@ def slot(key: Column, size: int = TABLE_SIZE) -> Column:
 def place(df: DataFrame, key: str, shards: list[str], size: int = TABLE_SIZE) -> DataFrame:
     """``df`` with slot, shard and shard_name."""
     lookup = table_frame(df.sparkSession, shards, size)
-    keyed = df.withColumn("_slot", slot(F.col(key), size))
-    joined = keyed.join(F.broadcast(lookup), keyed["_slot"] == lookup["slot"])  # ``size`` rows
-    return joined.drop("_slot")
+    keyed = df.withColumn("__slot", slot(F.col(key), size)).drop(*lookup.columns)
+    joined = keyed.join(F.broadcast(lookup), keyed["__slot"] == lookup["slot"])  # ``size`` rows
+    return joined.drop("__slot")
 
 
 def write(df: DataFrame, key: str, shards: list[str], path: str, rows_per_task: int = 5_000_000, size: int = TABLE_SIZE) -> None:

@@ -38,3 +38,9 @@ def test_unusual_rows(spark):
     twice = [r.replica for r in got if r.doc_id == 2]
     assert sorted(twice) == sorted([k for k in range(max(twice) + 1)] * 2)
     assert pm.mix(docs.limit(0)).count() == 0 and pm.mix(docs, {"c": 1.0}).count() == 0
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(i, "a", 5, 7, "x") for i in range(30)], "doc_id long, source string, rate int, replica int, parts string")
+    assert pm.replicate(docs, total=300).columns == docs.columns and {r.replica for r in pm.replicate(docs, total=300).collect()} == {7}
+    assert {r.rate for r in pm.mix(docs, total=300).collect()} == {5} and pm.mix(docs, total=300).columns == ["doc_id", "source", "rate", "parts", "replica", "order_key"]

@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from riftscan.llm import recompression as rc
 from riftscan.llm.text import words_of
@@ -85,6 +86,8 @@ def test_equal_windows_have_equal_marks():
 def test_pipeline_form(spark):
     core = " ".join(f"p{i}" for i in range(60))
     rows = [(1, "top " + core, "en", "s", 1), (2, "new words here\n" + core + "\nand more", "en", "s", 1), (3, core, "en", "s", 1), (4, "", "en", "s", 0), (5, None, None, None, None)]
-    got = {r.doc_id: r for r in rc.drop_repeated_passages(spark.createDataFrame(rows, SCHEMA)).collect()}
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("n_removed", F.lit(9)).withColumn("kept_text", F.lit("k"))
+    got = {r.doc_id: r for r in rc.drop_repeated_passages(docs).collect()}
+    assert all(r.n_removed == 9 and r.kept_text == "k" for r in got.values())
     assert set(got) == {1, 2, 4, 5} and got[2].text == "new words here\nand more" and got[2].n_chars == 23
     assert got[1].text == rows[0][1] and got[5].text is None

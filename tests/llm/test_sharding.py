@@ -45,6 +45,8 @@ def test_placement(spark, tmp_path):
     assert len(got) == 4 and len({r.shard for r in got if r.doc_id == 5}) == 1
     assert all(r.shard == sh.fill(names, 31)[r.slot] and r.shard_name == names[r.shard] for r in got)
     assert sh.place(docs.limit(0), "doc_id", names, 31).count() == 0
+    clash = docs.withColumnsRenamed({"slots": "shard", "text": "slot"})
+    assert sorted((r.doc_id or 0, r.shard) for r in sh.place(clash, "doc_id", names, 31).collect()) == sorted((r.doc_id or 0, r.shard) for r in got)
     many = spark.range(1000).select(F.col("id").alias("doc_id"))
     sh.write(many, "doc_id", names, str(tmp_path / "out"), rows_per_task=100)
     back = spark.read.parquet(str(tmp_path / "out"))
