@@ -14,8 +14,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
-from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tables import columns_of
-from .text import slices
+from .text import give_back, once, slices
 
 #: Encoded matches that a Python worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 _NONE = np.int64(2**31 - 1)
 
 
@@ -81,14 +82,8 @@ class Ranks:
         return out
 
 
-@cache
 def ranks_of(path: str) -> Ranks:
-    return Ranks(path)
-
-
-@cache
-def pattern_of(pattern: str) -> regex.Pattern:
-    return regex.compile(pattern)
+    return once(("ranks", path), lambda: Ranks(path))
 
 
 def encode_matches(matches: list[bytes], ranks: Ranks) -> list[list[int]]:
@@ -160,43 +155,49 @@ def _merge(matches: list[bytes], size: int, ranks: Ranks) -> list[list[int]]:
 
 
 class Encoder:
-    """Encodes whole texts, remembering matches that came before."""
+    """Encodes whole texts, remembering the ids (as 32-bit numbers) of matches that came before."""
 
     def __init__(self, path: str, pattern: str) -> None:
-        self.ranks, self.pattern = ranks_of(path), pattern_of(pattern)
-        self.known: dict[str, tuple[str, int, bytes, list[int]]] = {}
-
-    def prepare(self, texts: list[str]) -> list[list[str]]:
+        self.ranks, self.pattern = ranks_of(path), regex.compile(pattern)
+        top = max(self.ranks.tokens, default=-1) + 1
+        self.decimal = [str(i) for i in range(top)]
+        self.bytes = [self.ranks.tokens.get(i, b"") for i in range(top)]
+        self.known: dict[str, bytes] = {}
+
+    def encode(self, texts: list[str]) -> Iterator[list[int]]:
+        """Token ids of each text."""
         found = [self.pattern.findall(t) for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        new = list({m for ms in found for m in ms if m not in self.known})
+        here = set(chain.from_iterable(found))
+        if len(self.known) > REMEMBERED:  # what these texts need stays
+            self.known = {m: self.known[m] for m in here.intersection(self.known)}
+        new = list(here.difference(self.known))
         for m, ids in zip(new, encode_matches([m.encode() for m in new], self.ranks), strict=True):
-            self.known[m] = (",".join(map(str, ids)), len(ids), b"".join(map(self.ranks.tokens.__getitem__, ids)), ids)
-        return found
+            self.known[m] = array("I", ids).tobytes()
+        for matches in found:
+            yield array("I", b"".join(map(self.known.__getitem__, matches))).tolist()
 
 
-@cache
 def encoder_of(path: str, pattern: str) -> Encoder:
-    return Encoder(path, pattern)
+    return once(("encoder", path, pattern), lambda: Encoder(path, pattern))
 
 
 def _encode(path: str, pattern: str, full: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(path, pattern)
         for batch in batches:
-            for piece in slices(batch, "text", 1 << 20):
+            for piece in slices(batch, "text", 2 << 20):
                 texts = [t or "" for t in piece.column("text").to_pylist()]
                 rows = []
-                for text, matches in zip(texts, encoder.prepare(texts), strict=True):
-                    got = [encoder.known[m] for m in matches]
-                    decoded = b"".join([g[2] for g in got])
-                    rows.append((sum(g[1] for g in got), [i for g in got for i in g[3]] if full else hashlib.sha256(",".join([g[0] for g in got]).encode()).hexdigest(),
-                                 decoded.decode() if full else hashlib.sha256(decoded).hexdigest()))
+                for ids in encoder.encode(texts):
+                    decoded = b"".join(map(encoder.bytes.__getitem__, ids))
+                    rows.append((len(ids), ids, decoded.decode()) if full else (
+                        len(ids), hashlib.sha256(",".join(map(encoder.decimal.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()))
                 n, ids, decoded = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays(
                     [piece.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.list_(pa.int32()) if full else pa.string()), pa.array(decoded)],
                     ["doc_id", "n_tokens", "ids", "decoded"])
+        encoder.known = {}
+        give_back()
     return run
 
 

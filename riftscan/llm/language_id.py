@@ -30,7 +30,7 @@ BITS = 16
 SCRIPT_SHARE = 0.01
 #: Nats that a change of language costs.
 SWITCH_PENALTY = 8.0
-_PIECE = 2 << 20
+_PIECE = 1 << 20
 _OUT = -1e4
 
 # Ranges of code points and the scripts that they belong to.
@@ -191,7 +191,7 @@ def _has_letter(column: pa.Array, g: Grams) -> np.ndarray:
 
 def _identify(model, penalty: float, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
+        m = Model(*model.value)
         for batch in batches:
             for piece in slices(batch, "text", _PIECE):
                 column = piece.column("text")
@@ -219,7 +219,7 @@ def _identify(model, penalty: float, keep: list[str]):
 
 def identify(docs: DataFrame, model: Model, penalty: float = SWITCH_PENALTY) -> DataFrame:
     """doc_id, lang_pred, score (share of letters in that language), spans (lang, first_word, words)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x 2 ** 17 numbers
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.log, model.allowed))  # languages x 2 ** 17 numbers
     return columns_of(docs, "doc_id", "text").mapInArrow(
         _identify(shared, penalty, ["doc_id"]),
         "doc_id long, lang_pred string, score double, spans array<struct<lang: string, first_word: long, words: long>>")

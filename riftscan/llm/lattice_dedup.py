@@ -18,7 +18,6 @@ label and vector). Extra columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .tables import cuts, one_row_per_id, partitions, stored
-from .text import mix, salted
+from .text import mix, once, salted
 
 TABLES, PROBES, SCALE = 8, 8, 2.0
 #: Members of a cell's block.
@@ -75,9 +74,8 @@ def nearest_point(x: np.ndarray) -> np.ndarray:
     return np.where((((x - whole) ** 2).sum(axis=1) <= ((x - half) ** 2).sum(axis=1))[:, None], whole, half)
 
 
-@cache
 def _projections(size: int) -> np.ndarray:
-    return np.random.default_rng(size).normal(size=(TABLES, size, 8)) / np.sqrt(8) * SCALE
+    return once(("projections", size), lambda: np.random.default_rng(size).normal(size=(TABLES, size, 8)) / np.sqrt(8) * SCALE)
 
 
 def _names(points: np.ndarray, table: int, label: np.ndarray) -> np.ndarray:

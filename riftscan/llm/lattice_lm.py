@@ -17,7 +17,6 @@ text). Without training words the lattice alone speaks. Extra columns are ignore
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tables import one_row_per_id, stored
-from .text import Lookup, Powers, as_lists, bytes_of, slices, words_of
+from .text import Lookup, Powers, as_lists, bytes_of, once, slices, words_of
 
 #: Words that travel to every task.
 HEAVY_WORDS = 1 << 20
@@ -37,9 +36,12 @@ _POWERS = Powers(0xA0761D6478BD642F)
 _CELLS = 1 << 18
 
 
-@cache
 def pieces_of(path: str) -> tuple[list[bytes], np.ndarray]:
     """Pieces as bytes (a leading mark is a space) and their prior weights; the last 256 are the bytes."""
+    return once(("pieces", path), lambda: _pieces(path))
+
+
+def _pieces(path: str) -> tuple[list[bytes], np.ndarray]:
     from sentencepiece import SentencePieceProcessor
 
     model = SentencePieceProcessor(model_file=path)
@@ -69,7 +71,7 @@ class Lattice:
         weights = self.prior if weights is None else weights
         self.log = np.log(np.where(self.starts, weights, weights * (1 - stop)))
         self.log_stop = np.log(stop)
-        self.lookup = _lookup_of(path)
+        self.lookup = _lookup_of(self.pieces)
         self.sizes = sorted({len(p) for p in self.pieces})
 
     @staticmethod
@@ -142,9 +144,7 @@ class Lattice:
         return out
 
 
-@cache
-def _lookup_of(path: str) -> Lookup:
-    pieces, _ = pieces_of(path)
+def _lookup_of(pieces: list[bytes]) -> Lookup:
     keys = []
     for p in pieces:
         power, _ = _POWERS.upto(len(p) + 1)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from .text import mix
+from .text import give_back, mix
 
 #: Keys that one group of ``shared_keys`` holds on average.
 GROUP_KEYS = 400_000
@@ -22,7 +22,17 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/llm-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more, so that a long run's folder doesn't fill."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(df: DataFrame) -> int:
@@ -30,11 +40,12 @@ def partitions(df: DataFrame) -> int:
 
 
 def columns_of(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns; of columns that share a name the first counts."""
+    """Only the named columns; of columns that share a name the first counts. Ids come as long numbers."""
     seen: dict[str, str] = {}
     for i, name in enumerate(df.columns):
         seen.setdefault(name, f"_{i}")
-    return df.toDF(*(f"_{i}" for i in range(len(df.columns)))).select(*(F.col(seen[n]).alias(n) for n in names))
+    return df.toDF(*(f"_{i}" for i in range(len(df.columns)))).select(
+        *((F.col(seen[n]).cast("long") if n.endswith("_id") else F.col(seen[n])).alias(n) for n in names))
 
 
 def one_row_per_id(df: DataFrame, ident: str, *names: str) -> DataFrame:
@@ -104,6 +115,7 @@ def _few_keys(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     edges = cuts(piece)
     for a, b in zip(edges, edges[1:], strict=False):
         yield batch.slice(a, b - a)
+    give_back()
 
 
 def _pack(buckets: int):

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .tables import buckets_for, forest, in_blocks, one_row_per_id, shared_keys, short_keys, stored
+from .tables import buckets_for, discard, forest, in_blocks, one_row_per_id, shared_keys, short_keys, stored
 from .text import Ranges, as_lists, mix, salted, slices, words_of
 
 BANDS, ROWS = 28, 4
@@ -295,6 +295,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     more = _cross_links(meet, labels, classes, sets, docs, shingle, percent)
     if not more.isEmpty():
         labels = components(links.unionByName(more))
+    discard(sketched, least, classes, meet, stars, sets, links)  # what is returned reads members and labels
     return members.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "class_id").alias("component_id"),
         (F.col("doc_id") == F.coalesce("component", "class_id")).alias("kept"))

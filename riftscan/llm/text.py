@@ -7,7 +7,10 @@ over the bytes (from prefix sums, so that no Python loop runs over words) and a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import sys
+import types
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 _SEGMENT = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 5
 _SPACE = np.zeros(256, bool)
@@ -95,6 +98,28 @@ def slices(batch: pa.RecordBatch, text: str, size: int = SLICE_BYTES) -> Iterato
     for a, b in zip(cuts, cuts[1:], strict=False):
         if b > a:
             yield batch.slice(a, b - a)
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: idle Python workers should not hold what a task has used."""
+    pa.default_memory_pool().release_unused()
+    # The C library's own call for that, where it has one.
+    trim = once("malloc_trim", lambda: getattr(ctypes.CDLL(None), "malloc_trim", None))
+    if trim is not None:
+        trim(0)
+
+
+def once(key: object, make: Callable[[], object]):
+    """What ``make`` gives, made once in a Python process.
+
+    This package travels inside task closures, so its own module variables are new in every task; what a worker's
+    tasks share is kept under a module name of its own.
+    """
+    kept = sys.modules.setdefault("riftscan_worker_cache", types.ModuleType("riftscan_worker_cache")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
 
 
 def words_of(column: pa.Array, lower: bool = False, outside: np.ndarray = _SPACE) -> Words:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tables import columns_of
-from .text import Lookup, slices, words_of
+from .text import Lookup, bytes_of, slices, words_of
 
 MAX_ROWS = 20_000
 LEXICON_Z = 4.5
@@ -31,7 +31,7 @@ LEXICON_SIZE = 1000
 #: Words between a lexicon word and the second person that still count as near.
 NEAR = 5
 TREES, DEPTH, RATE, BINS = 80, 3, 0.15, 32
-_PIECE = 2 << 20
+_PIECE = 512 << 10
 
 # Words of the second person in the languages served.
 SECOND_PERSON = ("you your yours yourself u ur du dich dir dein deine euch ihr tu te toi ton ta tes vous votre vos "
@@ -84,7 +84,7 @@ def features(column: pa.Array, names: np.ndarray, weights: np.ndarray) -> np.nda
         np.cumsum(of[w.data], out=sums[k, 1:])
     for k, sign in enumerate(b"!?*"):
         np.cumsum(w.data == sign, out=sums[3 + k, 1:])
-    offsets = _offsets(column)
+    offsets = bytes_of(column)[1]
     whole = sums[:, offsets[1:]] - sums[:, offsets[:-1]]
     size = np.maximum(np.diff(offsets), 1)
     upper, letters, odd = (sums[k, w.end] - sums[k, w.start] for k in range(3))
@@ -106,12 +106,6 @@ def features(column: pa.Array, names: np.ndarray, weights: np.ndarray) -> np.nda
     return out
 
 
-def _offsets(column: pa.Array) -> np.ndarray:
-    from .text import bytes_of
-
-    return bytes_of(column)[1]
-
-
 def _lexicon_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct words of each labelled document."""
     for batch in batches:
@@ -240,7 +234,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
 
 def _scores(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
+        m = Model(**model.value)
         for batch in batches:
             for piece in slices(batch, "text", _PIECE):
                 p = _probability(m, features(piece.column("text"), m.names, m.weights))
@@ -250,16 +244,16 @@ def _scores(model):
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score (0 to 1) and predicted (score >= 0.5) of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most LEXICON_SIZE words and TREES trees
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model))  # at most LEXICON_SIZE words and TREES trees
     return columns_of(docs, "doc_id", "text").mapInArrow(_scores(shared), "doc_id long, score double, predicted int")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """``docs`` without those that the model rejects. A row with a null id is judged by its text like any other."""
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, max_rows))
+    model = docs.sparkSession.sparkContext.broadcast(vars(train(docs, labels, max_rows)))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
+        m = Model(**model.value)
         for batch in batches:
             for piece in slices(batch, "text", _PIECE):
                 p = _probability(m, features(piece.column("text"), m.names, m.weights))

@@ -23,8 +23,9 @@ def test_random_texts(library):
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 80))) for _ in range(400)]
     texts += ["a" * 3000, "ab" * 2047, "the quick brown fox's", "don't I'll", "é" * 500, "x" + " " * 300 + "y", "\x00\x01"]
     encoder = bb.Encoder(PATH, P.PATTERN)
-    for text, matches in zip(texts, encoder.prepare(texts), strict=True):
-        assert [i for m in matches for i in encoder.known[m][3]] == library.encode_ordinary(text)
+    for text, ids in zip(texts, encoder.encode(texts), strict=True):
+        assert ids == library.encode_ordinary(text)
+        assert b"".join(encoder.bytes[i] for i in ids) == text.encode()
 
 
 def test_tables(spark, sf_dir, library):
