@@ -46,7 +46,7 @@ def build_arg_parser() -> argparse.ArgumentParser:
         "bam_path": str, "signatures": str, "output_vcf": str, "chrom": str, "start": int, "end": int, "model_path": str,
         "cluster_scorer_path": str, "disable_default_scorer": bool, "global_coverage": float, "include_tra": bool,
         "save_signatures_path": str, "save_call_features_path": str, "cluster_scorer_threshold": float,
-        "coverage_bin_size": int, "coverage_cache_path": str, "min_svlen": int, "split_alleles": bool,
+        "coverage_bin_size": int, "coverage_sample_reads": int, "coverage_cache_path": str, "min_svlen": int, "split_alleles": bool,
         "length_ratio_threshold": float, "save_embeddings": bool, "verbose_progress": bool, "progress_json_path": str, **_EXTRACT})
 
     extract = commands.add_parser("extract", help="extract signatures from an indexed BAM file")
