@@ -172,8 +172,11 @@ def build_index(vectors: DataFrame, k: int = 5) -> DataFrame:
     first = rows.withColumn("_rank", F.row_number().over(same)).where(F.col("_rank") <= k + 1)  # an answer needs no more of equal vectors
     nodes = stored(first.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).select("embedding", "ids", F.size("embedding").alias("size")))
     counts = nodes.groupBy("size").agg(F.ceil(F.count("*") / SHARD_ROWS).alias("_shards"))
+    # Shards are few bytes and much work: without a number of their own, partitions would be merged into one task.
+    tasks = 4 * int(counts.agg(F.sum("_shards")).first()[0] or 1)
     nodes = nodes.join(counts, "size").withColumn("shard", F.pmod(F.xxhash64(F.col("ids")[0]), F.col("_shards")))
-    return stored(nodes.select("size", "shard", "ids", "embedding").groupBy("size", "shard").applyInArrow(
+    dealt = nodes.select("size", "shard", "ids", "embedding").repartition(tasks, "size", "shard")
+    return stored(dealt.groupBy("size", "shard").applyInArrow(
         _index, "size int, shard long, node long, ids array<long>, embedding array<float>, edges array<int>, entry boolean"
         if dict(vectors.dtypes)["embedding"] == "array<float>" else
         "size int, shard long, node long, ids array<long>, embedding array<double>, edges array<int>, entry boolean"))
