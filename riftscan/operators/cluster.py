@@ -246,32 +246,6 @@ def _typed_keys(df: DataFrame) -> DataFrame:
     return df.withColumn("sess", F.col("sess").cast("bigint")).withColumn("chunk", F.col("chunk").cast("bigint"))
 
 
-def knn_edges(df: DataFrame, keys: list[str], ident: str, vector: str, k: int, symmetric: bool = False) -> DataFrame:
-    """Directed (or symmetrised) nearest-neighbour edges inside groups of bounded size."""
-    key_fields = [f for f in df.schema.fields if f.name in keys]
-    schema = T.StructType([*key_fields, T.StructField("src", T.LongType()), T.StructField("dst", T.LongType()),
-                           T.StructField("cosine", T.DoubleType())])
-    rows = df.select(*[f.name for f in key_fields], F.col(ident).alias("__id"), F.col(vector).alias("__v"))
-
-    def work(table: pa.Table) -> pa.Table:
-        n = table.num_rows
-        names = [f.name for f in schema.fields]
-        if n < 2:
-            return table.slice(0, 0).select([f.name for f in key_fields]).append_column(
-                "src", pa.array([], pa.int64())).append_column("dst", pa.array([], pa.int64())).append_column(
-                "cosine", pa.array([], pa.float64()))
-        a, b, cosine = nearest_neighbours(unit_vectors(table.column("__v")), k)
-        if symmetric:
-            a, b, cosine = symmetric_edges(a, b, cosine, n)
-            a, b, cosine = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([cosine, cosine])
-        ident_values = table.column("__id").to_numpy()
-        base = table.select([f.name for f in key_fields]).take(pa.array(a))
-        return base.append_column("src", pa.array(ident_values[a])).append_column(
-            "dst", pa.array(ident_values[b])).append_column("cosine", pa.array(cosine)).select(names)
-
-    return chunk_stream(rows, [f.name for f in key_fields], ["__id"], schema, work)
-
-
 def clusters(df: DataFrame, params: GraphParams, include_tra: bool = False) -> DataFrame:
     """Members of all clusters: the input columns plus ``cluster_id`` (its smallest sid) and ``n_members``.
 
