@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, graph_search, language_id, lattice_dedup, lattice_lm, poisson_mix, recompression, sharding, tensored_minhash, toxicity
+from . import byte_bpe, graph_search, language_id, lattice_dedup, lattice_lm, poisson_mix, prefix_trie, recompression, sharding, tensored_minhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -194,3 +194,42 @@ select doc_id, coalesce(n, 0)::bigint as n_shingles, least(doc_id, coalesce(m, d
        doc_id = least(doc_id, coalesce(m, doc_id)) as kept
 from documents left join sizes using (doc_id) left join least using (doc_id)
 """
+
+
+@query
+def op13_prefix_trie(spark, sf_dir):
+    """Nodes of the trie of conversations that each start with up to three turns of one in twenty."""
+    turns = prefix_trie.ordered_turns(table(spark, sf_dir, "conversations"))
+    return prefix_trie.trie(prefix_trie.rebuilt(turns, 20, "crc32(string(conv_id)) % 4"))
+
+
+#: CRC-32 in DuckDB: the table of the reflected polynomial, and a fold of a list of bytes.
+CRC32 = """
+  table_of as (select list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, x: case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end)) as t)"""
+
+
+def crc32_of(bytes_: str) -> str:
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, {bytes_}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+ORACLE["op13_prefix_trie"] = rf"""
+with recursive {CRC32},
+turns as (select conv_id, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as place,
+  {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} as x from conversations where conv_id is not null),
+own as (select conv_id, list(x order by place) as xs from turns group by conv_id),
+counted as (select *, ({crc32_of("list_transform(string_split(conv_id::varchar, ''), lambda d: ascii(d)::bigint)")} % 4)::int as h from own, table_of),
+rebuilt as (select c.conv_id, list_concat(coalesce(b.xs[:c.h], []), c.xs[c.h + 1:]) as p
+  from counted c left join own b on b.conv_id = c.conv_id - c.conv_id % 20),
+starts as (select conv_id, p[:d] as node, d, d = len(p) as ends from (select conv_id, p, unnest(range(0, len(p) + 1)) as d from rebuilt)),
+nodes as (select node, d, min(conv_id) as conv_id, count(*) as n,
+  sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (where ends), '')) as sha,
+  case when d = 0 then 0 else len(list_filter(regexp_split_to_array(node[d].text, '[ 	-]+'), lambda w: w <> '')) end as words
+  from starts group by node, d),
+linked as (select c.*, p.conv_id as parent, (select count(*) from nodes k where k.d = c.d + 1 and k.node[:c.d] = c.node) as kids
+  from nodes c left join nodes p on c.d > 0 and p.d = c.d - 1 and p.node = c.node[:c.d - 1]),
+below as (select a.node, sum((k.kids = 0)::int) as leaves, sum((k.n - 1) * k.words) as saved
+  from linked a join linked k on k.d >= a.d and k.node[:a.d] = a.node group by a.node)
+select conv_id, d::bigint as depth, parent as parent_conv_id, n as n_convs, kids as n_children, leaves::bigint as n_leaves,
+       saved::bigint as saved_tokens, sha as ends_sha256 from linked join below using (node)
+"""
