@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, graph_search, language_id, lattice_dedup, lattice_lm, poisson_mix, prefix_trie, recompression, sharding, tensored_minhash, toxicity
+from . import byte_bpe, graph_search, language_id, lattice_dedup, lattice_lm, poisson_mix, prefix_trie, recompression, sharding, spelling, tensored_minhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -196,13 +196,6 @@ from documents left join sizes using (doc_id) left join least using (doc_id)
 """
 
 
-@query
-def op13_prefix_trie(spark, sf_dir):
-    """Nodes of the trie of conversations that each start with up to three turns of one in twenty."""
-    turns = prefix_trie.ordered_turns(table(spark, sf_dir, "conversations"))
-    return prefix_trie.trie(prefix_trie.rebuilt(turns, 20, "crc32(string(conv_id)) % 4"))
-
-
 #: CRC-32 in DuckDB: the table of the reflected polynomial, and a fold of a list of bytes.
 CRC32 = """
   table_of as (select list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
@@ -213,6 +206,40 @@ def crc32_of(bytes_: str) -> str:
     return f"xor(list_reduce(list_prepend(4294967295::bigint, {bytes_}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
 
 
+@query
+def op12_spelling(spark, sf_dir):
+    """Words of documents with the more frequent spellings one letter away."""
+    return spelling.variants(spelling.frequent(spelling.words_with_slips(table(spark, sf_dir, "documents"))))
+
+
+ORACLE["op12_spelling"] = rf"""
+with recursive {CRC32},
+runs as (select doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')), '{spelling.UPPER}', '{spelling.LOWER}') as x from documents),
+each as (select doc_id, x, count(*) as n from runs group by all),
+summed as (select x, n, {crc32_of("""flatten(list_transform(string_split(coalesce(doc_id::varchar, '') || ':' || x, ''),
+  lambda c: case when ord(c) < 128 then [ord(c)::bigint] else [192 + (ord(c) >> 6), 128 + (ord(c) & 63)]::bigint[] end))""")} as h from each, table_of),
+slips as (select case when h % 97 = 0 then left(x, h % length(x)) || substr(x, h % length(x) + 2) else x end as word, n from summed),
+words as (select word, sum(n)::bigint as n from slips where length(word) >= 5 group by word having sum(n) >= 3),
+holes as (select word, i, left(word, i - 1) as p, substr(word, i + 1) as s from (select word, unnest(range(1, length(word) + 1)) as i from words)),
+inserted as (select distinct h.word as a, w.word as b from holes h join words w on w.word = p || s),
+near as (select x.word as a, y.word as b from holes x join holes y on x.p = y.p and x.s = y.s and x.word <> y.word
+  union all select a, b from inserted union all select b, a from inserted),
+best as (select a as word, count(*) as n_near, arg_min(b, (-w.n, b)) as b, max(w.n) as bn from near join words w on w.word = b group by a),
+known as (select w.word, w.n, coalesce(n_near, 0) as n_near, case when bn >= 2 * w.n then b end as form, case when bn >= 2 * w.n then bn end as form_n
+  from words w left join best using (word)),
+walk(word, reached) as (select word, word from known union all select walk.word, form from walk join known on known.word = reached where form is not null),
+ends as (select walk.word, reached from walk join known on known.word = reached where form is null)
+select known.word, n, n_near, form, form_n, reached as root from known join ends using (word)
+"""
+
+
+@query
+def op13_prefix_trie(spark, sf_dir):
+    """Nodes of the trie of conversations that each start with up to three turns of one in twenty."""
+    turns = prefix_trie.ordered_turns(table(spark, sf_dir, "conversations"))
+    return prefix_trie.trie(prefix_trie.rebuilt(turns, 20, "crc32(string(conv_id)) % 4"))
+
+
 ORACLE["op13_prefix_trie"] = rf"""
 with recursive {CRC32},
 turns as (select conv_id, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as place,
@@ -224,7 +251,8 @@ rebuilt as (select c.conv_id, list_concat(coalesce(b.xs[:c.h], []), c.xs[c.h + 1
 starts as (select conv_id, p[:d] as node, d, d = len(p) as ends from (select conv_id, p, unnest(range(0, len(p) + 1)) as d from rebuilt)),
 nodes as (select node, d, min(conv_id) as conv_id, count(*) as n,
   sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (where ends), '')) as sha,
-  case when d = 0 then 0 else len(list_filter(regexp_split_to_array(node[d].text, '[ 	-]+'), lambda w: w <> '')) end as words
+  case when d = 0 then 0 else len(list_filter(regexp_split_to_array(node[d].text, '[ 	-
+]+'), lambda w: w <> '')) end as words
   from starts group by node, d),
 linked as (select c.*, p.conv_id as parent, (select count(*) from nodes k where k.d = c.d + 1 and k.node[:c.d] = c.node) as kids
   from nodes c left join nodes p on c.d > 0 and p.d = c.d - 1 and p.node = c.node[:c.d - 1]),
