@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, graph_search, language_id, lattice_dedup, lattice_lm, poisson_mix, prefix_trie, recompression, sharding, spelling, tensored_minhash, toxicity
+from . import byte_bpe, graph_search, html_text, language_id, lattice_dedup, lattice_lm, poisson_mix, prefix_trie, recompression, sharding, spelling, tensored_minhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -196,6 +196,26 @@ from documents left join sizes using (doc_id) left join least using (doc_id)
 """
 
 
+@query
+def op11_html_text(spark, sf_dir):
+    """Main texts of pages; weights come from pages that name their article."""
+    pages = table(spark, sf_dir, "pages")
+    return html_text.extract(pages, html_text.train(pages))
+
+
+# What the rule means for pages whose article is one element of headings and paragraphs, as all pages of the tables are.
+ORACLE["op11_html_text"] = r"""
+with inner_html as (select page_id, url, regexp_extract(coalesce(html, ''), '<article[^>]*>(.*?)(</article>|$)', 1, 's') as a from pages),
+blocks as (select page_id, url, list_transform(regexp_split_to_array(a, '</?(?:p|h[1-6]|li|ul|ol|div|section|blockquote)(?:\s[^>]*)?>'),
+  lambda b: regexp_replace(regexp_replace(b, '<br[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g')) as bs from inner_html),
+decoded as (select page_id, url, list_transform(bs, lambda b: trim(regexp_replace(
+  regexp_replace(replace(replace(replace(replace(replace(b, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&copy;', '©'), '&middot;', '·'),
+    '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) as bs from blocks),
+texts as (select page_id, url, array_to_string(list_filter(bs, lambda b: b <> ''), chr(10) || chr(10)) as text from decoded)
+select page_id, url, text, length(text)::bigint as n_chars from texts
+"""
+
+
 #: CRC-32 in DuckDB: the table of the reflected polynomial, and a fold of a list of bytes.
 CRC32 = """
   table_of as (select list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
