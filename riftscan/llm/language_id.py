@@ -1,6 +1,6 @@
 """Languages of texts and of their parts.
 
-A word's script (ranges of code points, read off the first byte of its characters) narrows the languages to those that
+A word's script (ranges of its letters' code points) narrows the languages to those that
 write at least SCRIPT_SHARE of their letters in it. Each word gets a score for each language: the log probabilities of
 its byte 3- and 4-grams with the word's edges. Viterbi over a text's words, with a penalty for every switch, labels
 spans of mixed texts; the language with most letters on the path is the text's.
@@ -35,24 +35,52 @@ _OUT = -1e4
 
 # Ranges of code points and the scripts that they belong to.
 SCRIPTS = (
-    ("latin", 0x41, 0x5A), ("latin", 0x61, 0x7A), ("latin", 0xC0, 0x24F), ("greek", 0x370, 0x3FF),
-    ("cyrillic", 0x400, 0x52F), ("armenian", 0x530, 0x58F), ("hebrew", 0x590, 0x5FF), ("arabic", 0x600, 0x6FF),
-    ("indic", 0x900, 0xFFF), ("georgian", 0x10A0, 0x10FF), ("kana", 0x3040, 0x30FF), ("han", 0x4E00, 0x9FFF),
-    ("hangul", 0xAC00, 0xD7AF),
+    ("latin", 0x41, 0x5A), ("latin", 0x61, 0x7A), ("latin", 0xAA, 0xAA), ("latin", 0xBA, 0xBA), ("latin", 0xC0, 0x24F), ("latin", 0x250, 0x2B8),
+    ("greek", 0x370, 0x3FF), ("cyrillic", 0x400, 0x52F), ("armenian", 0x530, 0x58F), ("hebrew", 0x590, 0x5FF), ("arabic", 0x600, 0x6FF),
+    ("syriac", 0x700, 0x74F), ("arabic", 0x750, 0x77F), ("thaana", 0x780, 0x7BF), ("nko", 0x7C0, 0x7FF), ("arabic", 0x8A0, 0x8FF),
+    ("devanagari", 0x900, 0x97F), ("bengali", 0x980, 0x9FF), ("gurmukhi", 0xA00, 0xA7F), ("gujarati", 0xA80, 0xAFF), ("oriya", 0xB00, 0xB7F),
+    ("tamil", 0xB80, 0xBFF), ("telugu", 0xC00, 0xC7F), ("kannada", 0xC80, 0xCFF), ("malayalam", 0xD00, 0xD7F), ("sinhala", 0xD80, 0xDFF),
+    ("thai", 0xE00, 0xE7F), ("lao", 0xE80, 0xEFF), ("tibetan", 0xF00, 0xFFF), ("myanmar", 0x1000, 0x109F), ("georgian", 0x10A0, 0x10FF),
+    ("hangul", 0x1100, 0x11FF), ("ethiopic", 0x1200, 0x139F), ("cherokee", 0x13A0, 0x13FF), ("khmer", 0x1780, 0x17FF), ("mongolian", 0x1800, 0x18AF),
+    ("cyrillic", 0x1C80, 0x1C8F), ("georgian", 0x1C90, 0x1CBF), ("latin", 0x1D00, 0x1D25), ("latin", 0x1E00, 0x1EFF), ("greek", 0x1F00, 0x1FFF),
+    ("latin", 0x2C60, 0x2C7F), ("han", 0x3005, 0x3007), ("kana", 0x3040, 0x30FF), ("bopomofo", 0x3100, 0x312F),
+    ("hangul", 0x3130, 0x318F), ("kana", 0x31F0, 0x31FF), ("han", 0x3400, 0x4DBF), ("han", 0x4E00, 0x9FFF), ("cyrillic", 0xA640, 0xA69F),
+    ("latin", 0xA720, 0xA7FF), ("latin", 0xAB30, 0xAB6F), ("hangul", 0xAC00, 0xD7FF), ("han", 0xF900, 0xFAFF), ("latin", 0xFB00, 0xFB06),
+    ("hebrew", 0xFB1D, 0xFB4F), ("arabic", 0xFB50, 0xFDFF), ("arabic", 0xFE70, 0xFEFF), ("latin", 0xFF21, 0xFF5A), ("kana", 0xFF66, 0xFF9F),
+    ("han", 0x20000, 0x3FFFD),
 )
+#: Letters outside all ranges share one script.
+SCRIPT_NAMES = ["", *dict.fromkeys(name for name, _, _ in SCRIPTS), "other"]
+_LOW = np.array([low for _, low, _ in SCRIPTS])
+_HIGH = np.array([high for _, _, high in SCRIPTS])
+_NUMBER = np.array([SCRIPT_NAMES.index(name) for name, _, _ in SCRIPTS], np.int8)
 
 
-def _first_bytes() -> np.ndarray:
-    """The script that a character's first byte stands for; 0 for none."""
-    names = ["", *dict.fromkeys(s for s, _, _ in SCRIPTS)]
-    out = np.zeros(256, np.int8)
-    for name, low, high in SCRIPTS:
-        out[chr(low).encode()[0]:chr(high).encode()[0] + 1] = names.index(name)
-    return out
+def scripts_of(points: np.ndarray) -> np.ndarray:
+    """Numbers (in SCRIPT_NAMES) of the scripts of code points; 0 for what Unicode doesn't call a letter."""
+    few, of = np.unique(points, return_inverse=True)
+    at = np.searchsorted(_LOW, few, "right") - 1
+    script = np.where((at >= 0) & (few <= _HIGH[at]), _NUMBER[at], np.int8(len(SCRIPT_NAMES) - 1))
+    script[[not chr(p).isalpha() for p in few.tolist()]] = 0
+    return script[of]
 
 
-_SCRIPT_OF = _first_bytes()
-_N_SCRIPTS = int(_SCRIPT_OF.max()) + 1
+_ASCII = scripts_of(np.arange(128))
+_N_SCRIPTS = len(SCRIPT_NAMES)
+
+
+def _letters_at(text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the bytes at ``at`` begin a letter, and its script."""
+    byte = text[at]
+    script = np.where(byte < 0x80, _ASCII[byte & 0x7F], np.int8(0))
+    wide = np.flatnonzero(byte >= 0xC0)
+    p, first = at[wide], byte[wide].astype(np.int64)
+    more = [text[np.minimum(p + k, len(text) - 1)].astype(np.int64) & 0x3F for k in (1, 2, 3)]
+    points = np.where(first < 0xE0, (first & 0x1F) << 6 | more[0], np.where(
+        first < 0xF0, (first & 0x0F) << 12 | more[0] << 6 | more[1], (first & 0x07) << 18 | more[0] << 12 | more[1] << 6 | more[2]))
+    script[wide] = scripts_of(points)
+    some = np.flatnonzero(script)
+    return some, script[some]
 
 
 @dataclass
@@ -85,11 +113,10 @@ def grams_of(column: pa.Array) -> Grams:
             * np.uint32(0x85EBCA6B) >> np.uint32(32 - BITS)) + np.uint32(1 << BITS)
     both = np.stack([three, np.where(four_at, four, np.uint32(2 << BITS))], axis=1).ravel()  # the last bucket counts nothing
     scripts = np.zeros((len(start), _N_SCRIPTS), np.int32)
-    of = _SCRIPT_OF[text[at]]
-    for s in range(1, _N_SCRIPTS):
-        hit = of == s
-        if hit.any():
-            scripts[:, s] = np.bincount(word_at[at[hit]], minlength=len(start))
+    some, of = _letters_at(text, at)
+    word_of = word_at[at[some]]
+    for s in np.unique(of).tolist():
+        scripts[:, s] = np.bincount(word_of[of == s], minlength=len(start))
     return Grams(both, np.repeat(word_at[at], 2), np.repeat(np.arange(docs), np.diff(first_word)), first_word, scripts)
 
 
@@ -181,14 +208,6 @@ def viterbi(scores: np.ndarray, first_word: np.ndarray, penalty: float) -> np.nd
     return labels
 
 
-def _has_letter(column: pa.Array, g: Grams) -> np.ndarray:
-    docs = len(column)
-    some = np.bincount(g.doc_of_word, g.scripts.sum(axis=1), docs) > 0
-    for i in np.flatnonzero(~some):  # signs of other ranges, or only bytes that begin letters as well as signs
-        some[i] = any(c.isalpha() for c in column[int(i)].as_py() or "")
-    return some
-
-
 def _identify(model, penalty: float, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(*model.value)
@@ -201,7 +220,7 @@ def _identify(model, penalty: float, keep: list[str]):
                     letters = g.scripts.sum(axis=1) + 1e-6
                     n = len(m.languages)
                     share = np.bincount(g.doc_of_word * n + labels, letters, piece.num_rows * n).reshape(-1, n)
-                    known = _has_letter(column, g) & (share.sum(axis=1) > 0)
+                    known = np.bincount(g.doc_of_word, g.scripts.sum(axis=1), piece.num_rows) > 0
                     pred = [m.languages[i] if k else "und" for i, k in zip(share.argmax(axis=1), known, strict=True)]
                     score = np.where(known, share.max(axis=1) / np.maximum(share.sum(axis=1), 1e-9), 0.0)
                 else:

@@ -1,8 +1,10 @@
 """Languages: accuracy on held-out texts, spans of mixed texts, Viterbi against all paths."""
 
 import itertools
+import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from riftscan.llm import language_id as li
@@ -44,3 +46,49 @@ def test_unusual_rows(spark):
     assert all(0 <= r.score <= 1 for r in got) and len(got) == 9
     nothing = li.train(train.limit(0))
     assert {r.lang_pred for r in li.identify(spark.createDataFrame(rows, "doc_id long, text string"), nothing).collect()} == {"und"}
+
+
+def test_scripts():
+    assert {li.SCRIPT_NAMES[li.scripts_of(np.array([next(p for p in range(low, high + 1) if chr(p).isalpha())]))[0]] == name
+            for name, low, high in li.SCRIPTS} == {True}
+    texts = {"word": "latin", "ÀÉ": "latin", "Ԁԥ": "cyrillic", "Աբ": "armenian", "हिन्दी": "devanagari", "বাংলা": "bengali", "漢字": "han", "かな": "kana",
+             "𠀀𠀁": "han", "Ꭰ": "cherokee", "ⵣ": "other", "。。": "", "×÷": "", "٣": "", "१२": "", "😀": ""}
+    for text, want in texts.items():
+        g = li.grams_of(pa.array([f" {text}. "]))
+        assert li.SCRIPT_NAMES[g.scripts.sum(axis=0).argmax()] == want and g.scripts.sum() == sum(map(str.isalpha, text)), text
+
+
+def brute(text, model, penalty):
+    """Grams, narrowing, all paths and letters by plain Python."""
+    words = ["".join(c.lower() if c.isascii() else c for c in w).encode() for w in re.split(r"[\x20\x09-\x0D]+", text) if w]
+    scores, letters = [], []
+    for w in words:
+        padded, total = b" " + w + b"  ", np.zeros(len(model.languages))
+        for i in range(len(w)):
+            three = sum(b << 8 * k for k, b in enumerate(padded[i:i + 3])) * 0x9E3779B1 % 2**32 >> 32 - li.BITS
+            total = total + model.log[three]
+            if i + 1 < len(w):
+                four = sum(b << 8 * k for k, b in enumerate(padded[i:i + 4])) * 0x85EBCA6B % 2**32 >> 32 - li.BITS
+                total = total + model.log[four + (1 << li.BITS)]
+        mine = [int(li.scripts_of(np.array([ord(c)]))[0]) for c in w.decode() if c.isalpha()]
+        script = max(sorted(set(mine)), key=mine.count) if mine else 0
+        allowed = model.allowed[script]
+        scores.append(np.where(allowed, total, total + li._OUT) if script and allowed.any() else total)
+        letters.append(len(mine))
+    if not sum(letters):
+        return "und", 0.0
+    n = range(len(model.languages))
+    best = max(itertools.product(n, repeat=len(words)), key=lambda path: sum(s[x] for s, x in zip(scores, path, strict=True))
+               - penalty * sum(x != y for x, y in itertools.pairwise(path)))
+    share = [sum(k for k, x in zip(letters, best, strict=True) if x == lang) for lang in n]
+    return model.languages[int(np.argmax(share))], max(share) / sum(letters)
+
+
+def test_whole_predictions(spark):
+    rows = [("the cat sat on the mat", "en"), ("der Hund und die Katze", "de"), ("мир и труд", "ru"), ("le chat et la souris", "fr")]
+    model = li.train(spark.createDataFrame(rows, "text string, lang string"))
+    texts = ["the Hund", "la souris sat", "мир the труд", "12 et -- 7", "Katze", "。。。", "× ÷", "٣", "१२", "😀 !", "", "a\tb", "ДА and", "é", "漢字 the", "x" * 9]
+    got = {r.doc_id: r for r in li.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for k, text in enumerate(texts):
+        lang, score = brute(text, model, li.SWITCH_PENALTY)
+        assert (got[k].lang_pred, round(got[k].score, 4)) == (lang, round(score, 4)), text
