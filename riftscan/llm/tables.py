@@ -80,13 +80,14 @@ def in_blocks(df: DataFrame, group: str, ident: str, size: int) -> DataFrame:
 
     A group is cut into blocks of about ``size`` rows (by a hash of ``ident``); a row comes once for each block of its
     group, with the pair of blocks (``_lo``, ``_hi``) that meets there and its own (``_block``). So no task sees more
-    than two blocks of a group at once, whatever its size.
+    than two blocks of a group at once, whatever its size. Rows come dealt by group and pair of blocks: what was dealt by
+    the group alone would keep all blocks of a hot group in one task.
     """
     counts = df.groupBy(group).agg(F.count("*").alias("_n")).where("_n > 1")
     cut = df.join(counts, group).withColumn("_blocks", F.ceil(F.col("_n") / size).cast("int"))
     cut = cut.withColumn("_block", F.pmod(F.xxhash64(ident), F.col("_blocks")).cast("int"))
     each = cut.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    return each.select(*df.columns, F.least("_block", "_other").alias("_lo"), F.greatest("_block", "_other").alias("_hi"), "_block")
+    return each.select(*df.columns, F.least("_block", "_other").alias("_lo"), F.greatest("_block", "_other").alias("_hi"), "_block").repartition(group, "_lo", "_hi")
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
