@@ -16,9 +16,11 @@ from ..functions import similarity as sm
 from ..functions import svtype as sv
 from ..functions import tokens as tk
 from ..functions.limits import CallParams
+from ..models import objectives as ob
 from ..models import scorer as sc
 from ..models.encoder import embed
 from ..operators import bed as bd
+from ..operators import call_pairs as cp
 from ..operators import calls as ca
 from ..operators import cluster as cl
 from ..operators import contig_names as cn
@@ -60,8 +62,8 @@ def r6(column: Column | str) -> Column:
     return F.round(F.col(column) if isinstance(column, str) else column, 6) + F.lit(0.0)
 
 
-def as_int(condition: Column) -> Column:
-    return F.when(condition, 1).otherwise(0)
+def as_int(condition: Column | str) -> Column:
+    return F.when(F.col(condition) if isinstance(condition, str) else condition, 1).otherwise(0)
 
 
 # ---------------------------------------------------------------- filters and scalar functions
@@ -620,6 +622,13 @@ def merge_predicate(spark, d):
     return pairs.select("id_a", "id_b", as_int(dd.calls_should_merge("a", "b")).alias("merge"))
 
 
+@query
+def call_band_pairs(spark, d):
+    """Every two geometries of calls within the window, once, with the merge decision."""
+    pairs = cp.band_pairs(_sig_calls(spark, d), "cluster_id")
+    return pairs.select("contig", "svtype", "id_a", "id_b", "gap", as_int("merge").alias("merge"), "copies_a", "copies_b")
+
+
 def _final_calls(spark, d):
     return snk.assign_call_ids(dd.deduplicate_calls(ca.raw_calls(_gates(spark, d), CALL_PARAMS), _KEY), _KEY)
 
@@ -808,3 +817,33 @@ def threshold_source(spark, d):
                                     F.when(F.col("sid") % 5 < 3, "ont").otherwise("ccs").alias("platform"), "confidence")
     return calls.join(cases, ["overridden", "checkpoint", "platform"]).groupBy("overridden", "checkpoint", "platform", "threshold", "source").agg(
         F.sum(as_int(F.col("confidence") >= F.col("threshold"))).alias("kept"))
+
+
+# ---------------------------------------------------------------- objectives
+
+def _views(spark, d):
+    return ob.with_views(fx.table(spark, d, "embeddings").where("embedding is not null"), "vec_id", "embedding", 0.05, 0.2, 7)
+
+
+@query
+def augmented_views(spark, d):
+    """Both views of every embedding, one row for each component."""
+    each = _views(spark, d).select("vec_id", F.explode(F.array(F.struct(F.lit(1).alias("view"), F.col("view_1").alias("x")),
+                                                                F.struct(F.lit(2).alias("view"), F.col("view_2").alias("x")))).alias("v"))
+    return each.select("vec_id", "v.view", F.posexplode("v.x").alias("place", "value")).withColumn("value", r6("value"))
+
+
+@query
+def vicreg_terms(spark, d):
+    """Invariance, variance and covariance of two views of the embeddings."""
+    terms = ob.vicreg_terms(_views(spark, d), "view_1", "view_2", 64, 1.0, 25.0, 1.0)
+    return terms.select("rows", *[r6(c).alias(c) for c in ("invariance", "variance", "covariance", "loss")])
+
+
+@query
+def type_cross_entropy(spark, d):
+    """Cross entropy of logits taken from the embeddings, by class and in all."""
+    rows = fx.table(spark, d, "embeddings").where("embedding is not null").select(
+        F.transform(F.slice("embedding", 1, 5), lambda x: x * 4).alias("logits"),
+        F.when(F.col("vec_id") % 11 == 0, -100).otherwise(F.pmod(F.col("label"), F.lit(5))).alias("y"))
+    return ob.type_cross_entropy(rows, "logits", "y").select("label", "n", r6("loss").alias("loss"), r6("accuracy").alias("accuracy"))
