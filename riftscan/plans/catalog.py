@@ -34,6 +34,8 @@ from ..operators import split_reads as sr
 from ..operators.prefix import block_neighbour
 from ..schemas import CALL_FEATURE_RECORD
 from ..sinks import calls as snk
+from ..streaming import ordered as so
+from ..streaming import runs as sn
 from . import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -597,9 +599,9 @@ def dedup_signatures(spark, d):
     return dd.dedup_signatures(fx.sig(spark, d), 50).select("sid", "contig", "svtype", "tstart", "svlen")
 
 
-def _sig_calls(spark, d):
+def _sig_calls(spark, d, read=fx.table):
     """Every signature as a call of its own, to exercise call deduplication on dense input."""
-    return fx.sig(spark, d).select(
+    return fx.sig(spark, d, read).select(
         F.col("sid").alias("cluster_id"), "contig", F.col("tstart").alias("start"), F.col("tend").alias("end"), "svtype",
         F.when(F.col("svtype") == "DEL", -F.col("svlen")).otherwise(F.col("svlen")).alias("svlen"),
         (F.col("mapq") % 5 + 1).cast("bigint").alias("support"), F.col("confidence").alias("prob"),
@@ -847,3 +849,29 @@ def type_cross_entropy(spark, d):
         F.transform(F.slice("embedding", 1, 5), lambda x: x * 4).alias("logits"),
         F.when(F.col("vec_id") % 11 == 0, -100).otherwise(F.pmod(F.col("label"), F.lit(5))).alias("y"))
     return ob.type_cross_entropy(rows, "logits", "y").select("label", "n", r6("loss").alias("loss"), r6("accuracy").alias("accuracy"))
+
+
+# ---------------------------------------------------------------- streams
+
+@query
+def stream_gap_sessions(spark, d):
+    """Gap sessions of the events as a stream, run to its end: the rows of ``gap_partitions``."""
+    def located(read):
+        return cl.with_bucket(fx.sig(spark, d, read)).select("contig", "bucket", "tstart", "sid")
+
+    rows = located(fx.streamed)
+    ends = located(fx.table).select("contig", "bucket").distinct().selectExpr("*", "cast(null as bigint) as tstart", "cast(null as bigint) as sid")
+    found = sn.drain_to_end(rows, ends, lambda df: so.stream_gap_sessions(
+        df, ["contig", "bucket"], "tstart", "sid", STRICT_GRAPH.max_position_gap, STRICT_GRAPH.max_group_size, 100_000), sn.scratch(spark, "sessions"))
+    return found.select(F.col("ident").alias("sid"), "contig", "bucket", "sess", "chunk")
+
+
+@query
+def stream_dedup_calls(spark, d):
+    """Calls deduplicated as a stream, run to its end: the rows of ``dedup_calls``."""
+    calls = _sig_calls(spark, d, fx.streamed)
+    ends = _sig_calls(spark, d).select("contig", "svtype", "partner_contig").distinct()
+    ends = ends.select(*(F.col(c) if c in ends.columns else F.lit(None).cast(t).alias(c) for c, t in calls.dtypes))
+    kept = sn.drain_to_end(calls, ends, lambda df: so.stream_deduplicated_calls(df, "cluster_id", 100_000), sn.scratch(spark, "calls"))
+    return _sig_calls(spark, d).join(kept.select(F.col("ident").alias("cluster_id")), "cluster_id").select(
+        "cluster_id", "contig", "start", "end", "svtype", "svlen", "support", r6("prob").alias("prob"), "partner_contig")

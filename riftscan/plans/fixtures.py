@@ -15,8 +15,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select(
+def streamed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table as a stream. A pattern names it, as a stream's path may be one file only if it is found by a pattern."""
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
+def _events(spark: SparkSession, sf_dir: str, read=table) -> DataFrame:
+    return read(spark, sf_dir, "events").select(
         "event_id", "user_id", "event_type",
         F.get_json_object("props", "$.k").cast("int").alias("k"),
         F.expr(f"(unix_micros(cast(ts as timestamp)) - {_EPOCH_MICROS}) div 20000000").alias("p"),
@@ -24,10 +29,10 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def sig(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Signatures derived from ``events``."""
+def sig(spark: SparkSession, sf_dir: str, read=table) -> DataFrame:
+    """Signatures derived from ``events``; ``read`` is ``table`` or ``streamed``."""
     kind, k, v = F.col("event_type"), F.col("k"), F.col("v")
-    return _events(spark, sf_dir).select(
+    return _events(spark, sf_dir, read).select(
         F.col("event_id").alias("sid"),
         F.concat(F.lit("chr"), (F.col("user_id") % 5 + 1).cast("string")).alias("contig"),
         F.col("p").alias("tstart"),
