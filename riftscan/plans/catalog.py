@@ -34,6 +34,7 @@ from ..operators import split_reads as sr
 from ..operators.prefix import block_neighbour
 from ..schemas import CALL_FEATURE_RECORD
 from ..sinks import calls as snk
+from ..sources.bam import read_bam, write_bam
 from ..streaming import ordered as so
 from ..streaming import runs as sn
 from . import fixtures as fx
@@ -851,6 +852,20 @@ def type_cross_entropy(spark, d):
     return ob.type_cross_entropy(rows, "logits", "y").select("label", "n", r6("loss").alias("loss"), r6("accuracy").alias("accuracy"))
 
 
+# ---------------------------------------------------------------- files
+
+@query
+def bam_round_trip(spark, d):
+    """Alignments written as a folder of BAM files and read back: one region through the index, one contig by a pushed filter."""
+    path, rows = sn.scratch(spark, "bam"), fx.aln(spark, d)
+    contigs = sorted((r.contig, r.length) for r in fx.contigs(rows).collect())  # the header
+    write_bam(rows, path, contigs)
+    region = read_bam(spark, path, "chr2", 20_000, 60_000).withColumn("part", F.lit("region"))
+    filtered = read_bam(spark, path).where("contig = 'chr4' and mapq > 10").withColumn("part", F.lit("contig"))
+    return region.unionByName(filtered).select(
+        "part", "qname", "flag", "contig", "pos0", "ref_end", "mapq", "cigar", "query_length", F.md5("seq").alias("seq_md5"), "sa")
+
+
 # ---------------------------------------------------------------- streams
 
 @query

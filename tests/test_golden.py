@@ -22,7 +22,7 @@ from riftscan.sinks.calls import quality, vcf_lines
 
 
 def merges(kind, a, b):
-    return bool(dd._mergeable(dd._Arrays, kind == "TRA", kind == "INS", a[0], a[1], max(a[2], 1), b[0], b[1], max(b[2], 1)))
+    return bool(dd._mergeable(dd._Numbers, kind == "TRA", kind == "INS", a[0], a[1], max(a[2], 1), b[0], b[1], max(b[2], 1)))
 
 
 def one(spark, expr):

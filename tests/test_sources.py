@@ -3,6 +3,7 @@
 import gzip
 import json
 import random
+import re
 
 import pytest
 from bam_fixture import write_bam
@@ -208,3 +209,62 @@ def test_reference_span_of_bam_matches_cigar(spark, bam_path):
     items = cg.cigar_items(F.col("cigar"))
     assert df.where((F.col("pos0") + cg.reference_span(items)) != F.col("ref_end")).count() == 0
     assert df.where(cg.query_span(items) != F.col("query_length")).count() == 0
+
+
+def long_reads(seed, n=400, length=1_000_000_000):
+    """Sorted reads of very different lengths on two long contigs, some far behind 512 Mb."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        pos = rng.choice((rng.randrange(60_000), 700_000_000 + rng.randrange(200_000), rng.randrange(length)))
+        span = rng.choice((50, 3_000, 90_000, 900_000))
+        cigar = rng.choice((f"{span}M", f"5S{span - 20}M20D3I", f"{span // 2}M{span // 2}N"))
+        bases = sum(int(k) for k, op in cg_ops(cigar) if op in "MIS")
+        rows.append({"qname": f"r{i}", "flag": rng.choice((0, 16, 256, 4)), "contig": rng.choice(("big", "other")), "pos0": pos,
+                     "ref_end": pos + sum(int(k) for k, op in cg_ops(cigar) if op in "MDN"), "mapq": rng.randrange(61), "cigar": cigar,
+                     "seq": "".join(rng.choice("ACGTN") for _ in range(bases)) if bases < 5_000 else "ACGT" * (bases // 4) + "A" * (bases % 4),
+                     "query_length": bases, "sa": rng.choice((None, "other,5,+,9M,60,0;", "é"))})
+        if rows[-1]["flag"] & 4:
+            rows[-1]["ref_end"] = None
+    return sorted(rows, key=lambda r: (r["contig"], r["pos0"], r["qname"]))
+
+
+def cg_ops(cigar):
+    return re.findall(r"(\d+)([A-Z=])", cigar)
+
+
+def test_written_folder_and_long_contigs(spark, tmp_path):
+    """A folder written by several tasks, with .csi indexes beyond 512 Mb, against the rows; regions against all rows."""
+    rows = long_reads(1)
+    lost = {**rows[0], "qname": "lost", "contig": None, "pos0": -1, "flag": 4, "ref_end": None, "cigar": None, "seq": None, "query_length": 0, "sa": None}
+    df = spark.createDataFrame([tuple(r[f] for f in FIELDS) for r in [*rows, lost]], bam.ALIGNMENTS)
+    path = str(tmp_path / "folder")
+    bam.write_bam(df.repartition(5), path, [("big", 1_000_000_000), ("other", 1_000_000_000), ("none", 5)], files=4)
+    assert len(bam.files_of(path)) > 1 and bam.read_header(path)[0][0] == ("big", 1_000_000_000)
+    whole = bam.read_bam(spark, path, splitBytes=1)
+    assert as_tuples(whole.where("contig is not null")) == wanted(rows) and whole.where("contig is null").count() == 1
+    assert bam.bam_mapped_reads(spark, path).first().n == sum(not r["flag"] & 4 for r in rows)
+    some = bam.read_bam(spark, path, columns=["contig", "pos0", "ref_end"])
+    assert some.columns == ["contig", "pos0", "ref_end"] and some.count() == len(rows) + 1
+    rng = random.Random(2)
+    for _ in range(8):
+        r = rng.choice(rows)
+        start = max(0, r["pos0"] + rng.choice((-200_000, -10, 0, 10, 2_000)))
+        stop = start + rng.choice((1, 5_000, 1_000_000))
+        got = as_tuples(bam.read_bam(spark, path, r["contig"], start, stop, splitBytes=1))
+        assert got == wanted(rows, lambda x: x["contig"] == r["contig"] and x["pos0"] < stop and x["ref_end"] is not None and x["ref_end"] > start)
+    empty = str(tmp_path / "empty")
+    bam.write_bam(df.limit(0), empty, [("big", 10)], files=1)
+    assert bam.read_bam(spark, empty).count() == 0
+
+
+def test_region_behind_a_long_read(spark, tmp_path):
+    """Reads that begin behind a long read which reaches out of the region, with a linear index."""
+    spans = [(50, 100), (100, 60_000), (200, 300), (16_000, 500), (17_000, 40_000), (39_000, 10)]
+    rows = [{"qname": f"r{i}", "flag": 0, "contig": "c", "pos0": p, "ref_end": p + n, "mapq": 9, "cigar": f"{n}M", "seq": "A" * n, "query_length": n, "sa": None}
+            for i, (p, n) in enumerate(spans)]
+    path = str(tmp_path / "long.bam")
+    write_bam(path, [("c", 200_000)], rows)
+    for start, stop in ((0, 1_000), (16_100, 16_200), (30_000, 39_001), (5_000, 100_000)):
+        got = {r.qname for r in bam.read_bam(spark, path, "c", start, stop, splitBytes=1).collect()}
+        assert got == {r["qname"] for r in rows if r["pos0"] < stop and r["ref_end"] > start}
