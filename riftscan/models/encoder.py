@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..files import read_bytes, write_bytes
 from ..operators.features import FULL_DIM, l2_normalise
+from .archives import is_archive, load_archive, split_payload
 from .layers import gelu, glorot
 
 # Default shape of the encoder.
@@ -76,12 +78,15 @@ def save_weights(weights: dict, path: str, info: dict | None = None) -> None:
     """Write weights and a JSON description as one .npz file."""
     buffer = io.BytesIO()
     np.savez(buffer, __info__=np.array(json.dumps(info or {}, sort_keys=True)), **weights)
-    with open(path, "wb") as handle:
-        handle.write(buffer.getvalue())
+    write_bytes(path, buffer.getvalue())
 
 
 def load_weights(path: str) -> tuple[dict, dict]:
-    with np.load(path, allow_pickle=False) as stored:
+    """Named arrays and the description of a checkpoint: .npz, or the zip form of training frameworks."""
+    data = read_bytes(path)
+    if is_archive(data):
+        return split_payload(load_archive(data))
+    with np.load(io.BytesIO(data), allow_pickle=False) as stored:
         weights = {k: stored[k] for k in stored.files if k != "__info__"}
         info = json.loads(str(stored["__info__"])) if "__info__" in stored.files else {}
     return weights, info
