@@ -34,6 +34,7 @@ from ..operators import split_reads as sr
 from ..operators.prefix import block_neighbour
 from ..schemas import CALL_FEATURE_RECORD
 from ..sinks import calls as snk
+from ..sources import tables as tb
 from ..sources.bam import read_bam, write_bam
 from ..streaming import ordered as so
 from ..streaming import runs as sn
@@ -772,7 +773,7 @@ def encoder_forward(spark, d):
         previous = width
     weights |= {"out.w": _waves(32, previous, 2), "out.b": _ripple(32, 2)}
     df = embed(ft.node_features(fx.sig(spark, d)), weights)
-    return df.select("sid", *[r6(F.col("emb")[i]).alias(f"e{i}") for i in range(4)])
+    return df.select("sid", *[r6(F.col("emb")[i]).alias(f"e{i}") for i in range(32)])
 
 
 def _scored(spark, d):
@@ -783,7 +784,7 @@ def _scored(spark, d):
                     f"c{i}.mean": _ripple(width, i + 2), f"c{i}.var": 1 + _ripple(width, i + 3)}
         previous = width
     weights |= {"d0.w": _waves(16, 2 * previous, 3), "d0.b": _ripple(16, 3), "d1.w": _waves(1, 16, 4), "d1.b": _ripple(1, 4)}
-    model = {"weights": weights, "mean": [0.0] * n, "scale": [1.0] * n, "platform_thresholds": {"ont": 0.6}}
+    model = {"weights": weights, "mean": _ripple(n, 5).tolist(), "scale": (1 + _ripple(n, 6)).tolist(), "platform_thresholds": {"ont": 0.6}}
     calls = ca.raw_calls(_gates(spark, d), CALL_PARAMS).withColumn("domain", F.lit("real"))
     return sc.score_calls(calls, model), model
 
@@ -866,6 +867,64 @@ def bam_round_trip(spark, d):
         "part", "qname", "flag", "contig", "pos0", "ref_end", "mapq", "cigar", "query_length", F.md5("seq").alias("seq_md5"), "sa")
 
 
+@query
+def signature_table_file(spark, d):
+    """Signatures written as a table and read back; the counts beside it add up to the rows."""
+    path = sn.scratch(spark, "signatures") + ".parquet"
+    tb.write_signatures(fx.sig(spark, d), path, {"min_mapq": 0})
+    counts = spark.read.json(path + ".counts").where("what = 'svtype'").agg(F.sum("n").alias("total"))
+    back = tb.read_signatures(spark, path).crossJoin(F.broadcast(counts))  # one row
+    return back.select("sid", "contig", "tstart", "tend", "svtype", "svlen", "qname", "mapq", "source", "support", "total")
+
+
+@query
+def bed_file(spark, d):
+    """Intervals written as BED text among comments and broken lines, and read back."""
+    path, rows = sn.scratch(spark, "bed"), fx.bed(spark, d)
+    line = F.when(F.col("start") % 7 == 0, F.concat_ws(" ", "contig", "start", "end")).otherwise(F.concat_ws("\t", "contig", "start", "end", F.lit("name")))
+    noise = spark.createDataFrame([("# comment",), ("track name=x",), ("browser position",), ("",), ("chr1\tx\t5",), ("chr1\t9\t9",)], "value string")
+    rows.select(line.alias("value")).unionByName(noise).write.text(path)
+    return tb.read_bed(spark, path)
+
+
+@query
+def vcf_file(spark, d):
+    """Calls written as VCF and their ids read back, with the header's lines counted."""
+    path = sn.scratch(spark, "vcf")
+    calls = _sig_calls(spark, d).withColumn("filter_status", F.lit("PASS"))
+    snk.write_vcf(snk.assign_call_ids(calls, ["cluster_id"]), path)
+    return tb.read_vcf_ids(spark, path).groupBy(F.length("id").alias("width")).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"), F.max("id").alias("most"))
+
+
+@query
+def call_feature_file(spark, d):
+    """Call features written as JSON lines and read back by their reader."""
+    path = sn.scratch(spark, "call-features")
+    calls = ca.raw_calls(_gates(spark, d), CALL_PARAMS).withColumn("call_id", F.concat_ws("_", "cluster_id", "allele"))
+    snk.write_call_features(calls, path, "ont", 5.0, "sim")
+    return tb.read_call_features(spark, path).select(
+        "call_id", "platform", "domain", "contig", "start", "end", "svtype", "svlen", "support", r6("prob").alias("prob"),
+        F.size("score_features").alias("n_features"), r6(F.col("score_features")["log_span"]).alias("log_span"))
+
+
+@query
+def manifest_rows(spark, d):
+    """Manifests of the suppliers as JSON lines and as CSV, read back with splits and typed fields."""
+    rows = fx.table(spark, d, "supplier").select(
+        F.col("s_suppkey").alias("key"), F.concat(F.lit("/in/"), "s_suppkey", F.lit(".parquet")).alias("data_path"),
+        F.when(F.col("s_suppkey") % 3 == 0, F.lit(" VAL ")).when(F.col("s_suppkey") % 3 == 1, F.lit("")).alias("split"),
+        F.when(F.col("s_suppkey") % 2 == 0, F.col("s_nationkey")).alias("min_mapq")).coalesce(1)
+    found = []
+    for kind in ("jsonl", "csv"):
+        path = f"{sn.scratch(spark, 'manifest')}.{kind}"
+        if kind == "csv":
+            rows.write.option("header", "true").option("emptyValue", "").csv(path)
+        else:
+            rows.write.json(path)
+        found += [(kind, int(r["key"]), tb.split_name(r), tb.number(r, "min_mapq", int, -1), r["data_path"]) for r in tb.read_source_manifest(spark, path)]
+    return spark.createDataFrame(found, "kind string, key long, split string, min_mapq long, data_path string")
+
+
 # ---------------------------------------------------------------- streams
 
 @query
