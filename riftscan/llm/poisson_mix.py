@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import named_as, plain_names
+
 MEAN_STEP = 16.0
 #: Sources up to which their table is sent to every task (it was counted); beyond that it is joined by shuffling.
 BROADCAST_SOURCES = 20_000
@@ -64,10 +66,9 @@ def rates(docs: DataFrame, weights: dict[str | None, float] | None, total: int |
 
 
 def copies(ident: Column, parts: Column, steps: Column, seed: int) -> Column:
-    """The document's number of copies: how many steps its numbers reach."""
-    return F.aggregate(
-        F.sequence(F.lit(1), parts), F.lit(0),
-        lambda total, part: total + F.size(F.filter(steps, lambda step: step <= unit(F.lit(seed), F.lit("copies"), part, ident))))
+    """The document's number of copies: how many steps its numbers reach. Each number is drawn once, before it is compared."""
+    draws = F.transform(F.sequence(F.lit(1), parts), lambda part: unit(F.lit(seed), F.lit("copies"), part, ident))
+    return F.aggregate(draws, F.lit(0), lambda total, draw: total + F.size(F.filter(steps, lambda step: step <= draw)))
 
 
 def _each(docs: DataFrame, weights, total, seed: int, ident: str, source: str) -> DataFrame:
@@ -82,11 +83,14 @@ def _each(docs: DataFrame, weights, total, seed: int, ident: str, source: str) -
 def replicate(docs: DataFrame, weights: dict[str | None, float] | None = None, total: int | None = None, seed: int = 1,
               ident: str = "doc_id", source: str = "source") -> DataFrame:
     """``docs`` with every row once for each of its copies, globally shuffled; no other columns."""
-    return _each(docs, weights, total, seed, ident, source).select(*docs.columns)
+    plain = plain_names(docs, ident, source)
+    return named_as(_each(plain, weights, total, seed, ident, source).select(*plain.columns), docs)
 
 
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, total: int | None = None, seed: int = 1,
         ident: str = "doc_id", source: str = "source") -> DataFrame:
     """As ``replicate``, with replica (from 0) and order_key, by which the copies of a partition are ordered."""
     own = {"replica": "__mix_replica", "order_key": "__mix_order"}
-    return _each(docs.drop(*own), weights, total, seed, ident, source).withColumnsRenamed({v: k for k, v in own.items()})
+    docs = docs.drop(*own)
+    mixed = _each(plain_names(docs, ident, source), weights, total, seed, ident, source)
+    return named_as(mixed.withColumnsRenamed({v: k for k, v in own.items()}), docs)

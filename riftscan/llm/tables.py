@@ -48,6 +48,24 @@ def columns_of(df: DataFrame, *names: str) -> DataFrame:
         *((F.col(seen[n]).cast("long") if n.endswith("_id") else F.col(seen[n])).alias(n) for n in names))
 
 
+def plain_names(df: DataFrame, *roles: str) -> DataFrame:
+    """``df`` with names that can't clash: the first column of each role keeps its name, all others are numbered.
+
+    For operators that carry columns along: names may hold dots, repeat, or be those that the operator uses itself.
+    ``named_as`` gives the old names back.
+    """
+    names, left = [], set(roles)
+    for i, name in enumerate(df.columns):
+        names.append(name if name in left else f"_c{i}")
+        left.discard(name)
+    return df.toDF(*names)
+
+
+def named_as(out: DataFrame, df: DataFrame) -> DataFrame:
+    """The columns of ``df`` under their names, and what ``out`` has behind them."""
+    return out.toDF(*df.columns, *out.columns[len(df.columns):])
+
+
 def one_row_per_id(df: DataFrame, ident: str, *names: str) -> DataFrame:
     """Columns ``ident`` and ``names`` without null ids; of rows that share an id the largest by ``names``, nulls lowest.
 
