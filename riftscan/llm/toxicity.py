@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import columns_of
+from .tables import columns_of, named_as, plain_names
 from .text import Lookup, bytes_of, slices, words_of
 
 MAX_ROWS = 20_000
@@ -128,7 +128,7 @@ def _feature_rows(names: np.ndarray, weights: np.ndarray):
         for batch in batches:
             for piece in slices(batch, "text", _PIECE):
                 x = features(piece.column("text"), names, weights)
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("toxic"), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "toxic", "x"])
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("toxic"), piece.column("held"), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "toxic", "held", "x"])
     return run
 
 
@@ -194,28 +194,35 @@ def _probability(model: Model, x: np.ndarray) -> np.ndarray:
     return np.clip(0.99 * step + 0.01 * _sigmoid(raw), 0, 1)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
-    """From the labelled documents among ``docs``: labels has doc_id and toxic (0 or 1)."""
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, lexicon_size: int = LEXICON_SIZE, least_docs: int = 3) -> Model:
+    """From the labelled documents among ``docs``: labels has doc_id and toxic (0 or 1).
+
+    A fifth of them, by a hash of the id, calibrates the scores; lexicon and trees come from the others alone. The lexicon
+    takes at most ``lexicon_size`` words that ``least_docs`` toxic documents have.
+    """
     labels = columns_of(labels, "doc_id", "toxic").where("doc_id is not null and toxic is not null")
     labels = labels.groupBy("doc_id").agg(F.max(F.col("toxic").cast("long")).alias("toxic"))
     sample = labels.orderBy(F.crc32(F.concat(F.lit("toxic"), F.col("doc_id").cast("string"))), "doc_id").limit(max_rows)
-    known = columns_of(docs, "doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most max_rows rows
-    counts = known.agg(F.count("*"), F.sum("toxic")).first()
-    total, toxic = counts[0], counts[1] or 0
+    held = F.crc32(F.concat(F.lit("held"), F.col("doc_id").cast("string"))) % 5 == 0
+    known = columns_of(docs, "doc_id", "text").join(F.broadcast(sample.withColumn("held", held)), "doc_id")  # at most max_rows rows
+    counts = {r["held"]: (r["n"], r["t"]) for r in known.groupBy("held").agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).collect()}
+    (fit_n, fit_t), (held_n, held_t) = (counts.get(h, (0, 0)) for h in (False, True))
+    if not 0 < fit_t < fit_n or not 0 < held_t < held_n:  # too few to hold any back
+        known = known.withColumn("held", F.lit(False))
+        fit_n, fit_t = fit_n + held_n, fit_t + held_t
+    total, toxic = fit_n, fit_t
     if not 0 < toxic < total:
         return Model(constant=toxic / max(total, 1))
-    words = known.mapInArrow(_lexicon_words, "name long, toxic long, clean long").groupBy("name").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
+    words = known.where("not held").mapInArrow(_lexicon_words, "name long, toxic long, clean long").groupBy("name").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
     odds = (F.log((F.col("a") + 0.5) / (toxic - F.col("a") + 0.5)) - F.log((F.col("b") + 0.5) / (total - toxic - F.col("b") + 0.5)))
     error = F.sqrt(1 / (F.col("a") + 0.5) + 1 / (toxic - F.col("a") + 0.5) + 1 / (F.col("b") + 0.5) + 1 / (total - toxic - F.col("b") + 0.5))
-    lexicon = words.where("a >= 3").select("name", odds.alias("odds"), (odds / error).alias("z")).where(F.col("z") >= LEXICON_Z).orderBy(F.desc("z"), "name").limit(LEXICON_SIZE).collect()
+    lexicon = words.where(F.col("a") >= least_docs).select("name", odds.alias("odds"), (odds / error).alias("z")).where(F.col("z") >= LEXICON_Z).orderBy(F.desc("z"), "name").limit(lexicon_size).collect()
     model = Model(np.array([r.name for r in lexicon], np.int64).view(np.uint64), np.array([r.odds for r in lexicon], float))
-    rows = known.mapInArrow(_feature_rows(model.names, model.weights), "doc_id long, toxic long, x array<double>").toArrow()
+    rows = known.mapInArrow(_feature_rows(model.names, model.weights), "doc_id long, toxic long, held boolean, x array<double>").toArrow()
     order = np.argsort(np.asarray(rows.column("doc_id").combine_chunks()), kind="stable")
     x = np.array(rows.column("x").to_pylist(), float)[order]
     y = np.asarray(rows.column("toxic").combine_chunks()).astype(float)[order]
-    held = np.arange(len(y)) % 5 == 4
-    if y[held].sum() in (0, held.sum()) or y[~held].sum() in (0, (~held).sum()):
-        held[:] = False
+    held = np.asarray(rows.column("held").combine_chunks())[order]
     fit = ~held
     model.edges = [np.unique(np.quantile(x[fit, f], np.linspace(0, 1, BINS + 1)[1:-1])) for f in range(x.shape[1])]
     binned = np.stack([np.searchsorted(e, x[fit, f], "left") for f, e in enumerate(model.edges)], axis=1)
@@ -258,4 +265,5 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) ->
             for piece in slices(batch, "text", _PIECE):
                 p = _probability(m, features(piece.column("text"), m.names, m.weights))
                 yield piece.filter(pa.array(p < 0.5))
-    return docs.mapInArrow(keep, docs.schema)
+    plain = plain_names(docs, "text")
+    return named_as(plain.mapInArrow(keep, plain.schema), docs)

@@ -56,3 +56,63 @@ def test_unusual_rows(spark):
     assert {r.score for r in tx.score(docs, tx.train(docs, labels.limit(0))).collect()} == {0.0}
     kept = tx.drop_toxic(docs, labels.limit(0))
     assert kept.columns == docs.columns and kept.count() == 6
+
+
+def brute_tree(binned, g, h):
+    """Best splits by trying every feature and bin, node by node; the value of each row."""
+    out = np.zeros(len(g))
+
+    def part(rows, depth):
+        if depth == tx.DEPTH:
+            out[rows] = g[rows].sum() / (h[rows].sum() + 1) * tx.RATE
+            return
+        best, left = 1e-6, None
+        for f in range(binned.shape[1]):
+            for b in range(tx.BINS):
+                goes = binned[rows, f] <= b
+                x, y = rows[goes], rows[~goes]
+                if len(x) >= 8 and len(y) >= 8:
+                    gain = g[x].sum() ** 2 / (h[x].sum() + 1) + g[y].sum() ** 2 / (h[y].sum() + 1) - g[rows].sum() ** 2 / (h[rows].sum() + 1)
+                    if gain > best + 1e-12:
+                        best, left = gain, goes
+        if left is None:
+            left = np.ones(len(rows), bool)
+        part(rows[left], depth + 1)
+        part(rows[~left], depth + 1)
+
+    part(np.arange(len(g)), 0)
+    return out
+
+
+def test_tree_against_all_splits():
+    rng = np.random.default_rng(8)
+    for n in (20, 60, 200):
+        binned = rng.integers(0, tx.BINS, (n, 3))
+        g, h = rng.normal(size=n), rng.uniform(0.05, 0.25, n)
+        split, cut, value = tx._grow(binned, g, h)
+        node = np.zeros(n, int)
+        for _ in range(tx.DEPTH):
+            node = 2 * node + 1 + (binned[np.arange(n), split[node]] > cut[node])
+        assert np.allclose(value[node - (2 ** tx.DEPTH - 1)], brute_tree(binned, g, h))
+
+
+def test_scores_of_a_model_by_hand(spark):
+    """A whole score step by step: features, bins, trees, calibration."""
+    rows = [(i, ("you stupid fool " if i % 3 == 0 else "a kind word ") * (1 + i % 4) + f"n{i}") for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(120)], "doc_id long, toxic long")
+    m = tx.train(docs, labels)
+    got = {r.doc_id: r.score for r in tx.score(docs, m).collect()}
+    for i, text in rows[:40]:
+        x = tx.features(pa.array([text]), m.names, m.weights)[0]
+        raw = m.base
+        for split, cut, value in m.trees:
+            node = 0
+            for _ in range(tx.DEPTH):
+                f = split[node]
+                node = 2 * node + 1 + int(sum(e < x[f] for e in m.edges[f]) > cut[node])
+            raw += value[node - (2 ** tx.DEPTH - 1)]
+        last, value = m.steps
+        step = next((v for e, v in zip(last, value, strict=True) if raw <= e), value[-1])
+        assert abs(got[i] - min(max(step, 0), 1)) < 0.05, (i, got[i], step)
+        assert (got[i] >= 0.5) == (i % 3 == 0)
