@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import buckets_for, cuts, flat, one_row_per_id, partitions, shared_keys, short_keys, stored
+from .tables import buckets_for, cuts, flat, named_as, one_row_per_id, partitions, plain_names, shared_keys, short_keys, stored
 from .text import Ranges, Words, as_lists, mix, salted, slices, words_of
 
 #: Bytes of text that one group of windows comes from, on average.
@@ -295,6 +295,7 @@ def drop_repeated_passages(docs: DataFrame, window: int = 13) -> DataFrame:
 
     A document of which no word is left goes; one that had none to begin with stays as it is.
     """
+    named, docs = docs, plain_names(docs, "doc_id", "text", "n_chars")
     found = remove_repeats(docs, window).where("n_removed > 0").select(
         "doc_id", (F.col("n_removed") == F.col("n_words")).alias("__none_left"), F.col("kept_text").alias("__kept_text"))
     joined = docs.join(found, "doc_id", "left").where("not coalesce(__none_left, false)")
@@ -302,4 +303,4 @@ def drop_repeated_passages(docs: DataFrame, window: int = 13) -> DataFrame:
     out = {"text": F.coalesce(kept, "text")}
     if "n_chars" in docs.columns:
         out["n_chars"] = F.when(kept.isNull(), F.col("n_chars")).otherwise(F.length(kept)).cast(docs.schema["n_chars"].dataType)
-    return joined.select(*(out[c].alias(c) if c in out else F.col(c) for c in docs.columns))
+    return named_as(joined.select(*(out[c].alias(c) if c in out else F.col(c) for c in docs.columns)), named)

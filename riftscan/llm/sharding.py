@@ -21,6 +21,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .tables import named_as, plain_names
+
 #: Slots: a prime, about 256 for each of sixteen shards.
 TABLE_SIZE = 4099
 
@@ -70,9 +72,13 @@ def slot(key: Column, size: int = TABLE_SIZE) -> Column:
 def place(df: DataFrame, key: str, shards: list[str], size: int = TABLE_SIZE) -> DataFrame:
     """``df`` with slot, shard and shard_name."""
     lookup = table_frame(df.sparkSession, shards, size)
-    keyed = df.withColumn("__slot", slot(F.col(key), size)).drop(*lookup.columns)
-    joined = keyed.join(F.broadcast(lookup), keyed["__slot"] == lookup["slot"])  # ``size`` rows
-    return joined.drop("__slot")
+    spot = slot(F.col(key), size)
+    named = df.withColumn("__key", spot) if key in lookup.columns else df  # a key that is replaced is read before
+    rest = named.drop(*lookup.columns)
+    plain = plain_names(rest, "__key" if named is not df else key)
+    keyed = plain.withColumnRenamed("__key", "__slot") if named is not df else plain.withColumn("__slot", spot)
+    joined = keyed.join(F.broadcast(lookup), keyed["__slot"] == lookup["slot"]).drop("__slot")  # ``size`` rows
+    return named_as(joined, df.drop(*lookup.columns))
 
 
 def write(df: DataFrame, key: str, shards: list[str], path: str, rows_per_task: int = 5_000_000, size: int = TABLE_SIZE) -> None:

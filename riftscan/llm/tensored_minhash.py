@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .tables import buckets_for, discard, forest, in_blocks, one_row_per_id, shared_keys, short_keys, stored
+from .tables import buckets_for, discard, forest, in_blocks, named_as, one_row_per_id, plain_names, shared_keys, short_keys, stored
 from .text import Ranges, as_lists, mix, salted, slices, words_of
 
 BANDS, ROWS = 28, 4
@@ -303,5 +303,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 
 def keep_one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each group of near duplicates: the one with the smallest id. A null id stays."""
-    gone = near_duplicates(docs, shingle, percent).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    plain = plain_names(docs, "doc_id", "text")
+    gone = near_duplicates(plain, shingle, percent).where("not kept").select("doc_id")
+    return named_as(plain.join(gone, "doc_id", "left_anti").select(*plain.columns), docs)
