@@ -97,7 +97,7 @@ def op3_language_id(spark, sf_dir):
 def op4_lattice_lm(spark, sf_dir):
     """Log probabilities of documents under the lattice model, learned from all but a fifth of them."""
     return lattice_lm.score(table(spark, sf_dir, "documents"), PIECES, ~held_out(1)).select(
-        "doc_id", held_out(1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+        "doc_id", held_out(1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "mixed_score")
 
 
 @query
