@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from riftscan.llm import lattice_dedup as ld
@@ -78,3 +79,53 @@ def test_unusual_rows(spark):
     got = {r.vec_id: tuple(r)[1:] for r in ld.near_duplicates(df).collect()}
     assert got == {i: (0, i, True) for i in range(1, 14)} | {1: (2, 1, True), 2: (2, 1, False), 3: (2, 1, False)}
     assert ld.near_duplicates(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("codes, scale, tables", [(2, 1.4, 17), (3, 1.4, 46)])
+def test_narrower_cells(spark, codes, scale, tables):
+    plan = ld.Plan(tables, codes, scale)
+    rows = planted(5, groups=6)
+    assert {tuple(r) for r in ld.near_duplicates(spark.createDataFrame(rows, SCHEMA), plan=plan).collect()} == brute(rows)
+
+
+def test_plans_miss_as_few_at_every_size():
+    plans = [ld.plan_for(rows, 0.93) for rows in (0, 10**6, 10**7, 10**8, 10**9)]
+    assert [p.tables for p in plans] == sorted(p.tables for p in plans) and len(set(plans)) == 5
+    for p in plans:
+        assert (1 - ld.meeting_probability(p.codes, p.scale, 0.93)) ** p.tables < 2 * ld.MISSED
+    # What was simulated holds for real vectors.
+    rng = np.random.default_rng(8)
+    u, z = rng.normal(size=(2, 4000, 48))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    z -= (z * u).sum(axis=1, keepdims=True) * u
+    v = 0.93 * u + math.sqrt(1 - 0.93**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    label = np.zeros(4000, np.int64)
+    for p in plans[:2]:
+        (own_u, near_u), (own_v, near_v) = ld.cells(u, label, p), ld.cells(v, label, p)
+        met = (own_u == own_v) | (near_u == own_v[:, :, None]).any(axis=2) | (near_v == own_u[:, :, None]).any(axis=2)
+        assert abs(met.mean() - ld.meeting_probability(p.codes, p.scale, 0.93)) < 0.02
+
+
+def test_bytes_drop_no_pair_at_the_threshold():
+    """Vectors with a dominant component lose most to bytes; the carried bound must cover it."""
+    rng = np.random.default_rng(2)
+    for dims in (8, 64, 1000):
+        x = rng.normal(size=(300, dims)) * np.where(np.arange(dims) == 0, dims**0.5, rng.uniform(0.1, 1))
+        x[150:] = x[:150] + rng.normal(size=(150, dims)) * 0.3
+        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+        batch = pa.RecordBatch.from_arrays(
+            [pa.array(range(300)), pa.array([0] * 300), pa.array(unit.tolist())], ["vec_id", "label", "embedding"])
+        plan = ld.Plan(2, 1, 2.0)
+        data = pa.Table.from_batches(ld._members(plan)(iter([batch]))).column("data").to_pylist()
+        blob = np.frombuffer(b"".join(data), np.uint8).reshape(300, -1)
+        true = unit @ unit.T
+        for threshold in (0.5, 0.93, 0.99):
+            assert ld._bytes_near(blob, plan.tables, np.arange(300), threshold)[true >= threshold].all()
+        if dims < 1000:
+            assert not ld._bytes_near(blob, plan.tables, np.arange(300), 0.93)[true < 0.87].any()
+
+
+def test_labels_of_any_type(spark):
+    rows = planted(6, groups=6)
+    named = spark.createDataFrame([(i, v, f"label {c}") for i, v, c in rows], SCHEMA.replace("int", "string"))
+    assert {tuple(r) for r in ld.near_duplicates(named).collect()} == brute(rows)
