@@ -13,27 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..files import read_bytes, write_bytes
-from ..operators.features import FULL_DIM, l2_normalise
+from ..operators.features import l2_normalise
 from .archives import is_archive, load_archive, split_payload
-from .layers import gelu, glorot
+from .layers import gelu
 
-# Default shape of the encoder.
-EMBED_DIM = 128
-HIDDEN_DIMS = (128, 256, 256, 128)
 _NORM_EPS = 1e-5
 
 
-def init_encoder(input_dim: int = FULL_DIM, embed_dim: int = EMBED_DIM, hidden_dims=HIDDEN_DIMS, seed: int = 42) -> dict:
-    """Fresh weights: layers of (w, b, gain, shift) and an output layer (w, b)."""
-    rng = np.random.default_rng(seed)
-    weights, previous = {}, input_dim
-    for i, width in enumerate(hidden_dims):
-        weights |= {f"h{i}.w": glorot(rng, width, previous), f"h{i}.b": np.zeros(width),
-                    f"h{i}.gain": np.ones(width), f"h{i}.shift": np.zeros(width)}
-        previous = width
-    return weights | {"out.w": glorot(rng, embed_dim, previous), "out.b": np.zeros(embed_dim)}
-
-
 def encoder_shape(weights: dict) -> tuple[int, list[int], int]:
     """(input, hidden, embedding) sizes, read off the weights."""
     depth = sum(1 for k in weights if k.startswith("h") and k.endswith(".w"))
@@ -131,5 +117,3 @@ def embed(df: DataFrame, weights: dict | None = None, vector: str = "feat", out:
 
 def write_embeddings(df: DataFrame, path: str) -> None:
     df.select("sid", "emb").write.mode("overwrite").parquet(path)
-
-

@@ -28,8 +28,3 @@ def gelu(x: np.ndarray) -> np.ndarray:
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1.0 + np.tanh(0.5 * x))
-
-
-def glorot(rng: np.random.Generator, out_dim: int, in_dim: int) -> np.ndarray:
-    bound = math.sqrt(6.0 / (in_dim + out_dim))
-    return rng.uniform(-bound, bound, size=(out_dim, in_dim))

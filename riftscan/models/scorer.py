@@ -13,29 +13,15 @@ from pyspark.sql import types as T
 from ..operators.calls import SCORE_FEATURES, drop_counters
 from ..operators.evaluate import label_calls
 from .encoder import load_weights, matrix_of
-from .layers import glorot, sigmoid
+from .layers import sigmoid
 
-# Scorer inputs, default shape, and the checkpoint kind.
+# Scorer inputs and the checkpoint kind.
 SCORER_FEATURES = (*SCORE_FEATURES, "domain_real", "domain_sim")
-CHANNELS = (32, 64, 64)
-HIDDEN_DIM = 64
 MODEL_TYPE = "cnn_scorer_v1"
 _NORM_EPS = 1e-5
 _DOMAIN_HINTS = ("dataset_name", "__source_name__", "source_name", "call_id")
 
 
-def init_scorer(channels=CHANNELS, hidden_dim: int = HIDDEN_DIM, seed: int = 42) -> dict:
-    rng = np.random.default_rng(seed)
-    weights, previous = {}, 1
-    for i, width in enumerate(channels):
-        weights |= {f"c{i}.w": glorot(rng, width, previous * 3).reshape(width, previous, 3), f"c{i}.b": np.zeros(width),
-                    f"c{i}.gain": np.ones(width), f"c{i}.shift": np.zeros(width),
-                    f"c{i}.mean": np.zeros(width), f"c{i}.var": np.ones(width)}
-        previous = width
-    return weights | {"d0.w": glorot(rng, hidden_dim, 2 * previous), "d0.b": np.zeros(hidden_dim),
-                      "d1.w": glorot(rng, 1, hidden_dim), "d1.b": np.zeros(1)}
-
-
 def windows(x: np.ndarray) -> np.ndarray:
     """(batch, channels, length) to (batch, length, channels x 3): the width-3 neighbourhoods, zero padded."""
     padded = np.pad(x, ((0, 0), (0, 0), (1, 1)))

@@ -60,10 +60,20 @@ def _members(clusters: DataFrame, params: CallParams) -> DataFrame:
 
 
 def most_common(values: Column) -> Column:
-    """Most frequent element of an array, the least one among equals; NULL for an empty array."""
-    counted = F.transform(F.array_distinct(values), lambda v: F.struct(
-        (-F.size(F.filter(values, lambda w: w == v))).alias("n"), v.alias("v")))
-    return F.array_min(counted)["v"]
+    """Most frequent string of an array, the least one among equals; NULL for an array without any.
+
+    One fold over the sorted array: equal elements lie together, so each is counted in passing.
+    """
+    none, zero = F.lit(None).cast("string"), F.lit(0)
+    start = F.struct(none.alias("best"), zero.alias("n"), none.alias("here"), zero.alias("run"))
+
+    def step(state: Column, value: Column) -> Column:
+        run = F.when(state["here"] == value, state["run"] + 1).otherwise(1)
+        more = run > state["n"]
+        return F.struct(F.when(more, value).otherwise(state["best"]).alias("best"), F.when(more, run).otherwise(state["n"]).alias("n"),
+                        value.alias("here"), run.alias("run"))
+
+    return F.aggregate(F.array_sort(F.filter(values, lambda v: v.isNotNull())), start, step, lambda state: state["best"])
 
 
 def cluster_summary(clusters: DataFrame, params: CallParams, dim: int) -> DataFrame:

@@ -121,42 +121,44 @@ def nearest_neighbours(vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndar
 
 
 def _nearest_in_blocks(ident: str, vector: str, k: int):
-    """The k nearest rows of one block for every row of another."""
-    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+    """The k nearest rows of the other block for every row of two blocks, or of its own block where a block meets itself."""
+    def work(met: pa.Table) -> pa.Table:
+        ids, own, low, high = (np.asarray(met.column(c).combine_chunks()) for c in (ident, "own", "lo", "hi"))
+        order = np.argsort(ids, kind="stable")
+        ids, own, vectors = ids[order], own[order], unit_vectors(met.column(vector))[order]
+        sides = [np.flatnonzero(own == block) for block in (low[0], high[0])]
+        ways = [(sides[0], sides[1]), (sides[1], sides[0])][:1 if low[0] == high[0] else 2]
         out = []
-        if left.num_rows and right.num_rows:
-            src, dst = (np.asarray(t.column(c).combine_chunks()) for t, c in ((left, ident), (right, "to_ident")))
-            right_order = np.argsort(dst, kind="stable")
-            a, b = unit_vectors(left.column(vector)), unit_vectors(right.column("to_vector"))[right_order]
-            dst = dst[right_order]
-            for low in range(0, len(src), _ROW_BLOCK):
-                scores = np.round(a[low:low + _ROW_BLOCK] @ b.T, DIGITS)
-                scores[src[low:low + _ROW_BLOCK, None] == dst[None, :]] = -np.inf
+        for rows_of, cols_of in ways:
+            for at in range(0, len(rows_of) if len(cols_of) else 0, _ROW_BLOCK):
+                src, dst = ids[rows_of[at:at + _ROW_BLOCK]], ids[cols_of]
+                scores = np.round(vectors[rows_of[at:at + _ROW_BLOCK]] @ vectors[cols_of].T, DIGITS)
+                scores[src[:, None] == dst[None, :]] = -np.inf
                 best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
                 rows = np.repeat(np.arange(len(best)), best.shape[1])
                 values = scores[rows, best.ravel()]
                 keep = values > 0
-                out.append((src[low + rows[keep]], dst[best.ravel()[keep]], values[keep]))
+                out.append((src[rows[keep]], dst[best.ravel()[keep]], values[keep]))
         s, t, c = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         return pa.table({"src": pa.array(s, pa.int64()), "dst": pa.array(t, pa.int64()), "cosine": pa.array(c, pa.float64())})
     return work
 
 
-def knn_within(df: DataFrame, group: str, ident: str, vector: str, k: int, symmetric: bool = False, block_rows: int = 4096) -> DataFrame:
+def knn_within(df: DataFrame, group: str, ident: str, vector: str, k: int, symmetric: bool = False, block_rows: int = 16384) -> DataFrame:
     """Exact k nearest rows (src, dst, cosine) of every row among all rows of its group; similarities of zero or less are no edges.
 
-    Groups are cut into blocks by a hash of the id, every block meets every block of its group, and the winners of
-    each meeting are ranked per row: a task holds two blocks, whatever the size of the group. Ties go to the smaller
-    id. Rows without a vector or group have no edges. ``symmetric`` gives both directions the larger weight.
+    The answer is exact, so the work is quadratic in the size of a group; clustering, whose groups are chunks of bounded
+    size, doesn't come here. Groups are cut into blocks by a hash of the id, and every two blocks of a group meet once,
+    for both directions: a row is sent once for each block of its group, a task holds two blocks, and the winners of the
+    meetings are ranked per row. Ties go to the smaller id. Rows without a vector or group have no edges. ``symmetric``
+    gives both directions the larger weight.
     """
     rows = df.where(F.col(vector).isNotNull() & F.col(group).isNotNull()).select(F.col(group).alias("grp"), ident, vector)
     sizes = rows.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
     blocked = rows.join(sizes, "grp").withColumn("own", F.pmod(F.xxhash64(ident), F.col("blocks")).cast("int"))
-    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = blocked.withColumn("other", others).select(F.col("grp").alias("g1"), F.col("own").alias("o1"), F.col("other").alias("p1"), ident, vector)
-    right = blocked.withColumn("other", others).select(F.col("grp").alias("g2"), F.col("other").alias("o2"), F.col("own").alias("p2"), F.col(ident).alias("to_ident"), F.col(vector).alias("to_vector"))
-    met = left.groupBy("g1", "o1", "p1").cogroup(right.groupBy("g2", "o2", "p2")).applyInArrow(
-        _nearest_in_blocks(ident, vector, k), "src long, dst long, cosine double")
+    dealt = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "grp", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", ident, vector)
+    met = dealt.groupBy("grp", "lo", "hi").applyInArrow(_nearest_in_blocks(ident, vector, k), "src long, dst long, cosine double")
     best = Window.partitionBy("src").orderBy(F.desc("cosine"), "dst")
     edges = met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank")
     if not symmetric:

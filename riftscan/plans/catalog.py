@@ -18,7 +18,7 @@ from ..functions import tokens as tk
 from ..functions.limits import CallParams
 from ..models import objectives as ob
 from ..models import scorer as sc
-from ..models.encoder import embed
+from ..models.encoder import embed, write_embeddings
 from ..operators import bed as bd
 from ..operators import call_pairs as cp
 from ..operators import calls as ca
@@ -39,6 +39,7 @@ from ..sources.bam import read_bam, write_bam
 from ..streaming import ordered as so
 from ..streaming import runs as sn
 from . import fixtures as fx
+from .inference import depth_track
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -896,6 +897,33 @@ def vcf_file(spark, d):
     return tb.read_vcf_ids(spark, path).groupBy(F.length("id").alias("width")).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"), F.max("id").alias("most"))
 
 
+@query
+def truth_label_files(spark, d):
+    """True and false calls written as the two VCF files of an evaluation folder, read back as labels and joined to all calls."""
+    folder = sn.scratch(spark, "evaluation")
+    calls = _sig_calls(spark, d).select("*", F.col("cluster_id").alias("call_no"), F.concat(F.lit("sv"), "cluster_id").alias("call_id"), F.lit("PASS").alias("filter_status"))
+    snk.write_vcf(calls.where("cluster_id % 3 = 0"), f"{folder}/tp-call.vcf")
+    snk.write_vcf(calls.where("cluster_id % 3 = 1 or cluster_id % 6 = 0"), f"{folder}/fp.vcf")
+    return ev.label_calls(calls, *tb.read_truth_labels(spark, folder)).select("call_id", "svtype", "svlen", "label")
+
+
+@query
+def embedding_file(spark, d):
+    """Embeddings of all signatures written as a table and read back."""
+    path = sn.scratch(spark, "embeddings") + ".parquet"
+    write_embeddings(embed(ft.node_features(fx.sig(spark, d))), path)
+    return spark.read.parquet(path).select("sid", *[r6(F.col("emb")[i]).alias(f"e{i}") for i in range(ft.FULL_DIM)])
+
+
+@query
+def depth_cache(spark, d):
+    """Depth around the signatures from a BAM folder, read from the track that a first run left in the cache."""
+    path, cache, rows, found = sn.scratch(spark, "bam"), sn.scratch(spark, "depth"), fx.aln(spark, d), fx.sig(spark, d)
+    write_bam(rows, path, sorted((r.contig, r.length) for r in fx.contigs(rows).collect()))  # the header
+    depth_track(spark, found, path, 1000, cache)
+    return depth_track(spark, found, path, 1000, cache)[0].select("contig", "bin", "depth")
+
+
 @query
 def call_feature_file(spark, d):
     """Call features written as JSON lines and read back by their reader."""

@@ -10,6 +10,7 @@ from collections import OrderedDict
 
 import numpy as np
 import pytest
+from fresh_weights import init_encoder, init_scorer
 
 from riftscan import files
 from riftscan.models import archives as ar
@@ -70,7 +71,7 @@ def archive(payload, torch):
 
 
 def test_arrays_equal_those_of_an_npz(spark, tmp_path, framework):
-    weights = en.init_encoder(6, 4, (5,), 1)
+    weights = init_encoder(6, 4, (5,), 1)
     state = OrderedDict((f"encoder.{k}", v.astype("<f4")) for k, v in {
         "0.weight": weights["h0.w"], "0.bias": weights["h0.b"], "1.weight": weights["h0.gain"] + 1, "1.bias": weights["h0.shift"],
         "4.weight": weights["out.w"], "4.bias": weights["out.b"] + 2}.items())
@@ -87,7 +88,7 @@ def test_arrays_equal_those_of_an_npz(spark, tmp_path, framework):
 
 
 def test_scorer_and_number_formats(spark, tmp_path, framework):
-    weights = sc.init_scorer((4, 5), 7, 2)
+    weights = init_scorer((4, 5), 7, 2)
     state, at = {}, 0
     for i, at in enumerate((0, 4)):
         for new, old in (("weight", "w"), ("bias", "b")):

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from fresh_weights import init_encoder, init_scorer
 
 from riftscan.models import encoder as en
 from riftscan.models import layers as ly
@@ -17,7 +18,7 @@ def test_erf():
 
 
 def test_scorer_state_import_and_forward():
-    weights = sc.init_scorer((4, 5, 6), 7, 2)
+    weights = init_scorer((4, 5, 6), 7, 2)
     rng = np.random.default_rng(4)
     for key in weights:
         if key.endswith((".mean", ".shift")):
@@ -49,7 +50,7 @@ def test_scorer_state_import_and_forward():
 
 
 def test_encoder_import_save_and_embed(spark, sf_dir, tmp_path):
-    weights = en.init_encoder(27, 16, (12, 10), 7)
+    weights = init_encoder(27, 16, (12, 10), 7)
     state = {}
     for i, at in enumerate((0, 4)):
         state |= {f"encoder.encoder.{at}.weight": weights[f"h{i}.w"], f"encoder.encoder.{at}.bias": weights[f"h{i}.b"],

@@ -4,6 +4,7 @@ import json
 
 import pytest
 from bam_fixture import write_bam
+from fresh_weights import init_encoder, init_scorer
 from pyspark.sql import functions as F
 
 from riftscan import cli
@@ -30,9 +31,9 @@ def folder(spark, sf_dir, tmp_path_factory):
     rows += [{**base, "qname": f"del{i}", "pos0": 50_000 + i, "ref_end": 50_900 + i} for i in range(6)]
     rows.sort(key=lambda r: (r["contig"], r["pos0"], r["qname"]))
     write_bam(str(root / "sample.bam"), [(f"chr{i}", 140_000) for i in range(1, 6)], rows)
-    en.save_weights(en.init_encoder(27, 8, (16,), 3), str(root / "enc.npz"))
+    en.save_weights(init_encoder(27, 8, (16,), 3), str(root / "enc.npz"))
     n = len(sc.SCORER_FEATURES)
-    en.save_weights(sc.init_scorer((4, 4, 4), 8), str(root / "scorer.npz"), {
+    en.save_weights(init_scorer((4, 4, 4), 8), str(root / "scorer.npz"), {
         "model_type": sc.MODEL_TYPE, "feature_names": list(sc.SCORER_FEATURES), "mean": [0.0] * n, "scale": [1.0] * n,
         "threshold": 0.9, "platform_thresholds": {"ont": 0.01}})
     return root
@@ -137,7 +138,7 @@ def test_nothing_in_nothing_out(spark, sf_dir):
 
     none = fx.sig(spark, sf_dir).where("sid < 0")
     parts = cl.partition_by_position(cl.with_bucket(none), catalog.CALL_GRAPH)
-    embedded = en.embed(ft.node_features(parts), en.init_encoder(27, 8, (8,), 1))
+    embedded = en.embed(ft.node_features(parts), init_encoder(27, 8, (8,), 1))
     assert cl.clusters(embedded, catalog.CALL_GRAPH).count() == 0
     assert cl.affinity_edges(embedded, catalog.CALL_GRAPH).count() == 0
     assert dp.depth_bins(dp.primary_intervals(fx.aln(spark, sf_dir)), dp.contig_bounds(none)).count() == 0
