@@ -96,6 +96,17 @@ def unit_vectors(column: pa.ChunkedArray) -> np.ndarray:
     return matrix / np.maximum(norms, 1e-12)
 
 
+def _largest(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, score) of the k largest positive scores of every row; ties go to the earlier column."""
+    kth = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
+    rows, cols = np.nonzero(scores >= np.maximum(kth, np.finfo(float).tiny)[:, None])
+    values = scores[rows, cols]
+    best = np.lexsort((cols, -values, rows))
+    rows, cols, values = rows[best], cols[best], values[best]
+    keep = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") < k
+    return rows[keep], cols[keep], values[keep]
+
+
 def nearest_neighbours(vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Directed edges (row, column, cosine) to the k most similar other rows.
 
@@ -108,14 +119,8 @@ def nearest_neighbours(vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndar
         high = min(n, low + _ROW_BLOCK)
         scores = np.round(vectors[low:high] @ vectors.T, DIGITS)
         scores[np.arange(high - low), np.arange(low, high)] = -np.inf
-        kth = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
-        rows, cols = np.nonzero(scores >= np.maximum(kth, np.finfo(float).tiny)[:, None])
-        values = scores[rows, cols]
-        best = np.lexsort((cols, -values, rows))
-        rows, cols, values = rows[best], cols[best], values[best]
-        rank = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
-        keep = rank < k
-        parts.append((rows[keep] + low, cols[keep], values[keep]))
+        rows, cols, values = _largest(scores, k)
+        parts.append((rows + low, cols, values))
     rows, cols, values = (np.concatenate(p) for p in zip(*parts))
     return rows, cols, values
 
@@ -134,11 +139,8 @@ def _nearest_in_blocks(ident: str, vector: str, k: int):
                 src, dst = ids[rows_of[at:at + _ROW_BLOCK]], ids[cols_of]
                 scores = np.round(vectors[rows_of[at:at + _ROW_BLOCK]] @ vectors[cols_of].T, DIGITS)
                 scores[src[:, None] == dst[None, :]] = -np.inf
-                best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                rows = np.repeat(np.arange(len(best)), best.shape[1])
-                values = scores[rows, best.ravel()]
-                keep = values > 0
-                out.append((src[rows[keep]], dst[best.ravel()[keep]], values[keep]))
+                rows, cols, values = _largest(scores, min(k, len(dst)))
+                out.append((src[rows], dst[cols], values))
         s, t, c = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         return pa.table({"src": pa.array(s, pa.int64()), "dst": pa.array(t, pa.int64()), "cosine": pa.array(c, pa.float64())})
     return work
