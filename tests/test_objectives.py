@@ -71,3 +71,13 @@ def test_band_pairs(spark):
         assert sorted((r.id_a, r.id_b, r.gap, r.copies_a, r.copies_b) for r in got) == want
     assert all(r.merge == (r.gap <= 1000) for r in got if r.svtype == "TRA")
     assert cp.band_pairs(df.limit(0), "cluster_id").count() == 0
+
+
+def test_bins_of_calls_go_to_all_tasks(spark):
+    rows = [(i, "c1", 1600 * (i // 40) + i % 40, 1600 * (i // 40) + 100, "DEL", 100, None) for i in range(4000)]
+    df = spark.createDataFrame(rows, "cluster_id long, contig string, start long, end long, svtype string, svlen long, partner_contig string")
+    # Few bytes make many pairs, so bytes must not decide how many tasks make them.
+    per_task = cp.band_pairs(df, "cluster_id").rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()
+    want = sum(1 for i in range(4000) for j in range(i + 1, min(4000, i + 81)) if 0 <= rows[j][2] - rows[i][2] <= 1500)
+    assert sum(per_task) == want
+    assert len(per_task) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(per_task) < 0.6 * want
