@@ -27,8 +27,10 @@ PART_KEYS = ["contig", "bucket", "sess", "chunk"]
 CALL_COLUMNS = [*PART_KEYS, "sid", "tstart", "tend", "svtype", "svlen", "qname", "mapq", "source", "support", "sa_contigs"]
 #: Digits cosines and weights are rounded to, so that thresholds and ties do not hang on summation order.
 DIGITS = 9
-#: Rows of the similarity matrix that exist at a time.
-_ROW_BLOCK = 512
+#: Elements of the similarity matrix that exist at a time, and rows at most.
+_CELLS, _ROW_BLOCK = 1 << 19, 512
+#: Columns whose largest score stands for them in the first look at a row.
+_SPAN = 16
 
 
 def with_bucket(df: DataFrame, include_tra: bool = False) -> DataFrame:
@@ -96,17 +98,94 @@ def unit_vectors(column: pa.ChunkedArray) -> np.ndarray:
     return matrix / np.maximum(norms, 1e-12)
 
 
+def _row_blocks(n: int, width: int) -> Iterator[tuple[int, int]]:
+    """Cuts of ``n`` rows whose scores against ``width`` columns stay within bounds."""
+    step = max(1, min(_ROW_BLOCK, _CELLS // max(1, width)))
+    for low in range(0, n, step):
+        yield low, min(n, low + step)
+
+
 def _largest(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, column, score) of the k largest positive scores of every row; ties go to the earlier column."""
-    kth = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
-    rows, cols = np.nonzero(scores >= np.maximum(kth, np.finfo(float).tiny)[:, None])
-    values = scores[rows, cols]
-    best = np.lexsort((cols, -values, rows))
-    rows, cols, values = rows[best], cols[best], values[best]
+    """(row, column, rounded score) of the k largest positive scores of every row; ties go to the earlier column.
+
+    Each span of columns is looked at by its largest score first: the k-th largest of those is no larger than the k-th
+    largest score, so what lies below it by more than a rounding step is out. Only the few others are rounded and sorted.
+    """
+    n, wide = scores.shape[1], scores.shape[1] // _SPAN
+    low = np.full(len(scores), -np.inf)
+    if wide >= k:
+        tops = scores[:, :wide * _SPAN].reshape(-1, _SPAN, wide).max(axis=1)
+        low = np.partition(tops, wide - k, axis=1)[:, wide - k]
+    step = 10.0 ** -DIGITS
+    at = np.flatnonzero((scores >= np.maximum(low - 1.1 * step, 0.4 * step)[:, None]).ravel())
+    rows, values = at // n, np.round(scores.ravel()[at], DIGITS)
+    if len(at) > 2 * k * len(scores):
+        # Copies of one vector: where the best score comes k times, the first k are the winners.
+        starts = np.searchsorted(rows, np.arange(len(scores) + 1))
+        some = np.flatnonzero(np.diff(starts))
+        best = np.full(len(scores), -np.inf)
+        best[some] = np.maximum.reduceat(values, starts[some])
+        top = values == best[rows]
+        before = np.concatenate(([0], np.cumsum(top)))
+        full = (before[starts[1:]] - before[starts[:-1]] >= k)[rows]
+        keep = np.flatnonzero(~full | top & (before[:-1] - before[starts[rows]] < k))
+        at, rows, values = at[keep], rows[keep], values[keep]
+    cols = at - rows * n
+    order = np.lexsort((cols, -values, rows))
+    order = order[values[order] > 0]
+    rows, cols, values = rows[order], cols[order], values[order]
     keep = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") < k
     return rows[keep], cols[keep], values[keep]
 
 
+def _without_gaps(vectors: np.ndarray, k: int) -> tuple[np.ndarray, bool]:
+    """Vectors with zeros for those that hold no number, which then are near to nothing, and whether k others are left."""
+    broken = np.isnan(vectors).any(axis=1)
+    return (np.where(broken[:, None], 0.0, vectors) if broken.any() else vectors), len(vectors) - broken.sum() >= k
+
+
+def _distinct(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First row of every distinct vector, in row order, and the number of each row's vector in that list."""
+    whole = np.ascontiguousarray(vectors).view(np.dtype((np.void, vectors.shape[1] * vectors.itemsize))).ravel()
+    _, first, which = np.unique(whole, return_index=True, return_inverse=True)
+    order = np.argsort(first)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return first[order], place[which]
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Numbers from each start on, as many as its size, one range after the other."""
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes - starts, sizes)
+
+
+def _nearest_with_copies(kinds: np.ndarray, which: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Nearest other rows where many rows have equal vectors: ``kinds`` meet, and the first rows of the k + 1 nearest are ranked.
+
+    Kinds are in the order of their first rows, so among equal scores the k + 1 first kinds hold the k + 1 first rows.
+    """
+    nearest = [tuple(x + low * (i == 0) for i, x in enumerate(_largest(kinds[low:high] @ kinds.T, min(k + 1, len(kinds)))))
+               for low, high in _row_blocks(len(kinds), len(kinds))]
+    kind, other, value = (np.concatenate(p) for p in zip(*nearest))
+    members = np.argsort(which, kind="stable")
+    sizes = np.bincount(which, minlength=len(kinds))
+    starts = np.cumsum(sizes) - sizes
+    some = np.minimum(sizes[other], k + 1)
+    kind, value, col = np.repeat(kind, some), np.repeat(value, some), members[_ranges(starts[other], some)]
+    order = np.lexsort((col, -value, kind))
+    order = order[np.arange(len(order)) - np.searchsorted(kind[order], kind[order], side="left") <= k]
+    kind, value, col = kind[order], value[order], col[order]
+    # Every row takes the list of its kind, without itself.
+    lengths = np.bincount(kind, minlength=len(kinds))
+    own = lengths[which]
+    at = _ranges((np.cumsum(lengths) - lengths)[which], own)
+    rows = np.repeat(np.arange(len(which)), own)
+    others = col[at] != rows
+    rows, at = rows[others], at[others]
+    keep = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") < k
+    return rows[keep], col[at[keep]], value[at[keep]]
+
+
 def nearest_neighbours(vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Directed edges (row, column, cosine) to the k most similar other rows.
 
@@ -114,10 +193,14 @@ def nearest_neighbours(vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndar
     """
     n = len(vectors)
     k = max(1, min(int(k), n - 1))
-    parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for low in range(0, n, _ROW_BLOCK):
-        high = min(n, low + _ROW_BLOCK)
-        scores = np.round(vectors[low:high] @ vectors.T, DIGITS)
+    vectors, enough = _without_gaps(vectors, k)
+    if enough and n > 1:
+        first, which = _distinct(vectors)
+        if 2 * len(first) <= n:
+            return _nearest_with_copies(vectors[first], which, k)
+    parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for low, high in _row_blocks(n if enough else 0, n):
+        scores = vectors[low:high] @ vectors.T
         scores[np.arange(high - low), np.arange(low, high)] = -np.inf
         rows, cols, values = _largest(scores, k)
         parts.append((rows + low, cols, values))
@@ -133,15 +216,22 @@ def _nearest_in_blocks(ident: str, vector: str, k: int):
         ids, own, vectors = ids[order], own[order], unit_vectors(met.column(vector))[order]
         sides = [np.flatnonzero(own == block) for block in (low[0], high[0])]
         ways = [(sides[0], sides[1]), (sides[1], sides[0])][:1 if low[0] == high[0] else 2]
-        out = []
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         for rows_of, cols_of in ways:
-            for at in range(0, len(rows_of) if len(cols_of) else 0, _ROW_BLOCK):
-                src, dst = ids[rows_of[at:at + _ROW_BLOCK]], ids[cols_of]
-                scores = np.round(vectors[rows_of[at:at + _ROW_BLOCK]] @ vectors[cols_of].T, DIGITS)
-                scores[src[:, None] == dst[None, :]] = -np.inf
-                rows, cols, values = _largest(scores, min(k, len(dst)))
+            dst = ids[cols_of]
+            nearest = min(k, len(dst))
+            columns, enough = _without_gaps(vectors[cols_of], nearest)
+            for at, end in _row_blocks(len(rows_of) if len(dst) and enough else 0, len(dst)):
+                src = ids[rows_of[at:end]]
+                block = vectors[rows_of[at:end]]
+                scores = np.where(np.isnan(block).any(axis=1)[:, None], 0.0, block) @ columns.T
+                # The same id is no neighbour; ids are sorted.
+                first, last = (np.searchsorted(dst, src, side) for side in ("left", "right"))
+                for i in np.flatnonzero(last > first):
+                    scores[i, first[i]:last[i]] = -np.inf
+                rows, cols, values = _largest(scores, nearest)
                 out.append((src[rows], dst[cols], values))
-        s, t, c = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        s, t, c = (np.concatenate(x) for x in zip(*out))
         return pa.table({"src": pa.array(s, pa.int64()), "dst": pa.array(t, pa.int64()), "cosine": pa.array(c, pa.float64())})
     return work
 

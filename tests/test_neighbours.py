@@ -1,13 +1,15 @@
 """Exact neighbours in blocks against all pairs, and the most common element of an array."""
 
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from riftscan.operators.calls import most_common
-from riftscan.operators.cluster import knn_within
+from riftscan.operators.cluster import _nearest_in_blocks, knn_within, nearest_neighbours
 
 
 def nearest(rows, k):
@@ -43,3 +45,37 @@ def test_most_common(spark):
     for i, m in df.collect():
         counts = Counter(x for x in lists[i] or [] if x is not None)
         assert m == (min(counts, key=lambda x: (-counts[x], x)) if counts else None)
+
+
+def straight(v, k):
+    """The k best others of every row by sorting whole rows of rounded cosines."""
+    scores = np.round(v @ v.T, 9)
+    out = []
+    for i, row in enumerate(scores):
+        best = sorted((-s, j) for j, s in enumerate(row.tolist()) if j != i and s > 0)[:k]
+        out += [(i, j, -s) for s, j in best]
+    return out
+
+
+@pytest.mark.parametrize("kind", ["apart", "copies", "few values", "one vector", "zeros"])
+def test_chunk_neighbours_with_copies(kind):
+    rng = np.random.default_rng(6)
+    v = {"apart": rng.normal(size=(700, 5)), "copies": rng.normal(size=(40, 5))[rng.integers(0, 40, 700)],
+         "few values": rng.integers(-1, 2, (700, 4)) * 1.0, "one vector": np.ones((700, 5)), "zeros": np.eye(5)[rng.integers(0, 5, 700)] * (rng.integers(0, 2, 700)[:, None])}[kind]
+    v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+    got = nearest_neighbours(v, 7)
+    assert list(zip(*(x.tolist() for x in got))) == straight(v, 7)
+
+
+@pytest.mark.parametrize("k", [5, 20])
+def test_neighbours_of_copies_stay_small(k):
+    """Copies of one vector, and vectors apart, take memory by blocks of scores and not by rows times columns."""
+    rng = np.random.default_rng(7)
+    for v in (np.ones((6000, 8)), rng.normal(size=(6000, 8))):
+        v = v / np.linalg.norm(v, axis=1, keepdims=True)
+        table = pa.table({"i": np.arange(6000), "v": list(v), "own": np.zeros(6000, int), "lo": np.zeros(6000, int), "hi": np.zeros(6000, int)})
+        tracemalloc.start()
+        found = _nearest_in_blocks("i", "v", k)(table)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert found.num_rows == 6000 * k and peak < 60e6
