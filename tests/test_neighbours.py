@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from riftscan.operators import cluster
 from riftscan.operators.calls import most_common
 from riftscan.operators.cluster import _nearest_in_blocks, knn_within, nearest_neighbours
 
@@ -67,6 +68,13 @@ def test_chunk_neighbours_with_copies(kind):
     assert list(zip(*(x.tolist() for x in got))) == straight(v, 7)
 
 
+def test_equal_vectors_of_a_chunk_meet_once(monkeypatch):
+    looked, largest = [], cluster._largest
+    monkeypatch.setattr(cluster, "_largest", lambda scores, k: looked.append(scores.size) or largest(scores, k))
+    rows, cols, values = nearest_neighbours(np.eye(50)[np.arange(3000) % 50], 10)
+    assert len(rows) == 30000 and (rows % 50 == cols % 50).all() and (values == 1).all() and sum(looked) <= 50 * 50
+
+
 @pytest.mark.parametrize("k", [5, 20])
 def test_neighbours_of_copies_stay_small(k):
     """Copies of one vector, and vectors apart, take memory by blocks of scores and not by rows times columns."""
