@@ -1,13 +1,16 @@
 """Views and loss terms against numpy; band pairs against all pairs."""
 
 import math
+import os
 import random
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from riftscan.models import objectives as ob
 from riftscan.operators import call_pairs as cp
+from riftscan.operators.dedup import calls_should_merge
 
 
 def test_terms(spark):
@@ -81,3 +84,43 @@ def test_bins_of_calls_go_to_all_tasks(spark):
     want = sum(1 for i in range(4000) for j in range(i + 1, min(4000, i + 81)) if 0 <= rows[j][2] - rows[i][2] <= 1500)
     assert sum(per_task) == want
     assert len(per_task) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(per_task) < 0.6 * want
+
+
+def test_band_pairs_of_odd_rows(spark):
+    rng = random.Random(5)
+    some = lambda value: None if rng.random() < 0.05 else value
+    rows = [(some(i % 290), some(rng.choice(("c1", "c2"))), some(s := rng.choice((-1, 0, 5999, 6000, 7000, rng.randrange(-9000, 9000)))),
+             some(s + rng.choice((1, 100, 300))), some(rng.choice(("DEL", "INS", "TRA"))), some(rng.randrange(-400, 400)), some("c9")) for i in range(600)]
+    df = spark.createDataFrame(rows, "cluster_id long, contig string, start long, end long, svtype string, svlen long, partner_contig string")
+    g = cp.geometries(df, "cluster_id").localCheckpoint()
+    gap = F.col("b.start") - F.col("a.start")
+    follows = (gap > 0) | (gap == 0) & (F.col("b.id") > F.col("a.id"))
+    alike = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("contig", "svtype", "partner_key")]
+    both = g.select(F.struct("*").alias("a")).crossJoin(g.select(F.struct("*").alias("b"))).where(follows & (gap <= 1500) & alike[0] & alike[1] & alike[2])
+    want = both.select("a.contig", "a.svtype", "a.partner_key", F.col("a.id"), F.col("b.id"), gap, calls_should_merge("a", "b"), "a.copies", "b.copies").collect()
+    order = lambda found: sorted(map(repr, map(tuple, found)))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # calls meet across batches
+    try:
+        for bin_rows in (4096, 8, 1):
+            assert order(cp.band_pairs(df, "cluster_id", bin_rows=bin_rows).collect()) == order(want)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(want) > 1000 and any(r[6] is None for r in want)
+
+
+def test_band_pairs_write_little(spark):
+    def written():
+        disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+        kept = spark.sparkContext.getCheckpointDir()
+        kept = Path(kept.removeprefix("file:")).rglob("part-*") if kept else ()
+        return {p: os.path.getsize(p) for p in (*disk.split("\n"), *map(str, kept)) if os.path.isfile(p)}
+
+    # A bin with more calls than one part, and bins with few.
+    n = 40_000
+    df = spark.range(n).select(
+        F.col("id").alias("cluster_id"), F.lit("c1").alias("contig"), F.when(F.col("id") % 50 == 0, 700_000).otherwise(F.col("id") * 40).alias("start"),
+        (F.col("id") * 40 + 900).alias("end"), F.lit("DEL").alias("svtype"), F.lit(900).alias("svlen"), F.lit(None).cast("string").alias("partner_contig"))
+    before = written()
+    cp.band_pairs(df, "cluster_id", bin_rows=200).write.format("noop").mode("overwrite").save()
+    # Once to make the geometries and once, a little over, to their units.
+    assert 0 < sum(size for p, size in written().items() if p not in before) < 50 * n
